@@ -42,8 +42,8 @@ def parse_filing_date(s: Column) -> Column:
     """Date from 'yyyy-MM-dd' or 'yyyyMMdd'; anything else -> null."""
     s = strip_ws(s)
     return F.coalesce(
-        F.when(s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(s, F.lit("yyyy-MM-dd"))),
-        F.when(s.rlike(r"^[0-9]{8}$"), F.try_to_date(s, F.lit("yyyyMMdd"))),
+        F.when(s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(s, "yyyy-MM-dd")),
+        F.when(s.rlike(r"^[0-9]{8}$"), F.try_to_date(s, "yyyyMMdd")),
     )
 
 

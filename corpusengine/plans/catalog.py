@@ -8,79 +8,15 @@ rendered as 'yyyy-MM-dd' strings.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import IngestConfig
 from ..functions.chunking import chunk_fixed, chunk_id
 from ..functions.text import html_to_text
 from ..sources.tables import read_table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-CFG = IngestConfig()
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql.strip()
-        return fn
-
-    return deco
-
-
-# ---------------------------------------------------------------------------
-# Shared SQL fragments (DuckDB dialect) mirroring the Spark column functions.
-# ---------------------------------------------------------------------------
-
-def sql_strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
-
-
-def sql_html_to_text(x: str) -> str:
-    drop = (
-        "(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>"
-        "|<noscript\\b[^>]*>.*?</noscript\\s*>|<[^>]*>"
-    )
-    t = f"regexp_replace({x}, '{drop}', chr(1), 'g')"
-    t = f"regexp_replace({t}, chr(1) || '+', chr(10), 'g')"
-    for ent, ch in (
-        ("&nbsp;", "chr(160)"),
-        ("&lt;", "'<'"),
-        ("&gt;", "'>'"),
-        ("&quot;", "'\"'"),
-        ("&#39;", "''''"),
-        ("&apos;", "''''"),
-        ("&amp;", "'&'"),
-    ):
-        t = f"replace({t}, '{ent}', {ch})"
-    t = f"replace({t}, chr(160), ' ')"
-    t = f"regexp_replace({t}, '[ \\t]+', ' ', 'g')"
-    t = f"regexp_replace({t}, '\\n{{2,}}', chr(10) || chr(10), 'g')"
-    return sql_strip(t)
-
-
-def sql_fixed_count(n: str, size: int, overlap: int) -> str:
-    step = size - overlap
-    return (
-        f"(CASE WHEN {n} IS NULL OR {n} <= 0 THEN 0 WHEN {n} <= {size} THEN 1 "
-        f"ELSE CAST(ceil(({n} - {overlap}) / {step}.0) AS BIGINT) END)"
-    )
-
-
-def sql_fixed_chunks(src: str, key_cols: str, text: str, size: int, overlap: int) -> str:
-    """Subquery with key_cols, chunk_ix, chunk."""
-    step = size - overlap
-    return f"""
-    SELECT {key_cols}, i AS chunk_ix, substring({text}, CAST(i * {step} + 1 AS BIGINT), {size}) AS chunk
-    FROM (SELECT {key_cols}, {text}, unnest(range({sql_fixed_count(f'length({text})', size, overlap)})) AS i
-          FROM {src})
-    """
+from .registry import CFG, ORACLE, QUERIES, register  # noqa: F401
+from .sqlfrag import sql_fixed_chunks, sql_html_to_text
 
 
 # ---------------------------------------------------------------------------
@@ -165,3 +101,7 @@ register(
                              'page_id, url', 'text', CFG.chunk_size, CFG.chunk_overlap)})
     """,
 )(pages_to_chunks)
+
+
+# Topic modules register their queries on import.
+from . import q_filings, q_ingest, q_retrieval, q_sections  # noqa: E402,F401

@@ -21,6 +21,7 @@ DEFAULT_CONF = {
     # Text columns are large; keep Arrow batches to a bounded size.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 

@@ -1 +1,222 @@
-"""Queries: retrieval and answers."""
+"""Queries: retrieval, contexts, prompts and answers (V1-V5, J6, W2, P9,
+U1, O3, A9, F15-F19, C1, C2, P10)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..config import BLANK_QUESTION_REPLY, NOTHING_FOUND_REPLY, PROMPT_TEMPLATE
+from ..operators import context as cx
+from ..operators import retrieval as rt
+from ..sources.tables import read_table
+from .derived import sql_str
+from .registry import RAG, register
+from .sqlfrag import sql_strip
+
+# --- shared SQL ------------------------------------------------------------
+E_SQL = "(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
+CENTROID_SQL = f"""(SELECT label AS qid, list(x ORDER BY i) AS qv FROM (
+    SELECT label, i, avg(v[i]) AS x FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS i FROM {E_SQL})
+    GROUP BY label, i) GROUP BY label)"""
+QUESTION_TEXT_SQL = (
+    "(CASE WHEN qid % 5 = 4 THEN '   ' ELSE 'What are the main risks in group ' || CAST(qid AS VARCHAR) || '?' END)"
+)
+
+
+def embeddings(spark, d):
+    return read_table(spark, d, "embeddings", "vec_id", "embedding", "label")
+
+
+def centroid_questions(spark, d):
+    """Question vectors: the mean vector of every label (whole table)."""
+    c = rt.vector_mean(embeddings(spark, d), "label", "embedding")
+    return c.select(F.col("label").cast("long").alias("qid"), F.col("embedding").alias("qvec"))
+
+
+def question_text(qid):
+    return F.when(qid % 5 == 4, F.lit("   ")).otherwise(
+        F.concat(F.lit("What are the main risks in group "), qid.cast("string"), F.lit("?"))
+    )
+
+
+def _topk_sql(score_expr: str, order: str, k: int, where: str = "TRUE", corpus: str = E_SQL) -> str:
+    return f"""SELECT qid, rank, vec_id, round(score, 6) AS score FROM (
+        SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score {order}, vec_id) AS rank
+        FROM (SELECT q.qid, e.vec_id, {score_expr} AS score FROM {CENTROID_SQL} q, {corpus} e WHERE {where}))
+      WHERE rank <= {k}"""
+
+
+def _hits(spark, d, metric="cosine", k=RAG.retrieval_k, **kw):
+    h = rt.knn(
+        embeddings(spark, d), centroid_questions(spark, d), k, metric=metric,
+        id_col="vec_id", vec_col="embedding", qid_col="qid", qvec_col="qvec", **kw,
+    )
+    return h
+
+
+@register("knn_exact", _topk_sql("list_cosine_similarity(e.v, q.qv)", "DESC", RAG.retrieval_k))
+def q_knn_exact(spark, d):
+    h = _hits(spark, d, "cosine")
+    return h.select("qid", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+@register("knn_l2", _topk_sql("list_distance(e.v, q.qv)", "ASC", RAG.retrieval_k))
+def q_knn_l2(spark, d):
+    h = _hits(spark, d, "l2")
+    return h.select("qid", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+@register(
+    "knn_filtered",
+    _topk_sql("list_cosine_similarity(e.v, q.qv)", "DESC", RAG.retrieval_k, where="e.label = q.qid"),
+)
+def q_knn_filtered(spark, d):
+    qs = centroid_questions(spark, d).withColumn("qlabel", F.col("qid").cast("int"))
+    h = rt.knn(
+        embeddings(spark, d), qs, RAG.retrieval_k, metric="cosine", id_col="vec_id", vec_col="embedding",
+        qid_col="qid", qvec_col="qvec", filter_col="label", q_filter_col="qlabel",
+    )
+    return h.select("qid", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+@register(
+    "knn_self",
+    f"""SELECT qid, rank, vec_id, round(score, 6) AS score FROM (
+        SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank
+        FROM (SELECT q.vec_id AS qid, e.vec_id, list_cosine_similarity(e.v, q.v) AS score
+              FROM {E_SQL} q, {E_SQL} e))
+      WHERE rank <= {RAG.retrieval_k}""",
+)
+def q_knn_self(spark, d):
+    """Every vector as a question against the whole table (blocked broadcast)."""
+    e = embeddings(spark, d)
+    qs = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    h = rt.knn(e, qs, RAG.retrieval_k, metric="cosine", id_col="vec_id", vec_col="embedding",
+               qid_col="qid", qvec_col="qvec")
+    return h.select("qid", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+# --- dual corpus ------------------------------------------------------------
+MAIN_SQL = f"(SELECT * FROM {E_SQL} WHERE label % 2 = 0)"
+UPLOAD_SQL = f"(SELECT * FROM {E_SQL} WHERE label % 2 = 1)"
+CONTENT_SQL = "COALESCE(doc.text, 'vector ' || CAST(h.vec_id AS VARCHAR))"
+
+
+def _dual_sql() -> str:
+    main = _topk_sql("list_cosine_similarity(e.v, q.qv)", "DESC", RAG.main_k, corpus=MAIN_SQL)
+    up = _topk_sql("list_cosine_similarity(e.v, q.qv)", "DESC", RAG.upload_k, corpus=UPLOAD_SQL)
+    return f"""(SELECT h.qid, h.source_ord, h.rank, h.vec_id, h.source, {CONTENT_SQL} AS content FROM (
+        SELECT *, row_number() OVER (PARTITION BY qid ORDER BY source_ord, rank) AS pos FROM (
+          SELECT qid, rank, vec_id, 0::BIGINT AS source_ord, '{RAG.main_label}' AS source FROM ({main})
+          UNION ALL
+          SELECT qid, rank, vec_id, 1::BIGINT AS source_ord, '{RAG.upload_label}' AS source FROM ({up})))
+        h LEFT JOIN documents doc ON doc.doc_id = h.vec_id WHERE pos <= {RAG.merged_cap})"""
+
+
+def dual_hits(spark, d):
+    e = embeddings(spark, d)
+    qs = centroid_questions(spark, d)
+    kw = dict(metric=RAG.metric, id_col="vec_id", vec_col="embedding", qid_col="qid", qvec_col="qvec")
+    main = rt.knn(e.where(F.col("label") % 2 == 0), qs, RAG.main_k, **kw)
+    up = rt.knn(e.where(F.col("label") % 2 == 1), qs, RAG.upload_k, **kw)
+    merged = cx.merge_sources([(main, RAG.main_label), (up, RAG.upload_label)], RAG.merged_cap)
+    docs = read_table(spark, d, "documents", "doc_id", "text")
+    j = merged.join(docs, merged.vec_id == docs.doc_id, "left")
+    return j.select(
+        "qid", "source_ord", "rank", "vec_id", "source",
+        F.coalesce(F.col("text"), F.concat(F.lit("vector "), F.col("vec_id").cast("string"))).alias("content"),
+    )
+
+
+ITEM_SQL = f"'[' || source || ']' || chr(10) || substring(content, 1, {RAG.item_chars})"
+
+
+@register(
+    "dual_retrieval",
+    f"SELECT qid, source_ord, rank, vec_id, {ITEM_SQL} AS item FROM {_dual_sql()}",
+)
+def q_dual_retrieval(spark, d):
+    items = cx.labelled_items(dual_hits(spark, d), "content", RAG)
+    return items.select("qid", "source_ord", "rank", "vec_id", "item")
+
+
+# --- contexts, prompts and answers -------------------------------------------
+
+def _answer_sql(context_sql: str) -> str:
+    tpl = sql_str(PROMPT_TEMPLATE)
+    prompt = f"replace(replace({tpl}, '{{question}}', question), '{{context}}', context)"
+    raw = "'Answer: ' || split_part(context, chr(10) || chr(10), 1)"
+    return f"""SELECT qid, question,
+        CASE WHEN regexp_matches(question, '^\\s*$') THEN NULL ELSE context END AS context,
+        CASE WHEN regexp_matches(question, '^\\s*$') OR context IS NULL THEN NULL ELSE {prompt} END AS prompt,
+        CASE WHEN regexp_matches(question, '^\\s*$') THEN {sql_str(BLANK_QUESTION_REPLY)}
+             WHEN context IS NULL THEN {sql_str(NOTHING_FOUND_REPLY)}
+             ELSE {sql_strip(f"string_split({raw}, 'Answer:')[-1]")} END AS answer
+      FROM (SELECT qid, {QUESTION_TEXT_SQL} AS question FROM {CENTROID_SQL}) qs
+      LEFT JOIN ({context_sql}) c USING (qid)"""
+
+
+def _questions(spark, d):
+    return centroid_questions(spark, d).select("qid", question_text(F.col("qid")).alias("question"))
+
+
+@register(
+    "rag_context",
+    _answer_sql(
+        f"""SELECT qid, string_agg(content, chr(10) || chr(10) ORDER BY rank) AS context FROM (
+            SELECT h.qid, h.rank, {CONTENT_SQL} AS content
+            FROM ({_topk_sql('list_cosine_similarity(e.v, q.qv)', 'DESC', RAG.retrieval_k)}) h
+            LEFT JOIN documents doc ON doc.doc_id = h.vec_id) GROUP BY qid"""
+    ),
+)
+def q_rag_context(spark, d):
+    """Single corpus, k = 5, contents joined by blank lines."""
+    hits = _hits(spark, d, RAG.metric, RAG.retrieval_k)
+    docs = read_table(spark, d, "documents", "doc_id", "text")
+    h = hits.join(docs, hits.vec_id == docs.doc_id, "left").select(
+        "qid", "rank",
+        F.coalesce(F.col("text"), F.concat(F.lit("vector "), F.col("vec_id").cast("string"))).alias("content"),
+    )
+    ctx = cx.assemble_context(h, "content", order_cols=("rank",))
+    return cx.answer_frame(_questions(spark, d), ctx)
+
+
+@register(
+    "rag_prompt",
+    _answer_sql(
+        f"""SELECT qid, string_agg({ITEM_SQL}, chr(10) || chr(10) ORDER BY source_ord, rank) AS context
+            FROM {_dual_sql()} GROUP BY qid"""
+    ),
+)
+def q_rag_prompt(spark, d):
+    """Two corpora (3 + 4, cap 6), labelled 500-character items."""
+    items = cx.labelled_items(dual_hits(spark, d), "content", RAG)
+    ctx = cx.assemble_context(items, "item")
+    return cx.answer_frame(_questions(spark, d), ctx)
+
+
+# --- approximate search and embeddings (no SQL equivalent) -------------------
+
+@register("knn_approx")
+def q_knn_approx(spark, d):
+    """V4: IVF over KMeans cells (16 cells, 4 probed), questions = centroids."""
+    e = embeddings(spark, d)
+    model, cells = rt.ivf_cells(e, "embedding", nlist=16)
+    qs = rt.probe_cells(centroid_questions(spark, d), model, "qvec", nprobe=4)
+    h = rt.knn(cells, qs, RAG.retrieval_k, metric="cosine", id_col="vec_id", vec_col="embedding",
+               qid_col="qid", qvec_col="qvec", cell_col="cell", q_cells_col="cells")
+    return h.select("qid", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+@register("embed_tfidf")
+def q_embed_tfidf(spark, d):
+    """V1: lexical 384-d unit vectors of every document (Spark ML pipeline)."""
+    from ..operators.embed import tfidf_embed
+
+    docs = read_table(spark, d, "documents", "doc_id", "text")
+    emb = tfidf_embed(docs, "text", dim=384)
+    return emb.select(
+        "doc_id",
+        F.size("embedding").cast("long").alias("dim"),
+        F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"),
+    )

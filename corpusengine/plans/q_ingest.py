@@ -1 +1,166 @@
-"""Queries: ingestion flows."""
+"""Queries: ingestion flows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..config import HISTORICAL_FORMS
+from ..sources.tables import read_table
+from . import derived as dv
+from . import ingest as ing
+from .q_filings import (
+    SUB_FLAT_SQL,
+    SUB_NAMES_SQL,
+    URGENT_SQL,
+    flat_submissions,
+    labels_manifest,
+    submission_names,
+    urgent_manifest,
+)
+from .registry import CFG, register
+from .sqlfrag import sql_fixed_count, sql_html_to_text, sql_section_select, sql_strip
+
+ARCHIVE = "'https://www.sec.gov/Archives/edgar/data/'"
+
+
+def _url_sql(cik: str, acc: str, primary: str) -> str:
+    return f"({ARCHIVE} || CAST(CAST({cik} AS BIGINT) AS VARCHAR) || '/' || replace({acc}, '-', '') || '/' || {primary})"
+
+
+# --- filings made from documents (provided-filings path, I4) ----------------
+
+def doc_batch(spark, d):
+    fl = dv.doc_filings(spark, d)
+    filings = fl.select(
+        F.col("doc_id").alias("input_pos"), "cik", "accessionNumber", "primaryDocument", "filingDate", "form", "company"
+    )
+    return filings, fl.select("accessionNumber", "html")
+
+
+def doc_status(spark, d, keep_section=False):
+    filings, raw = doc_batch(spark, d)
+    return ing.ingest_filings(
+        filings, raw, labels_manifest(spark, d), CFG, companies=submission_names(spark, d), keep_section=keep_section
+    )
+
+
+def _doc_status_sql() -> str:
+    m = dv.sql_doc_filing_meta("d.doc_id")
+    lab = dv.sql_doc_filing_meta("l.doc_id")["accessionNumber"]
+    return f"""
+    WITH f AS (SELECT d.doc_id AS input_pos, {m['cik']} AS cik, {m['accessionNumber']} AS accessionNumber,
+                      {m['form']} AS form, {m['filingDate']} AS filingDate, {m['primaryDocument']} AS primaryDocument,
+                      {m['company']} AS company0, {dv.sql_filing_html('d.doc_id', 'd.text')} AS html
+               FROM documents d),
+    seen AS (SELECT DISTINCT {lab} AS acc FROM labels l),
+    c AS (SELECT f.*, CASE WHEN f.company0 IS NULL OR f.company0 = '' THEN
+                 {sql_strip("COALESCE(NULLIF(n.name, ''), 'CIK ' || f.cik)")} ELSE f.company0 END AS company
+          FROM f LEFT JOIN {SUB_NAMES_SQL} n ON f.cik = n.cik),
+    todo AS (SELECT * FROM c WHERE accessionNumber NOT IN (SELECT acc FROM seen)),
+    s AS {sql_section_select(f"(SELECT input_pos, {sql_html_to_text('html')} AS t FROM todo)", 'input_pos', 't',
+                             CFG.min_item1a_chars)},
+    st AS (
+      SELECT c.input_pos, c.cik, c.company, c.form, c.filingDate, c.accessionNumber,
+             {_url_sql('c.cik', 'c.accessionNumber', 'c.primaryDocument')} AS url,
+             CASE WHEN c.accessionNumber IN (SELECT acc FROM seen) THEN 'already_ingested:' || c.accessionNumber
+                  WHEN s.section IS NULL THEN c.accessionNumber || ':no_item_1a' END AS reason,
+             CASE WHEN c.accessionNumber NOT IN (SELECT acc FROM seen) AND s.section IS NOT NULL
+                  THEN {sql_fixed_count('length(s.section)', CFG.chunk_size, CFG.chunk_overlap)} END AS chunks
+      FROM c LEFT JOIN s USING (input_pos))
+    """
+
+
+@register(
+    "ingest_filings",
+    _doc_status_sql() + "SELECT company, cik, filingDate, form, accessionNumber, url, chunks FROM st WHERE reason IS NULL",
+)
+def q_ingest_filings(spark, d):
+    return ing.records(doc_status(spark, d))
+
+
+@register("ingest_status", _doc_status_sql() + "SELECT input_pos, cik, accessionNumber, reason, chunks FROM st")
+def q_ingest_status(spark, d):
+    return doc_status(spark, d).select("input_pos", "cik", "accessionNumber", "reason", "chunks")
+
+
+@register(
+    "ingest_summary",
+    _doc_status_sql()
+    + """SELECT count(*) AS prepared, CAST(sum(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS processed,
+         CAST(sum(CASE WHEN reason IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS skipped,
+         CAST(sum(COALESCE(chunks, 0)) AS BIGINT) AS total_chunks FROM st""",
+)
+def q_ingest_summary(spark, d):
+    return ing.summary(doc_status(spark, d))
+
+
+@register(
+    "processed_head",
+    _doc_status_sql() + "SELECT input_pos, company FROM st WHERE reason IS NULL ORDER BY input_pos LIMIT 10",
+)
+def q_processed_head(spark, d):
+    """The first ten processed companies, in processing order."""
+    st = doc_status(spark, d)
+    return st.where(F.col("reason").isNull()).orderBy("input_pos").limit(10).select("input_pos", "company")
+
+
+# --- historical path (I1-I3, J4, W1, O2) --------------------------------------
+
+def order_html(spark, d):
+    """Fetched main documents of the order-derived filings: the filing page of
+    document o_orderkey div 15 (absent when that document does not exist)."""
+    o = read_table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    docs = read_table(spark, d, "documents", "doc_id", "text")
+    acc = F.format_string("%010d-%02d-%06d", F.col("o_custkey"), F.year("o_orderdate") % 100, F.col("o_orderkey"))
+    link = o.select(acc.alias("accessionNumber"), F.floor(F.col("o_orderkey") / 15).cast("long").alias("doc_id"))
+    return link.join(docs, "doc_id", "inner").select(
+        "accessionNumber", dv.filing_html(F.col("doc_id"), F.col("text")).alias("html")
+    )
+
+
+def history_status(spark, d, limit=None):
+    c = read_table(spark, d, "customer", "c_custkey")
+    ciks = c.select(F.col("c_custkey").cast("string").alias("cik"), F.col("c_custkey").alias("pos"))
+    filings, none = ing.history_filings(
+        ciks, flat_submissions(spark, d), submission_names(spark, d), n=CFG.top_n_per_cik, limit=limit
+    )
+    st = ing.ingest_filings(filings, order_html(spark, d), urgent_manifest(spark, d), CFG)
+    return st.select("cik", "accessionNumber", "reason", "chunks").unionByName(
+        none.select("cik", F.lit(None).cast("string").alias("accessionNumber"), "reason",
+                    F.lit(None).cast("long").alias("chunks"))
+    )
+
+
+def _history_sql() -> str:
+    forms = "(" + ", ".join(f"'{f}'" for f in HISTORICAL_FORMS) + ")"
+    html = dv.sql_filing_html("doc.doc_id", "doc.text")
+    return f"""
+    WITH top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filingDate DESC, pos) AS rank
+                               FROM {SUB_FLAT_SQL} WHERE form IN {forms}) WHERE rank <= {CFG.top_n_per_cik}),
+    none AS (SELECT CAST(c_custkey AS VARCHAR) AS cik FROM customer
+             WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT cik FROM top)),
+    raw AS (SELECT printf('%010d-%02d-%06d', o_custkey, year(o_orderdate) % 100, o_orderkey) AS accessionNumber,
+                   {html} AS html
+            FROM orders o JOIN documents doc ON doc.doc_id = o.o_orderkey // 15),
+    seen AS (SELECT DISTINCT accessionNumber AS acc FROM {URGENT_SQL}),
+    todo AS (SELECT top.*, raw.html FROM top LEFT JOIN raw USING (accessionNumber)
+             WHERE accessionNumber NOT IN (SELECT acc FROM seen)),
+    s AS {sql_section_select(f"(SELECT accessionNumber, {sql_html_to_text('html')} AS t FROM todo)", 'accessionNumber',
+                             't', CFG.min_item1a_chars)},
+    st AS (SELECT top.cik, top.accessionNumber,
+                  CASE WHEN top.accessionNumber IN (SELECT acc FROM seen) THEN 'already_ingested:' || top.accessionNumber
+                       WHEN todo.html IS NULL THEN '{ing.MISSING_DOCUMENT}'
+                       WHEN s.section IS NULL THEN top.accessionNumber || ':no_item_1a' END AS reason,
+                  s.section
+           FROM top LEFT JOIN todo USING (accessionNumber) LEFT JOIN s USING (accessionNumber))
+    SELECT cik, accessionNumber, reason,
+           CASE WHEN reason IS NULL THEN {sql_fixed_count('length(section)', CFG.chunk_size, CFG.chunk_overlap)} END AS chunks
+    FROM st
+    UNION ALL
+    SELECT cik, NULL, 'no_10k_recent', NULL FROM none
+    """
+
+
+@register("ingest_history", _history_sql())
+def q_ingest_history(spark, d):
+    return history_status(spark, d)

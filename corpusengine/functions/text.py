@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 # Tags whose content is dropped, comments, and every other tag. A run of
 # markers becomes a single join between two text nodes.
 _TAG_MARK = "\u0001"
+# (All alternatives start with '<', so it is factored out: positions without
+# a '<' fail on the first character.)
 _DROP_PATTERN = (
-    r"(?is)<!--.*?-->"
-    r"|<script\b[^>]*>.*?</script\s*>"
-    r"|<style\b[^>]*>.*?</style\s*>"
-    r"|<noscript\b[^>]*>.*?</noscript\s*>"
-    r"|<[^>]*>"
+    r"(?is)<(?:!--.*?-->"
+    r"|script\b[^>]*>.*?</script\s*>"
+    r"|style\b[^>]*>.*?</style\s*>"
+    r"|noscript\b[^>]*>.*?</noscript\s*>"
+    r"|[^>]*>)"
 )
+# Java's \s: space, tab, newline, vertical tab, form feed, carriage return.
+WHITESPACE = " \t\n\u000b\f\r"
 
 # Character entities decoded by html_to_text ("&amp;" last).
 HTML_ENTITIES = (
@@ -37,7 +41,7 @@ def strip_ws(c: Column) -> Column:
 
     Spark's ``trim`` only removes spaces.
     """
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def html_to_text(html: Column) -> Column:
@@ -49,11 +53,14 @@ def html_to_text(html: Column) -> Column:
     """
     t = F.regexp_replace(html, _DROP_PATTERN, _TAG_MARK)
     t = F.regexp_replace(t, _TAG_MARK + "+", "\n")
+    decoded = t
     for entity, char in HTML_ENTITIES:
-        t = F.replace(t, F.lit(entity), F.lit(char))
+        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+    t = F.when(t.contains("&"), decoded).otherwise(t)
     t = F.replace(t, F.lit("\u00a0"), F.lit(" "))
-    t = F.regexp_replace(t, r"[ \t]+", " ")
-    t = F.regexp_replace(t, r"\n{2,}", "\n\n")
+    # Only runs that change: 2+ spaces/tabs or a lone tab; 3+ newlines.
+    t = F.regexp_replace(t, r"[ \t]{2,}|\t", " ")
+    t = F.regexp_replace(t, r"\n{3,}", "\n\n")
     return strip_ws(t)
 
 

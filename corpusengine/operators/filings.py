@@ -38,7 +38,9 @@ def parse_master_index(files: DataFrame, text_col: str = "text", header: str = M
     """
     keep = [c for c in files.columns if c != text_col]
     lines = F.split(F.col(text_col), r"\R")
-    hdr = F.array_position(F.transform(lines, lambda ln: strip_ws(ln).startswith(header)), True)
+    hdr = F.array_position(
+        F.transform(lines, lambda ln: ln.contains(header) & strip_ws(ln).startswith(header)), True
+    )
     body = F.when(hdr > 0, F.slice(lines, (hdr + 1).cast("int"), F.size(lines))).otherwise(
         F.array().cast("array<string>")
     )

@@ -1,0 +1,19 @@
+"""Join helpers: size-checked broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows of a key list that may be shipped to every task (a few MB of keys).
+DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """Materialise ``df`` once (reliable checkpoint in the shared checkpoint
+    folder, so lineage is cut and the size is exact) and mark it for
+    broadcast only if it has at most ``max_rows`` rows. Beyond the bound the
+    caller's join falls back to a shuffle join."""
+    fixed = df.checkpoint(eager=True)
+    small = fixed.limit(max_rows + 1).count() <= max_rows
+    return (F.broadcast(fixed) if small else fixed), small

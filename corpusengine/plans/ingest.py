@@ -23,6 +23,7 @@ from ..functions.filings import company_or_default, document_url, fiscal_year
 from ..functions.sections import extract_section
 from ..functions.text import html_to_text
 from ..operators import filings as fo
+from ..operators.joins import DEFAULT_MAX_BROADCAST_ROWS, sized_broadcast
 
 STATUS_COLUMNS = (
     "input_pos", "cik", "company", "form", "filingDate", "accessionNumber",
@@ -40,6 +41,7 @@ def ingest_filings(
     companies: DataFrame | None = None,
     listings: DataFrame | None = None,
     keep_section: bool = False,
+    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Status of every filing of a batch.
 
@@ -61,40 +63,49 @@ def ingest_filings(
         )
     seen_set = fo.seen_accessions(seen).select(F.col("accessionNumber").alias("_acc"), F.lit(True).alias("_seen"))
 
-    # One representative (the first copy) per accession that still needs work.
-    firsts = f.groupBy("accessionNumber").agg(
-        F.min_by(F.struct("cik", "primaryDocument"), F.col("input_pos")).alias("_f")
-    ).select("accessionNumber", "_f.cik", "_f.primaryDocument")
-    todo = fo.drop_seen(firsts, seen_set.select(F.col("_acc").alias("accessionNumber")))
+    # First copy per accession (partial aggregation: a repeated accession
+    # costs one row per map task), and the accessions that still need work.
+    per_acc = f.groupBy("accessionNumber").agg(
+        F.min("input_pos").alias("_first_pos"),
+        F.min_by(F.struct("cik", "primaryDocument"), F.col("input_pos")).alias("_f"),
+    )
+    todo = fo.drop_seen(
+        per_acc.select("accessionNumber", "_f.cik", "_f.primaryDocument"),
+        seen_set.select(F.col("_acc").alias("accessionNumber")),
+    )
     if listings is not None:
         best = fo.best_primary_doc(listings, "accessionNumber")
         todo = fo.with_primary_doc(todo, best, "accessionNumber")
     else:
         todo = todo.withColumn("primary", F.col("primaryDocument"))
-    docs = todo.join(raw_html.select("accessionNumber", "html"), "accessionNumber", "left")
-    section = extract_section(
-        html_to_text(F.col("html")), min_chars=cfg.min_item1a_chars
-    )
-    work = docs.select(
-        "accessionNumber",
-        "primary",
-        document_url(F.col("cik"), F.col("accessionNumber"), F.col("primary")).alias("url"),
-        F.col("html").isNull().alias("_missing"),
-        section.alias("section"),
-    )
-    outcome = work.select(
+    todo = todo.withColumn("url", document_url(F.col("cik"), F.col("accessionNumber"), F.col("primary")))
+
+    # The list of accessions to fetch is checkpointed and, when its size is
+    # under the bound, broadcast: the documents then stream past it without a
+    # shuffle. Beyond the bound both sides are shuffled on the accession.
+    todo, _ = sized_broadcast(todo, max_broadcast_rows)
+    html = raw_html.select("accessionNumber", "html")
+    found = html.join(todo, "accessionNumber", "inner")
+    section = extract_section(html_to_text(F.col("html")), min_chars=cfg.min_item1a_chars)
+    parsed = found.select("accessionNumber", "primary", "url", section.alias("section")).select(
         "accessionNumber", "primary", "url", "section",
-        F.when(F.col("_missing"), F.lit(MISSING_DOCUMENT))
-        .when(F.col("section").isNull(), F.concat(F.col("accessionNumber"), F.lit(":no_item_1a")))
+        F.when(F.col("section").isNull(), F.concat(F.col("accessionNumber"), F.lit(":no_item_1a")))
         .alias("_reason"),
         fixed_chunk_count(F.length("section"), cfg.chunk_size, cfg.chunk_overlap).cast("long").alias("_chunks"),
     )
+    found_keys = html.select("accessionNumber").join(todo.select("accessionNumber"), "accessionNumber", "left_semi")
+    missing = todo.join(found_keys, "accessionNumber", "left_anti").select(
+        "accessionNumber", "primary", "url", F.lit(None).cast("string").alias("section"),
+        F.lit(MISSING_DOCUMENT).alias("_reason"), F.lit(None).cast("long").alias("_chunks"),
+    )
+    outcome = parsed.unionByName(missing)
 
-    j = f.join(seen_set, f.accessionNumber == seen_set._acc, "left").drop("_acc").join(
-        outcome, "accessionNumber", "left"
+    j = (
+        f.join(per_acc.select("accessionNumber", "_first_pos"), "accessionNumber", "inner")
+        .join(seen_set, f.accessionNumber == seen_set._acc, "left")
+        .drop("_acc")
+        .join(outcome, "accessionNumber", "left")
     )
-    first_pos = f.groupBy("accessionNumber").agg(F.min("input_pos").alias("_first_pos"))
-    j = j.join(first_pos, "accessionNumber", "inner")
     already = F.concat(F.lit("already_ingested:"), F.col("accessionNumber"))
     is_first = F.col("input_pos") == F.col("_first_pos")
     reason = (

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import REASON_NO_FILINGS, IngestConfig
-from ..functions.chunking import chunk_fixed, chunk_id, chunk_recursive, fixed_chunk_count
+from ..functions.chunking import chunk_fixed, chunk_id, chunk_recursive, fixed_chunk_count, recursive_chunks
 from ..functions.filings import company_or_default, document_url, fiscal_year
 from ..functions.sections import extract_section
 from ..functions.text import html_to_text
@@ -42,6 +42,7 @@ def ingest_filings(
     listings: DataFrame | None = None,
     keep_section: bool = False,
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    chunker: str = "fixed",
 ) -> DataFrame:
     """Status of every filing of a batch.
 
@@ -51,6 +52,9 @@ def ingest_filings(
     seen     : accessionNumber (manifest of earlier runs)
     companies: cik, name (look-up for missing company names)
     listings : accessionNumber, pos, name (filing directory items)
+    chunker  : 'fixed' (native windows) or 'recursive' (separator-descending
+               splitter); the record's chunk count follows the same chunker
+               that corpus_chunks uses.
     """
     f = filings.withColumn("form", F.coalesce(F.col("form"), F.lit("10-K")))
     if companies is not None:
@@ -91,7 +95,7 @@ def ingest_filings(
         "accessionNumber", "primary", "url", "section",
         F.when(F.col("section").isNull(), F.concat(F.col("accessionNumber"), F.lit(":no_item_1a")))
         .alias("_reason"),
-        fixed_chunk_count(F.length("section"), cfg.chunk_size, cfg.chunk_overlap).cast("long").alias("_chunks"),
+        _chunk_count(F.col("section"), cfg, chunker).alias("_chunks"),
     )
     found_keys = html.select("accessionNumber").join(todo.select("accessionNumber"), "accessionNumber", "left_semi")
     missing = todo.join(found_keys, "accessionNumber", "left_anti").select(
@@ -123,6 +127,12 @@ def ingest_filings(
     return out.select(*cols)
 
 
+def _chunk_count(section, cfg: IngestConfig, chunker: str):
+    if chunker == "recursive":
+        return F.size(recursive_chunks(section, cfg.chunk_size, cfg.chunk_overlap)).cast("long")
+    return fixed_chunk_count(F.length(section), cfg.chunk_size, cfg.chunk_overlap).cast("long")
+
+
 def records(status: DataFrame) -> DataFrame:
     """K6: successful filings with the 7 record columns (schema kept if empty)."""
     return status.where(F.col("reason").isNull()).select(*RECORD_COLUMNS)

@@ -91,20 +91,24 @@ URGENT_SQL = """(SELECT printf('%010d-%02d-%06d', o_custkey, year(o_orderdate) %
     FROM orders WHERE o_orderpriority = '1-URGENT')"""
 
 
-@register(
-    "daily_match_first",
-    f"""
+DAILY_MATCH_SQL = f"""
     WITH idx AS (SELECT * FROM {IDX_ROWS_SQL} WHERE form IN {_in(DAILY_FORMS)}),
     subs AS (SELECT cik, form, {sql_parse_date('filingDate')} AS sd, pos, accessionNumber, primaryDocument FROM {SUB_FLAT_SQL}),
     j AS (SELECT idx.*, subs.pos, subs.accessionNumber, subs.primaryDocument
           FROM idx LEFT JOIN subs ON idx.cik = subs.cik AND idx.form = subs.form
                AND {sql_parse_date('idx.date_filed')} = subs.sd
           QUALIFY row_number() OVER (PARTITION BY idx.file_date, idx.line_no ORDER BY subs.pos NULLS LAST) = 1)
-    SELECT file_date, line_no, cik, form, date_filed, accessionNumber, primaryDocument,
+    SELECT file_date, line_no, cik, company, form, date_filed, accessionNumber, primaryDocument,
            CASE WHEN accessionNumber IS NULL THEN 'not_found_in_submissions_recent'
                 WHEN accessionNumber IN (SELECT accessionNumber FROM {URGENT_SQL}) THEN 'already_seen' END AS reason
     FROM j
-    """,
+    """
+
+
+@register(
+    "daily_match_first",
+    f"""SELECT file_date, line_no, cik, form, date_filed, accessionNumber, primaryDocument, reason
+        FROM ({DAILY_MATCH_SQL})""",
 )
 def q_daily_match_first(spark, d):
     idx = fo.filter_forms(index_rows(spark, d), DAILY_FORMS)

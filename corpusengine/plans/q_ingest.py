@@ -9,10 +9,12 @@ from ..sources.tables import read_table
 from . import derived as dv
 from . import ingest as ing
 from .q_filings import (
+    DAILY_MATCH_SQL,
     SUB_FLAT_SQL,
     SUB_NAMES_SQL,
     URGENT_SQL,
     flat_submissions,
+    index_rows,
     labels_manifest,
     submission_names,
     urgent_manifest,
@@ -164,3 +166,64 @@ def _history_sql() -> str:
 @register("ingest_history", _history_sql())
 def q_ingest_history(spark, d):
     return history_status(spark, d)
+
+
+# --- daily incremental path over every derived index day (T1, J1, J2, W3, W4) ---
+
+def _input_pos(file_date, line_no):
+    return F.regexp_replace(file_date, "-", "").cast("long") * F.lit(1_000_000) + line_no
+
+
+def daily_status(spark, d):
+    from ..config import DAILY_FORMS
+    from ..operators import filings as fo
+
+    idx = fo.filter_forms(index_rows(spark, d), DAILY_FORMS)
+    prepared = fo.prepare_daily(
+        fo.match_first_submission(idx, flat_submissions(spark, d)),
+        fo.seen_accessions(urgent_manifest(spark, d)),
+    ).withColumn("input_pos", _input_pos(F.col("file_date"), F.col("line_no")))
+    provided = prepared.where(F.col("status") == "provided").select(
+        "input_pos", "cik", "accessionNumber", "primaryDocument", F.col("date_filed").alias("filingDate"),
+        "form", "company",
+    )
+    st = ing.ingest_filings(provided, order_html(spark, d), urgent_manifest(spark, d), CFG)
+    missed = prepared.where(F.col("status") == "skip").select(
+        "input_pos", "cik", "accessionNumber", "reason", F.lit(None).cast("long").alias("chunks")
+    )
+    return st.select("input_pos", "cik", "accessionNumber", "reason", "chunks").unionByName(missed)
+
+
+def _daily_sql() -> str:
+    html = dv.sql_filing_html("doc.doc_id", "doc.text")
+    pos = "CAST(replace(file_date, '-', '') AS BIGINT) * 1000000 + line_no"
+    return f"""
+    WITH dm AS ({DAILY_MATCH_SQL}),
+    prov AS (SELECT *, {pos} AS input_pos FROM dm WHERE reason IS NULL),
+    firsts AS (SELECT accessionNumber, min(input_pos) AS first_pos FROM prov GROUP BY accessionNumber),
+    raw AS (SELECT printf('%010d-%02d-%06d', o_custkey, year(o_orderdate) % 100, o_orderkey) AS accessionNumber,
+                   {html} AS html
+            FROM orders o JOIN documents doc ON doc.doc_id = o.o_orderkey // 15),
+    todo AS (SELECT f.accessionNumber, raw.html FROM firsts f LEFT JOIN raw USING (accessionNumber)),
+    s AS {sql_section_select(f"(SELECT accessionNumber, {sql_html_to_text('html')} AS t FROM todo)",
+                             'accessionNumber', 't', CFG.min_item1a_chars)},
+    o AS (SELECT todo.accessionNumber,
+                 CASE WHEN todo.html IS NULL THEN '{ing.MISSING_DOCUMENT}'
+                      WHEN s.section IS NULL THEN todo.accessionNumber || ':no_item_1a' END AS r,
+                 {sql_fixed_count('length(s.section)', CFG.chunk_size, CFG.chunk_overlap)} AS n
+          FROM todo LEFT JOIN s USING (accessionNumber)),
+    st AS (SELECT p.input_pos, p.cik, p.accessionNumber,
+                  CASE WHEN p.input_pos = f.first_pos THEN o.r
+                       WHEN o.r IS NULL THEN 'already_ingested:' || p.accessionNumber ELSE o.r END AS reason,
+                  o.n
+           FROM prov p JOIN firsts f USING (accessionNumber) JOIN o USING (accessionNumber))
+    SELECT input_pos, cik, accessionNumber, reason, CASE WHEN reason IS NULL THEN n END AS chunks FROM st
+    UNION ALL
+    SELECT {pos}, cik, accessionNumber, reason, NULL FROM dm WHERE reason IS NOT NULL
+    """
+
+
+@register("daily_ingest", _daily_sql())
+def q_daily_ingest(spark, d):
+    """T1 over every index day: match, seen check, ingest, first occurrence."""
+    return daily_status(spark, d)

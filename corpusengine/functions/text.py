@@ -36,6 +36,13 @@ HTML_ENTITIES = (
 )
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` (a one-element
+    ``transform``), so a large expression is not copied into several
+    branches of a CASE."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def strip_ws(c: Column) -> Column:
     """Strip leading and trailing whitespace (spaces, tabs, newlines...).
 
@@ -53,14 +60,25 @@ def html_to_text(html: Column) -> Column:
     """
     t = F.regexp_replace(html, _DROP_PATTERN, _TAG_MARK)
     t = F.regexp_replace(t, _TAG_MARK + "+", "\n")
-    decoded = t
-    for entity, char in HTML_ENTITIES:
-        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-    t = F.when(t.contains("&"), decoded).otherwise(t)
+
+    def decode(x: Column) -> Column:
+        d = x
+        for entity, char in HTML_ENTITIES:
+            d = F.replace(d, F.lit(entity), F.lit(char))
+        return F.when(x.contains("&"), d).otherwise(x)
+
+    def squeeze(x: Column) -> Column:
+        # Only runs that change: 2+ spaces/tabs or a lone tab; 3+ newlines.
+        x = F.when(x.contains("  ") | x.contains("\t"), F.regexp_replace(x, r"[ \t]{2,}|\t", " ")).otherwise(x)
+        return x
+
+    def lines(x: Column) -> Column:
+        return F.when(x.contains("\n\n\n"), F.regexp_replace(x, r"\n{3,}", "\n\n")).otherwise(x)
+
+    t = let(t, decode)
     t = F.replace(t, F.lit("\u00a0"), F.lit(" "))
-    # Only runs that change: 2+ spaces/tabs or a lone tab; 3+ newlines.
-    t = F.regexp_replace(t, r"[ \t]{2,}|\t", " ")
-    t = F.regexp_replace(t, r"\n{3,}", "\n\n")
+    t = let(t, squeeze)
+    t = let(t, lines)
     return strip_ws(t)
 
 

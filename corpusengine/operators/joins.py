@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -
     folder, so lineage is cut and the size is exact) and mark it for
     broadcast only if it has at most ``max_rows`` rows. Beyond the bound the
     caller's join falls back to a shuffle join."""
-    fixed = df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    fixed = cached.checkpoint(eager=True)  # computed once (from the cache)
+    cached.unpersist()
     small = fixed.limit(max_rows + 1).count() <= max_rows
     return (F.broadcast(fixed) if small else fixed), small

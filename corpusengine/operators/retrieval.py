@@ -43,13 +43,14 @@ HIT_SCHEMA = T.StructType(
 def vector_mean(df: DataFrame, key: str, vec_col: str) -> DataFrame:
     """Per key, the element-wise mean vector (array<double>).
 
-    Exploded by position and averaged with partial aggregation, so a hot key
-    costs one partial row per position and map task."""
-    ex = df.select(key, F.posexplode(vec_col).alias("_i", "_x"))
-    per = ex.groupBy(key, "_i").agg(F.avg("_x").alias("_m"))
-    return per.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias(vec_col)
-    )
+    Spark ML's Summarizer is a partial aggregate over whole vectors (no
+    explode per dimension), so a hot key costs one buffer per map task."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    v = df.select(key, array_to_vector(F.col(vec_col)).alias("_v"))
+    agg = v.groupBy(key).agg(Summarizer.mean(F.col("_v")).alias("_m"))
+    return agg.select(key, vector_to_array("_m").alias(vec_col))
 
 
 def _check_metric(metric: str) -> None:
@@ -220,7 +221,7 @@ def knn(
     _check_metric(metric)
     spark = corpus.sparkSession
     extra = [c for c in (q_filter_col, q_cells_col) if c]
-    q = questions.select(F.col(qid_col).cast("long").alias(qid_col), qvec_col, *extra)
+    q = questions.select(F.col(qid_col).cast("long").alias(qid_col), qvec_col, *extra).persist()
     n, nblocks = _block_count(q, limits, dim_hint)
     need = [id_col, vec_col] + [c for c in (filter_col, cell_col) if c]
     scan = corpus.select(
@@ -235,6 +236,7 @@ def knn(
         bc = spark.sparkContext.broadcast(data)
         fn = _score_fn(bc, metric, k, id_col, vec_col, filter_col, q_filter_col, cell_col, q_cells_col)
         parts.append(scan.mapInArrow(fn, HIT_SCHEMA))
+    q.unpersist()
     if not parts:
         return spark.createDataFrame([], "qid long, rank long, id long, score double")
     cand = parts[0]
@@ -265,23 +267,21 @@ def ivf_cells(corpus: DataFrame, vec_col: str, nlist: int, seed: int = 7, max_it
 def probe_cells(questions: DataFrame, model, qvec_col: str, nprobe: int) -> DataFrame:
     """Add 'cells': the ``nprobe`` nearest centroids (L2) of each question.
 
-    The centroids are bounded by ``nlist`` and are shipped as a literal."""
-    centers = [list(map(float, c)) for c in model.clusterCenters()]
-    cen = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centers])
-    dists = F.transform(
-        cen,
-        lambda c, i: F.struct(
-            F.aggregate(
-                F.zip_with(c, F.col(qvec_col), lambda a, b: (a - b) * (a - b)),
-                F.lit(0.0),
-                lambda acc, x: acc + x,
-            ).alias("d"),
-            i.alias("i"),
-        ),
-    )
-    return questions.withColumn(
-        "cells", F.transform(F.slice(F.array_sort(dists), 1, nprobe), lambda s: s["i"])
-    )
+    The centroid matrix is bounded by ``nlist`` x dim and is broadcast once;
+    each Arrow batch of questions is scored against it with numpy."""
+    centers = np.asarray(model.clusterCenters(), dtype=np.float64)
+    bc = questions.sparkSession.sparkContext.broadcast(centers)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def nearest(vs: pd.Series) -> pd.Series:
+        c = bc.value
+        out = []
+        for v in vs:
+            d = ((c - np.asarray(v, dtype=np.float64)[None, :]) ** 2).sum(axis=1)
+            out.append(np.lexsort((np.arange(len(d)), d))[:nprobe].astype(np.int32).tolist())
+        return pd.Series(out)
+
+    return questions.withColumn("cells", nearest(F.col(qvec_col)))
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, qid_col: str = "qid", id_col: str = "id") -> DataFrame:

@@ -15,7 +15,7 @@ from .sqlfrag import sql_strip
 
 # --- shared SQL ------------------------------------------------------------
 E_SQL = "(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
-CENTROID_SQL = f"""(SELECT label AS qid, list(x ORDER BY i) AS qv FROM (
+CENTROID_SQL = f"""(SELECT CAST(label AS BIGINT) AS qid, list(x ORDER BY i) AS qv FROM (
     SELECT label, i, avg(v[i]) AS x FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS i FROM {E_SQL})
     GROUP BY label, i) GROUP BY label)"""
 QUESTION_TEXT_SQL = (

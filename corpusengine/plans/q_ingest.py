@@ -20,7 +20,7 @@ from .q_filings import (
     urgent_manifest,
 )
 from .registry import CFG, register
-from .sqlfrag import sql_fixed_count, sql_html_to_text, sql_section_select, sql_strip
+from .sqlfrag import sql_fixed_chunks, sql_fixed_count, sql_html_to_text, sql_section_select, sql_strip
 
 ARCHIVE = "'https://www.sec.gov/Archives/edgar/data/'"
 
@@ -106,7 +106,44 @@ def q_processed_head(spark, d):
     return st.where(F.col("reason").isNull()).orderBy("input_pos").limit(10).select("input_pos", "company")
 
 
-# --- historical path (I1-I3, J4, W1, O2) --------------------------------------
+@register(
+    "ingest_skips",
+    _doc_status_sql() + "SELECT cik, reason FROM st WHERE reason IS NOT NULL",
+)
+def q_ingest_skips(spark, d):
+    """K6: the skip table (cik, reason) of the batch."""
+    return ing.skips(doc_status(spark, d))
+
+
+@register(
+    "manifest_rows",
+    _doc_status_sql()
+    + f"""SELECT cik, company, form, filingDate, accessionNumber, url, primaryDocument AS "primary",
+              'Item 1A' AS section, CAST(chunks AS INTEGER) AS chunks, '{CFG.embedding_model}' AS embedding_model
+         FROM st JOIN (SELECT {dv.sql_doc_filing_meta('d.doc_id')['primaryDocument']} AS primaryDocument,
+                              d.doc_id AS input_pos FROM documents d) USING (input_pos)
+         WHERE reason IS NULL""",
+)
+def q_manifest_rows(spark, d):
+    """K2: manifest fields of every record."""
+    return ing.manifest_rows(doc_status(spark, d), CFG)
+
+
+@register(
+    "corpus_chunks",
+    _doc_status_sql()
+    + f"""SELECT cik, accessionNumber, chunk_ix,
+              sha1(cik || '__' || accessionNumber || '__' || CAST(chunk_ix AS VARCHAR)) AS chunk_id,
+              chunk, TRY_CAST(substring(filingDate, 1, 4) AS INTEGER) AS fiscalYear
+         FROM ({sql_fixed_chunks('(SELECT * FROM st JOIN s USING (input_pos) WHERE reason IS NULL)',
+                                 'cik, accessionNumber, filingDate', 'section', CFG.chunk_size, CFG.chunk_overlap)})""",
+)
+def q_corpus_chunks(spark, d):
+    """Chunk rows of the successful filings with sha1('{cik}__{acc}__{i}')
+    ids and chunk metadata (fixed windows)."""
+    ch = ing.corpus_chunks(doc_status(spark, d, keep_section=True), CFG, chunker="fixed")
+    return ch.select("cik", "accessionNumber", F.col("chunk_ix").cast("long"), "chunk_id", "chunk", "fiscalYear")
+
 
 def order_html(spark, d):
     """Fetched main documents of the order-derived filings: the filing page of

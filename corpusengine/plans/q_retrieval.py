@@ -66,6 +66,12 @@ def q_knn_l2(spark, d):
     return h.select("qid", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
+@register("knn_dot", _topk_sql("list_inner_product(e.v, q.qv)", "DESC", RAG.retrieval_k))
+def q_knn_dot(spark, d):
+    h = _hits(spark, d, "dot")
+    return h.select("qid", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
 @register(
     "knn_filtered",
     _topk_sql("list_cosine_similarity(e.v, q.qv)", "DESC", RAG.retrieval_k, where="e.label = q.qid"),

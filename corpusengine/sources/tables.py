@@ -11,12 +11,34 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
+# Tables whose rows carry CPU-heavy payloads (long texts, vectors).
+HEAVY_TABLES = frozenset({"documents", "pages", "embeddings"})
+
 
 def table_path(base_dir: str, name: str) -> str:
     return os.path.join(base_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, base_dir: str, name: str, *columns: str) -> DataFrame:
-    """Parquet scan of one table; naming columns keeps ReadSchema narrow."""
+def spread_partitions(df: DataFrame) -> DataFrame:
+    """Spread an under-split scan over the available cores.
+
+    A Parquet file with one large row group is read by one task; for
+    CPU-heavy rows (regex text work, vector scoring) that task would do all
+    the work. When the scan has fewer splits than the default parallelism,
+    the rows are redistributed round-robin; scans that already have enough
+    splits (any large input) are returned unchanged, with no shuffle.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    have = df.rdd.getNumPartitions()  # planning only for a plain scan
+    return df.repartition(want) if have < want else df
+
+
+def read_table(spark: SparkSession, base_dir: str, name: str, *columns: str,
+               spread: bool | None = None) -> DataFrame:
+    """Parquet scan of one table; naming columns keeps ReadSchema narrow.
+    Heavy tables are spread over the cores when under-split."""
     df = spark.read.parquet(table_path(base_dir, name))
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    if spread is None:
+        spread = name in HEAVY_TABLES
+    return spread_partitions(df) if spread else df

@@ -6,6 +6,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 # Rows of a key list that may be shipped to every task (a few MB of keys).
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
@@ -15,6 +17,7 @@ def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -
     folder, so lineage is cut and the size is exact) and mark it for
     broadcast only if it has at most ``max_rows`` rows. Beyond the bound the
     caller's join falls back to a shuffle join."""
+    ensure_checkpoint_dir(df.sparkSession)
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
     fixed = cached.checkpoint(eager=True)  # computed once (from the cache)
     cached.unpersist()

@@ -37,18 +37,21 @@ def parse_master_index(files: DataFrame, text_col: str = "text", header: str = M
     number in its file). Other input columns are kept.
     """
     keep = [c for c in files.columns if c != text_col]
-    lines = F.split(F.col(text_col), r"\R")
+    # Each step is its own projection so the split lines, the header position
+    # and the split fields are computed once per file / line.
+    lined = files.select(*keep, F.split(F.col(text_col), r"\R").alias("_lines"))
+    lines = F.col("_lines")
     hdr = F.array_position(
         F.transform(lines, lambda ln: ln.contains(header) & strip_ws(ln).startswith(header)), True
     )
-    body = F.when(hdr > 0, F.slice(lines, (hdr + 1).cast("int"), F.size(lines))).otherwise(
+    with_hdr = lined.select(*keep, "_lines", hdr.alias("_hdr"))
+    body = F.when(F.col("_hdr") > 0, F.slice(lines, (F.col("_hdr") + 1).cast("int"), F.size(lines))).otherwise(
         F.array().cast("array<string>")
     )
-    exploded = files.select(
-        *keep, hdr.alias("_hdr"), F.posexplode(body).alias("_pos", "_line")
-    )
-    parts = F.split(F.col("_line"), r"\|")
-    out = exploded.where(F.size(parts) == 5).select(
+    exploded = with_hdr.select(*keep, "_hdr", F.posexplode(body).alias("_pos", "_line"))
+    split_rows = exploded.select(*keep, "_hdr", "_pos", F.split(F.col("_line"), r"\|").alias("_parts"))
+    parts = F.col("_parts")
+    out = split_rows.where(F.size(parts) == 5).select(
         *keep,
         (F.col("_hdr") + F.col("_pos") + 1).cast("bigint").alias("line_no"),
         *[strip_ws(parts.getItem(i)).alias(n) for i, n in enumerate(INDEX_FIELDS)],

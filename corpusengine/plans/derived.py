@@ -164,7 +164,7 @@ def sql_order_form(orderkey: str) -> str:
 
 def index_files(spark: SparkSession, d: str) -> DataFrame:
     """file_date (yyyy-MM-dd string) and text of each daily index file."""
-    o = read_table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    o = read_table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate", spread=True)
     c = read_table(spark, d, "customer", "c_custkey", "c_name")
     j = o.join(c, o.o_custkey == c.c_custkey, "inner")
     cik = F.col("o_custkey").cast("string")
@@ -236,7 +236,7 @@ def sql_index_files() -> str:
 
 def submission_rows(spark: SparkSession, d: str) -> DataFrame:
     """One row per order with the fields the arrays are built from."""
-    o = read_table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
+    o = read_table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", spread=True)
     date = F.when(
         F.col("o_orderstatus") == "P", F.date_add(F.col("o_orderdate").cast("date"), 1)
     ).otherwise(F.col("o_orderdate").cast("date"))

@@ -1,18 +1,40 @@
-"""Embedding hooks.
+"""Model hooks.
 
 ``tfidf_embed`` is the built-in lexical embedder: a Spark ML pipeline
 (RegexTokenizer -> HashingTF -> IDF -> Normalizer) giving unit-length
 array<float> vectors of a fixed dimension. It is not a semantic model.
-``model_embed`` plugs any batch model in through ``predict_batch_udf``
-(Arrow batches, the model loaded once per Python worker).
+
+``model_embed`` and ``model_generate`` plug in any batch model through an
+Arrow-batched pandas UDF: ``make_model()`` is called once per Python worker
+(cached), and the returned callable maps a list of strings to a batch of
+outputs. Spark partitions and schedules the work; the model only sees
+batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_MODELS: dict[str, Callable] = {}
+
+
+def _model(make_model: Callable) -> Callable:
+    """The model of ``make_model``, built once per Python worker process
+    (workers are reused across tasks, the factory is keyed by its pickle)."""
+    import hashlib
+
+    from pyspark import cloudpickle
+
+    key = hashlib.sha1(cloudpickle.dumps(make_model)).hexdigest()
+    if key not in _MODELS:
+        _MODELS[key] = make_model()
+    return _MODELS[key]
 
 
 def tfidf_embed(df: DataFrame, text_col: str, dim: int = 384, out_col: str = "embedding",
@@ -32,13 +54,41 @@ def tfidf_embed(df: DataFrame, text_col: str, dim: int = 384, out_col: str = "em
     return out.drop("_tok", "_tf", "_idf", "_vec")
 
 
-def model_embed(df: DataFrame, text_col: str, make_predict: Callable, dim: int,
-                out_col: str = "embedding", batch_size: int = 64) -> DataFrame:
-    """Embed with a user model: ``make_predict()`` returns a function
-    numpy[str] -> numpy[n, dim] (see pyspark.ml.functions.predict_batch_udf)."""
-    from pyspark.ml.functions import predict_batch_udf
-    from pyspark.sql import types as T
+def hashing_embed(df: DataFrame, text_col: str, dim: int = 384, out_col: str = "embedding") -> DataFrame:
+    """Stateless lexical embedder (no fitted IDF), so vectors of different
+    daily batches stay comparable."""
+    from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+    from pyspark.ml.functions import vector_to_array
+
+    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\W+", toLowercase=True).transform(df)
+    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim).transform(tok)
+    norm = Normalizer(inputCol="_tf", outputCol="_vec", p=2.0).transform(tf)
+    return norm.withColumn(out_col, vector_to_array("_vec", "float32")).drop("_tok", "_tf", "_vec")
+
+
+def model_embed(text: Column, make_model: Callable[[], Callable[[list[str]], np.ndarray]]) -> Column:
+    """array<float> per text from a user model."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def _embed(texts: pd.Series) -> pd.Series:
+        model = _model(make_model)
+        vecs = np.asarray(model(texts.fillna("").tolist()), dtype=np.float32)
+        return pd.Series(list(vecs))
+
+    return _embed(text)
+
+
+def model_generate(prompt: Column, make_model: Callable[[], Callable[[list[str]], list[str]]]) -> Column:
+    """Generated text per prompt from a user model (X2); use as
+    ``answer_frame(generate=lambda p: model_generate(p, make_model))``."""
+
+    @F.pandas_udf(T.StringType())
+    def _gen(prompts: pd.Series) -> pd.Series:
+        model = _model(make_model)
+        mask = prompts.notna()
+        out = pd.Series([None] * len(prompts), dtype=object)
+        if mask.any():
+            out[mask] = model(prompts[mask].tolist())
+        return out
 
-    udf = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size,
-                            input_tensor_shapes=[[1]])
-    return df.withColumn(out_col, udf(F.col(text_col)))
+    return _gen(prompt)

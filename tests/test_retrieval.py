@@ -119,3 +119,31 @@ def test_history(spark):
     assert [(r.user_text, r.bot_text) for r in cx.history_pairs(h).collect()] == [("hi", "hello")]
     cleared = spark.createDataFrame([(2,)], "conv_id long")
     assert cx.history_clear(h, cleared).count() == 3
+
+
+def test_model_hooks(spark):
+    from corpusengine.operators.embed import hashing_embed, model_embed, model_generate
+
+    def _make_embedder():
+        import numpy as np
+
+        def model(texts):
+            return np.array([[len(t), t.count("a"), 1.0] for t in texts], dtype=np.float32)
+
+        return model
+
+    def _make_llm():
+        def model(prompts):
+            return [f"Thinking... Answer:  {len(p)} chars " for p in prompts]
+
+        return model
+
+    df = spark.createDataFrame([(1, "banana"), (2, None)], "id long, text string")
+    got = {r.id: r.e for r in df.select("id", model_embed(F.col("text"), _make_embedder).alias("e")).collect()}
+    assert got[1] == [6.0, 3.0, 1.0] and got[2] == [0.0, 0.0, 1.0]
+    qs = spark.createDataFrame([(1, "What?")], "qid long, question string")
+    ctx = spark.createDataFrame([(1, "c")], "qid long, context string")
+    ans = cx.answer_frame(qs, ctx, generate=lambda p: model_generate(p, _make_llm)).first()
+    assert ans.answer.endswith("chars") and ans.answer.split()[0].isdigit()
+    h = hashing_embed(df.where("text IS NOT NULL"), "text", dim=16).first().embedding
+    assert len(h) == 16 and abs(sum(x * x for x in h) - 1.0) < 1e-5

@@ -37,30 +37,46 @@ def _model(make_model: Callable) -> Callable:
     return _MODELS[key]
 
 
-def tfidf_embed(df: DataFrame, text_col: str, dim: int = 384, out_col: str = "embedding",
-                min_doc_freq: int = 0) -> DataFrame:
+TOKEN_PATTERN = r"[^\p{L}\p{N}]+"
+
+
+def fit_tfidf(df: DataFrame, text_col: str, dim: int = 384, min_doc_freq: int = 0):
+    """Fit the lexical embedder (IDF statistics are one distributed pass)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
 
     stages = [
-        RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\W+", toLowercase=True),
+        RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=TOKEN_PATTERN, toLowercase=True),
         HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim),
         IDF(inputCol="_tf", outputCol="_idf", minDocFreq=min_doc_freq),
         Normalizer(inputCol="_idf", outputCol="_vec", p=2.0),
     ]
-    model = Pipeline(stages=stages).fit(df)
-    out = model.transform(df).withColumn(out_col, vector_to_array("_vec", "float32"))
+    return Pipeline(stages=stages).fit(df)
+
+
+def apply_tfidf(model, df: DataFrame, text_col: str, out_col: str = "embedding") -> DataFrame:
+    """Embed ``df`` with a fitted model (same vocabulary hashing and IDF)."""
+    from pyspark.ml.functions import vector_to_array
+
+    inp = df if text_col == model.stages[0].getInputCol() else df.withColumnRenamed(
+        text_col, model.stages[0].getInputCol())
+    out = model.transform(inp).withColumn(out_col, vector_to_array("_vec", "float32"))
     return out.drop("_tok", "_tf", "_idf", "_vec")
 
 
+def tfidf_embed(df: DataFrame, text_col: str, dim: int = 384, out_col: str = "embedding",
+                min_doc_freq: int = 0) -> DataFrame:
+    """Fit on ``df`` and embed it."""
+    return apply_tfidf(fit_tfidf(df, text_col, dim, min_doc_freq), df, text_col, out_col)
+
+
 def hashing_embed(df: DataFrame, text_col: str, dim: int = 384, out_col: str = "embedding") -> DataFrame:
     """Stateless lexical embedder (no fitted IDF), so vectors of different
     daily batches stay comparable."""
     from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
 
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\W+", toLowercase=True).transform(df)
+    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=TOKEN_PATTERN, toLowercase=True).transform(df)
     tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim).transform(tok)
     norm = Normalizer(inputCol="_tf", outputCol="_vec", p=2.0).transform(tf)
     return norm.withColumn(out_col, vector_to_array("_vec", "float32")).drop("_tok", "_tf", "_vec")

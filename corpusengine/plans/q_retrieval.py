@@ -226,3 +226,28 @@ def q_embed_tfidf(spark, d):
         F.size("embedding").cast("long").alias("dim"),
         F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"),
     )
+
+
+@register("benchmark_retrieval")
+def q_benchmark_retrieval(spark, d):
+    """V1 + F12 + V2 end to end on real text: every document chunked
+    (1000/200) and embedded with the lexical TF-IDF embedder fitted on the
+    chunks, every benchmark passage asked as a question with the same model,
+    top-5 chunks per passage."""
+    from ..functions.chunking import chunk_fixed
+    from ..operators.embed import apply_tfidf, fit_tfidf
+
+    docs = read_table(spark, d, "documents", "doc_id", "text")
+    chunks = chunk_fixed(docs, "text", RAG.upload_chunk_size, RAG.upload_chunk_overlap)
+    chunks = chunks.select("doc_id", "chunk_ix", "chunk",
+                           F.xxhash64("doc_id", "chunk_ix").alias("cid"))
+    model = fit_tfidf(chunks, "chunk", dim=4096)
+    corpus = apply_tfidf(model, chunks, "chunk").select("cid", "doc_id", "chunk_ix", "embedding")
+    bench = read_table(spark, d, "benchmark", "item_id", "text")
+    qs = apply_tfidf(model, bench, "text").select(F.col("item_id").alias("qid"), F.col("embedding").alias("qvec"))
+    h = rt.knn(corpus, qs, RAG.retrieval_k, metric="cosine", id_col="cid", vec_col="embedding",
+               qid_col="qid", qvec_col="qvec")
+    meta = corpus.select("cid", "doc_id", F.col("chunk_ix").cast("long"))
+    return h.join(meta, "cid").select(
+        F.col("qid").alias("item_id"), "rank", "doc_id", "chunk_ix", F.round("score", 6).alias("score")
+    )

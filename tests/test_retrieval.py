@@ -147,3 +147,18 @@ def test_model_hooks(spark):
     assert ans.answer.endswith("chars") and ans.answer.split()[0].isdigit()
     h = hashing_embed(df.where("text IS NOT NULL"), "text", dim=16).first().embedding
     assert len(h) == 16 and abs(sum(x * x for x in h) - 1.0) < 1e-5
+
+
+def test_benchmark_passages_find_their_documents(spark):
+    import __spark_entry__ as entry
+
+    hits = entry.queries()["benchmark_retrieval"](spark, SF01)
+    docs = read_table(spark, SF01, "documents", "doc_id", "text", spread=False)
+    bench = read_table(spark, SF01, "benchmark", "item_id", "text")
+    truth = bench.alias("b").join(docs.alias("d"), F.expr("instr(d.text, b.text) > 0")).select(
+        "b.item_id", "d.doc_id")
+    pairs = {(r.item_id, r.doc_id) for r in truth.collect()}
+    items = {i for i, _ in pairs}
+    found = {(r.item_id, r.doc_id) for r in hits.collect()}
+    hit_items = {i for i, dd in pairs if (i, dd) in found}
+    assert len(items) > 0 and len(hit_items) / len(items) >= 0.8

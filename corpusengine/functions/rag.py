@@ -30,10 +30,3 @@ def render_prompt(context: Column, question: Column, template: str = PROMPT_TEMP
 def clean_answer(answer: Column, marker: str = ANSWER_MARKER) -> Column:
     """Text after the last marker (whole text when absent), stripped."""
     return strip_ws(F.substring_index(answer, marker, -1))
-
-
-def ordered_join(items: Column, order_field: str, value_field: str, sep: str = "\n\n") -> Column:
-    """Join ``value_field`` of an array of structs in ``order_field`` order."""
-    return F.array_join(
-        F.transform(F.array_sort(items), lambda x: x[value_field]), sep
-    ) if order_field else F.array_join(F.transform(items, lambda x: x[value_field]), sep)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..config import BLANK_QUESTION_REPLY, NOTHING_FOUND_REPLY, PROMPT_TEMPLATE, RagConfig
 from ..functions.rag import clean_answer, is_blank, label_item, render_prompt
-from ..functions.text import strip_ws
 
 
 def merge_sources(hits: list[tuple[DataFrame, str]], cap: int, qid_col: str = "qid") -> DataFrame:
@@ -104,7 +103,3 @@ def history_pairs(history: DataFrame, conv_col: str = "conv_id") -> DataFrame:
 def history_clear(history: DataFrame, cleared: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """Drop the conversations listed in ``cleared``."""
     return history.join(cleared.select(conv_col), conv_col, "left_anti")
-
-
-def strip_text(c: Column) -> Column:
-    return strip_ws(c)

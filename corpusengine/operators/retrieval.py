@@ -290,11 +290,3 @@ def recall_at_k(approx: DataFrame, exact: DataFrame, qid_col: str = "qid", id_co
     total = exact.count()
     spark: SparkSession = exact.sparkSession
     return spark.createDataFrame([(float(hit) / total if total else 1.0,)], "recall double")
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Column-level cosine similarity of two equal-length arrays (small inputs)."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    na = F.sqrt(F.aggregate(F.transform(a, lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
-    nb = F.sqrt(F.aggregate(F.transform(b, lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
-    return dot / (na * nb)

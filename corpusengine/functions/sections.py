@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WHITESPACE, strip_ws
+from .text import strip_ws
 
 _START_MARK = "\u0002"
 _END_MARK = "\u0003"
@@ -50,15 +50,11 @@ def section_candidates(text: Column, start_re: str, end_re: str) -> Column:
     return F.flatten(F.transform(blocks, block_candidates))
 
 
-def _is_page_number(ln: Column) -> Column:
-    """Same as rlike(PAGE_NUMBER_LINE), with a cheap length test first."""
-    t = F.btrim(ln, F.lit(WHITESPACE))
-    return (F.length(t) >= 1) & (F.length(t) <= 3) & t.rlike("^[0-9]+$")
-
-
 def drop_page_number_lines(s: Column) -> Column:
+    """Drop lines that are only 1-3 digits (page numbers); lines re-joined
+    with '\n', result stripped."""
     lines = F.split(s, r"\R")
-    kept = F.filter(lines, lambda ln: ~_is_page_number(ln))
+    kept = F.filter(lines, lambda ln: ~ln.rlike(PAGE_NUMBER_LINE))
     return strip_ws(F.array_join(kept, "\n"))
 
 

@@ -63,3 +63,16 @@ def test_history_ordered_limit(spark):
 def test_top_n_keeps_partial_limit(spark):
     p = plan_of(qf.q_top_n_per_company(spark, SF01))
     assert "WindowGroupLimit" in p
+
+
+def test_hot_key_operators_aggregate_before_shuffle(spark):
+    # a third of the rows share one accession
+    rows = [(i, "HOT" if i % 3 == 0 else f"a{i}", None) for i in range(300)]
+    df = spark.createDataFrame(rows, "input_pos long, accessionNumber string, r string")
+    from corpusengine.operators.filings import first_occurrence_status
+
+    p = plan_of(first_occurrence_status(df, F.col("r")))
+    # a partial aggregate runs before the exchange on the key
+    assert "partial_min" in p and "partial_min_by" in p
+    out = first_occurrence_status(df, F.col("r")).where("accessionNumber = 'HOT'")
+    assert out.where("reason IS NULL").count() == 1 and out.count() == 100

@@ -52,3 +52,42 @@ def chunk_stream(
     )
     q.awaitTermination()
     return spark.read.parquet(sink_dir)
+
+
+def index_stream(
+    spark: SparkSession,
+    daily_index_dir: str,
+    sink_dir: str,
+    checkpoint_dir: str,
+    forms=None,
+) -> DataFrame:
+    """Parse every landed daily index file (one row per file with
+    ``wholetext``) into filing rows and append them to a Parquet table.
+
+    Each run processes only files that landed since the last run (the file
+    source keeps the list in the checkpoint), so days that arrive late are
+    picked up by the next run and re-runs add nothing."""
+    from ..config import DAILY_FORMS
+    from ..operators.filings import filter_forms, parse_master_index
+
+    files = (
+        spark.readStream.format("text").option("wholetext", True)
+        .option("recursiveFileLookup", True).option("pathGlobFilter", "master.*.idx")
+        .load(daily_index_dir)
+        .select(
+            F.regexp_extract(F.col("_metadata.file_name"), r"master\.([0-9]{8})\.idx", 1).alias("_d"),
+            F.col("value").alias("text"),
+        )
+        .select(F.date_format(F.to_date("_d", "yyyyMMdd"), "yyyy-MM-dd").alias("file_date"), "text")
+    )
+    rows = filter_forms(parse_master_index(files), forms or DAILY_FORMS)
+    q = (
+        rows.writeStream.format("parquet")
+        .option("path", sink_dir)
+        .option("checkpointLocation", checkpoint_dir)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    return spark.read.parquet(sink_dir)

@@ -122,3 +122,29 @@ def test_artifact_render_roundtrip(spark):
     parsed = spark.createDataFrame([(a.artifact_name, a.artifact_text)], "n string, t string").select(
         src.parse_artifact(F.col("n"), F.col("t")).alias("p")).first().p
     assert parsed.body == "risk text" and parsed.form == "10-K-A" and parsed.cik == "42"
+
+
+def test_index_stream_picks_up_late_days(spark, tmp_path):
+    from corpusengine.streaming.ingest_stream import index_stream
+
+    base = str(tmp_path / "daily-index")
+
+    def land(day, n):
+        path = src.daily_index_path(base, day)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w") as f:
+            f.write("x\nCIK|Company Name|Form Type|Date Filed|Filename\n--\n")
+            for i in range(n):
+                f.write(f"{i}|Co {i}|10-K|{day:%Y-%m-%d}|f{i}\n")
+            f.write("9|Other|8-K|x|y\n")
+
+    land(dt.date(2024, 12, 20), 2)
+    land(dt.date(2024, 12, 23), 3)
+    sink, ck = str(tmp_path / "rows"), str(tmp_path / "ck")
+    assert index_stream(spark, base, sink, ck).count() == 5
+    assert index_stream(spark, base, sink, ck).count() == 5  # re-run adds nothing
+    land(dt.date(2024, 12, 19), 4)  # a late day
+    out = index_stream(spark, base, sink, ck)
+    assert out.count() == 9
+    assert {r.file_date for r in out.select("file_date").distinct().collect()} == {
+        "2024-12-19", "2024-12-20", "2024-12-23"}

@@ -71,8 +71,8 @@ def write_version(df: DataFrame, corpus_dir: str, batch_size: int = 10_000,
     ``batch_size`` caps rows per file (the reference's upsert batch)."""
     spark = df.sparkSession
     cur = current_version_path(spark, corpus_dir)
-    n = 0 if cur is None else int(os.path.basename(cur).split("=")[1]) + 1
-    name = f"v={n}"
+    n = 0 if cur is None else int(os.path.basename(cur).split("-")[1]) + 1
+    name = f"version-{n}"  # not 'k=v', so it is never read as a partition column
     path = os.path.join(corpus_dir, name)
     w = df.write.mode("errorifexists").option("maxRecordsPerFile", batch_size)
     if partition_by:
@@ -94,3 +94,41 @@ def upsert_corpus(incoming: DataFrame, corpus_dir: str, key: str = "chunk_id", o
     else:
         table = upsert(spark.read.parquet(cur), incoming, key, order_col, replace_by)
     return write_version(table, corpus_dir, batch_size)
+
+
+# ---------------------------------------------------------------------------
+# Partitioned corpus: one versioned folder per partition value (e.g. filing
+# year), so an upsert rewrites only the partitions its batch touches.
+# ---------------------------------------------------------------------------
+
+def upsert_partitioned(incoming: DataFrame, base_dir: str, part_col: str, key: str = "chunk_id",
+                       order_col: str = "version", replace_by: list[str] | None = None,
+                       batch_size: int = 10_000) -> list[str]:
+    """Upsert ``incoming`` partition by partition under ``base_dir``.
+
+    The touched partition values are collected (a bounded set such as years);
+    each one is an independent versioned corpus, so untouched partitions are
+    neither read nor rewritten."""
+    values = [r[0] for r in incoming.select(part_col).distinct().collect()]
+    written = []
+    for v in sorted(values, key=lambda x: (x is None, x)):
+        part = incoming.where(F.col(part_col).isNull() if v is None else F.col(part_col) == v)
+        written.append(upsert_corpus(part, os.path.join(base_dir, f"{part_col}={v}"), key, order_col,
+                                     replace_by, batch_size))
+    return written
+
+
+def open_partitioned(spark: SparkSession, base_dir: str, part_col: str) -> DataFrame:
+    """Union of the current version of every partition (the pointer files are
+    read with Spark, so this works on any shared file system)."""
+    ptrs = spark.read.text(os.path.join(base_dir, f"{part_col}=*", POINTER)).select(
+        F.col("_metadata.file_path").alias("p"), F.col("value").alias("v")
+    ).collect()
+    # <base>/<part>=<v>/_current/part-*.txt -> <base>/<part>=<v>/<version>
+    paths = sorted({r.p.rsplit("/", 2)[0] + "/" + r.v.strip() for r in ptrs})
+    if not paths:
+        return None
+    out = spark.read.parquet(paths[0])
+    for p in paths[1:]:
+        out = out.unionByName(spark.read.parquet(p), allowMissingColumns=True)
+    return out

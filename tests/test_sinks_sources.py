@@ -33,7 +33,7 @@ def test_versioned_corpus(spark, tmp_path):
     base = str(tmp_path / "corpus")
     first = _chunks(spark, [("a0", 1, 0, "x", 1), ("a1", 1, 1, "x", 1)])
     sc.upsert_corpus(first, base, batch_size=1)
-    assert len([f for f in os.listdir(os.path.join(base, "v=0")) if f.endswith(".parquet")]) == 2
+    assert len([f for f in os.listdir(os.path.join(base, "version-0")) if f.endswith(".parquet")]) == 2
     sc.upsert_corpus(_chunks(spark, [("a1", 1, 1, "y", 2)]), base)
     cur = src.open_corpus(spark, base)
     assert {r.chunk_id: r.text for r in cur.collect()} == {"a0": "x", "a1": "y"}
@@ -148,3 +148,16 @@ def test_index_stream_picks_up_late_days(spark, tmp_path):
     assert out.count() == 9
     assert {r.file_date for r in out.select("file_date").distinct().collect()} == {
         "2024-12-19", "2024-12-20", "2024-12-23"}
+
+
+def test_partitioned_upsert_touches_only_its_partitions(spark, tmp_path):
+    base = str(tmp_path / "pcorpus")
+    rows = "chunk_id string, year int, text string, version long"
+    first = spark.createDataFrame([("a", 2021, "x", 1), ("b", 2022, "x", 1), ("c", 2023, "x", 1)], rows)
+    sc.upsert_partitioned(first, base, "year")
+    before_2021 = sorted(os.listdir(os.path.join(base, "year=2021")))
+    sc.upsert_partitioned(spark.createDataFrame([("b", 2022, "y", 2), ("d", 2022, "z", 2)], rows), base, "year")
+    assert sorted(os.listdir(os.path.join(base, "year=2021"))) == before_2021  # untouched
+    cur = sc.open_partitioned(spark, base, "year")
+    assert {r.chunk_id: r.text for r in cur.collect()} == {"a": "x", "b": "y", "c": "x", "d": "z"}
+    assert sorted(cur.columns) == ["chunk_id", "text", "version", "year"]

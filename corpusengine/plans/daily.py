@@ -5,7 +5,8 @@ Layout under ``landing_dir`` (written by an external fetcher):
     submissions/CIK##########.json
     filings/<accessionNumber>/<document>       (fetched main documents)
 State under ``state_dir`` (shared storage):
-    manifest/  (JSON lines)   corpus/ (versioned Parquet)   artifacts/ (Parquet)
+    manifest/  (JSON lines)   artifacts/ (Parquet)
+    corpus/fiscalYear=YYYY/version-N   (one versioned folder per year)
 
 The whole day is one plan: index rows -> first matching submission -> seen
 check -> ingest -> corpus upsert, artifacts, manifest. Nothing is looped per
@@ -29,6 +30,19 @@ from ..sources import files as src
 from . import ingest as ing
 
 
+CORPUS_PARTITION = "fiscalYear"
+
+
+def _open_corpus(spark: SparkSession, corpus_dir: str) -> DataFrame | None:
+    """Current corpus (one versioned folder per fiscal year), or None."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return sc.open_partitioned(spark, corpus_dir, CORPUS_PARTITION)
+    except AnalysisException:
+        return None
+
+
 def _paths(landing_dir: str, state_dir: str) -> dict[str, str]:
     return {
         "daily": os.path.join(landing_dir, "daily-index"),
@@ -73,8 +87,7 @@ def run_daily(
     p = _paths(landing_dir, state_dir)
     rows = src.read_daily_index(spark, p["daily"], d).cache()
     found = rows.count()
-    corpus_path = sc.current_version_path(spark, p["corpus"])
-    corpus = spark.read.parquet(corpus_path) if corpus_path else None
+    corpus = _open_corpus(spark, p["corpus"])
     if found == 0:
         return {"date": d.isoformat(), "found": 0, "status": "no_index_rows",
                 "already_in_corpus": date_in_corpus(corpus, d)}
@@ -105,13 +118,13 @@ def run_daily(
     if embed is not None:
         chunks = embed(chunks, "chunk")
     chunks = chunks.withColumn("version", F.lit(int(dt.datetime.now().timestamp() * 1000)))
-    sc.upsert_corpus(chunks, p["corpus"], key="chunk_id", order_col="version",
-                     replace_by=["cik", "accessionNumber"], batch_size=cfg.batch_size)
+    sc.upsert_partitioned(chunks, p["corpus"], CORPUS_PARTITION, key="chunk_id", order_col="version",
+                          replace_by=["cik", "accessionNumber"], batch_size=cfg.batch_size)
     recs = status.where(F.col("reason").isNull())
     sf.write_artifacts(sf.artifact_frame(recs), p["artifacts"])
     sf.append_manifest(ing.manifest_rows(status, cfg), p["manifest"])
     summ = ing.summary(status).first().asDict()
-    total = src.open_corpus(spark, p["corpus"]).count()
+    total = _open_corpus(spark, p["corpus"]).count()
     return {"date": d.isoformat(), "found": found, "prepared": counts["prepared"], "missed": counts["missed"],
             "processed": summ["processed"], "skipped": summ["skipped"], "total_chunks": summ["total_chunks"],
             "total_vectors": total, "status": "ingested"}

@@ -2,8 +2,8 @@ import datetime as dt
 import json
 import os
 
-from corpusengine.plans.daily import run_daily
-from corpusengine.sources.files import daily_index_path, open_corpus, read_seen_accessions
+from corpusengine.plans.daily import _open_corpus, date_in_corpus, run_daily
+from corpusengine.sources.files import daily_index_path, read_seen_accessions
 
 BODY = "Item 1A. Risk Factors\n" + ("Risk words here. " * 120) + "\n7\nItem 1B. Unresolved\nItem 2. Properties"
 
@@ -40,7 +40,7 @@ def test_daily_run_end_to_end(spark, tmp_path):
     assert s1["found"] == 3  # the 8-K row is filtered out
     assert s1["prepared"] == 2 and s1["missed"] == 1
     assert s1["processed"] == 1 and s1["skipped"] == 1
-    corpus = open_corpus(spark, os.path.join(state, "corpus"))
+    corpus = _open_corpus(spark, os.path.join(state, "corpus"))
     assert corpus.count() == s1["total_chunks"] > 0
     assert {r.accessionNumber for r in corpus.collect()} == {"0000000042-24-000001"}
     seen = read_seen_accessions(spark, os.path.join(state, "manifest"))
@@ -48,7 +48,8 @@ def test_daily_run_end_to_end(spark, tmp_path):
     # re-run: already seen, corpus unchanged
     s2 = run_daily(spark, landing, state, day)
     assert s2["prepared"] == 1 and s2["missed"] == 2
-    assert open_corpus(spark, os.path.join(state, "corpus")).count() == corpus.count()
+    assert _open_corpus(spark, os.path.join(state, "corpus")).count() == corpus.count()
     # a day without an index file (weekend / holiday)
     s3 = run_daily(spark, landing, state, dt.date(2024, 12, 25))
     assert s3["found"] == 0 and s3["already_in_corpus"] is False
+    assert date_in_corpus(corpus, day) is True

@@ -28,8 +28,11 @@ def spread_partitions(df: DataFrame) -> DataFrame:
     the rows are redistributed round-robin; scans that already have enough
     splits (any large input) are returned unchanged, with no shuffle.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()  # planning only for a plain scan
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()  # planning only for a plain scan
+    except Exception:  # noqa: BLE001 - e.g. a session without RDD access
+        return df
     return df.repartition(want) if have < want else df
 
 

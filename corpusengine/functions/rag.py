@@ -20,11 +20,24 @@ def label_item(content: Column, label: Column, chars: int | None = 500,
     return F.concat(F.lit(fmt_prefix), label, F.lit(fmt_suffix), body)
 
 
+def template_parts(template: str) -> list[tuple[str, str]]:
+    """Split a format template into ('lit', text) and ('field', name) parts."""
+    import re
+
+    parts, pos = [], 0
+    for m in re.finditer(r"\{(context|question)\}", template):
+        parts.append(("lit", template[pos:m.start()]))
+        parts.append(("field", m.group(1)))
+        pos = m.end()
+    parts.append(("lit", template[pos:]))
+    return [p for p in parts if p != ("lit", "")]
+
+
 def render_prompt(context: Column, question: Column, template: str = PROMPT_TEMPLATE) -> Column:
-    """Fill {question} first, then {context}, so text inside the context is
-    never substituted."""
-    filled = F.replace(F.lit(template), F.lit("{question}"), question)
-    return F.replace(filled, F.lit("{context}"), context)
+    """Fill {context} and {question} in one pass, like str.format: values are
+    inserted as they are and never scanned for placeholders themselves."""
+    cols = {"context": context, "question": question}
+    return F.concat(*[F.lit(v) if k == "lit" else cols[v] for k, v in template_parts(template)])
 
 
 def clean_answer(answer: Column, marker: str = ANSWER_MARKER) -> Column:

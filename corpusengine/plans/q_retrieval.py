@@ -149,8 +149,9 @@ def q_dual_retrieval(spark, d):
 # --- contexts, prompts and answers -------------------------------------------
 
 def _answer_sql(context_sql: str) -> str:
-    tpl = sql_str(PROMPT_TEMPLATE)
-    prompt = f"replace(replace({tpl}, '{{question}}', question), '{{context}}', context)"
+    from ..functions.rag import template_parts
+
+    prompt = " || ".join(sql_str(v) if k == "lit" else v for k, v in template_parts(PROMPT_TEMPLATE))
     raw = "'Answer: ' || split_part(context, chr(10) || chr(10), 1)"
     return f"""SELECT qid, question,
         CASE WHEN regexp_matches(question, '^\\s*$') THEN NULL ELSE context END AS context,

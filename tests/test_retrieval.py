@@ -102,9 +102,11 @@ def test_answers(spark):
 def test_prompt_question_first(spark):
     from corpusengine.functions.rag import render_prompt
 
-    df = spark.createDataFrame([("ctx has {question} inside", "Q?")], "c string, q string")
+    from corpusengine.config import PROMPT_TEMPLATE
+
+    df = spark.createDataFrame([("ctx has {question} inside", "Q about {context}?")], "c string, q string")
     p = df.select(render_prompt(F.col("c"), F.col("q"))).first()[0]
-    assert "ctx has {question} inside" in p and "Question: Q?" in p
+    assert p == PROMPT_TEMPLATE.format(context="ctx has {question} inside", question="Q about {context}?")
 
 
 def test_history(spark):

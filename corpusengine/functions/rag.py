@@ -10,7 +10,8 @@ from .text import strip_ws
 
 
 def is_blank(c: Column) -> Column:
-    return c.isNull() | c.rlike(r"^\s*$")
+    """Null, empty or whitespace only (Python's str.strip())."""
+    return c.isNull() | (strip_ws(c) == "")
 
 
 def label_item(content: Column, label: Column, chars: int | None = 500,

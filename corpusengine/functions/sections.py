@@ -16,17 +16,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip_ws
+from .text import LINE_BREAK, WS_CLASS, strip_ws
 
 _START_MARK = "\u0002"
 _END_MARK = "\u0003"
 
 # Headings of the risk-factor section and of the items after it.
-# (?d): '^' only after '\n'; (?m): per line; (?i): any case.
-ITEM_1A_START = r"(?imd)^\s*ITEM\s*1A(?:[.:\-–—]|\b)\s*(?:Risk\s+Factors\b)?"
-NEXT_ITEM_END = r"(?imd)^\s*ITEM\s*(?:1B|1C|[2-9]|1[0-4])"
+# (?d): '^' only after '\n'; (?m): per line; (?i): any case. Whitespace is
+# Python's (WS_CLASS), digits are Unicode digits, as in the original rules.
+_WS = WS_CLASS
+ITEM_1A_START = rf"(?imd)^{_WS}*ITEM{_WS}*1A(?:[.:\-–—]|\b){_WS}*(?:Risk{_WS}+Factors\b)?"
+NEXT_ITEM_END = rf"(?imd)^{_WS}*ITEM{_WS}*(?:1B|1C|[2-9]|1[0-4])"
 TABLE_OF_CONTENTS = r"(?i)\bTable of Contents\b"
-PAGE_NUMBER_LINE = r"^\s*[0-9]{1,3}\s*$"
+PAGE_NUMBER_LINE = rf"^{_WS}*\p{{Nd}}{{1,3}}{_WS}*$"
 
 
 def section_candidates(text: Column, start_re: str, end_re: str) -> Column:
@@ -53,7 +55,7 @@ def section_candidates(text: Column, start_re: str, end_re: str) -> Column:
 def drop_page_number_lines(s: Column) -> Column:
     """Drop lines that are only 1-3 digits (page numbers); lines re-joined
     with '\n', result stripped."""
-    lines = F.split(s, r"\R")
+    lines = F.split(s, LINE_BREAK)
     kept = F.filter(lines, lambda ln: ~ln.rlike(PAGE_NUMBER_LINE))
     return strip_ws(F.array_join(kept, "\n"))
 

@@ -21,8 +21,13 @@ _DROP_PATTERN = (
     r"|noscript\b[^>]*>.*?</noscript\s*>"
     r"|[^>]*>)"
 )
-# Java's \s: space, tab, newline, vertical tab, form feed, carriage return.
-WHITESPACE = " \t\n\u000b\f\r"
+# Whitespace exactly as Python's str.isspace() / str.strip() define it (all
+# such characters are below U+3001), as a string and as a regex class that
+# both Java regex and RE2 accept.
+WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+WS_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]"
+# Line breaks of Python's str.splitlines().
+LINE_BREAK = r"\r\n|[\n\r\x{b}\x{c}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]"
 
 # Character entities decoded by html_to_text ("&amp;" last).
 HTML_ENTITIES = (

@@ -18,7 +18,7 @@ from ..config import (
     REASON_NOT_IN_SUBMISSIONS,
 )
 from ..functions.filings import company_or_default, parse_filing_date
-from ..functions.text import strip_ws
+from ..functions.text import LINE_BREAK, strip_ws
 
 INDEX_FIELDS = ("cik", "company", "form", "date_filed", "filename")
 RECENT_FIELDS = ("form", "accessionNumber", "primaryDocument", "filingDate")
@@ -39,7 +39,7 @@ def parse_master_index(files: DataFrame, text_col: str = "text", header: str = M
     keep = [c for c in files.columns if c != text_col]
     # Each step is its own projection so the split lines, the header position
     # and the split fields are computed once per file / line.
-    lined = files.select(*keep, F.split(F.col(text_col), r"\R").alias("_lines"))
+    lined = files.select(*keep, F.split(F.col(text_col), LINE_BREAK).alias("_lines"))
     lines = F.col("_lines")
     hdr = F.array_position(
         F.transform(lines, lambda ln: ln.contains(header) & strip_ws(ln).startswith(header)), True

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chunking import chunk_fixed, chunk_recursive
 from ..functions.rag import clean_answer
+from ..functions.text import strip_ws
 from ..operators import context as cx
 from ..sinks import files as sf
 from ..sources.pages import assemble_pages
@@ -34,14 +35,14 @@ def q_ordered_concat(spark, d):
 @register(
     "upload_corpus",
     f"""SELECT conv_id, chunk_ix, chunk, 'upload' AS corpus FROM ({sql_fixed_chunks(
-        f"(SELECT * FROM {ASSEMBLED_SQL} WHERE NOT regexp_matches(text, '^\\s*$'))", 'conv_id', 'text',
+        f"(SELECT * FROM {ASSEMBLED_SQL} WHERE {sql_strip('text')} <> '')", 'conv_id', 'text',
         RAG.upload_chunk_size, RAG.upload_chunk_overlap)})""",
 )
 def q_upload_corpus(spark, d):
     """Each assembled conversation as an uploaded document, chunked
     1000/200 into an 'upload' corpus; blank documents give no corpus."""
     docs = assemble_pages(conversations(spark, d), "conv_id", "turn")
-    docs = docs.where(~F.col("text").rlike(r"^\s*$"))
+    docs = docs.where(strip_ws(F.col("text")) != "")
     ch = chunk_fixed(docs, "text", RAG.upload_chunk_size, RAG.upload_chunk_overlap)
     return sf.upload_corpus(ch.select("conv_id", F.col("chunk_ix").cast("long"), "chunk"))
 

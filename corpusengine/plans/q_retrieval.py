@@ -154,9 +154,9 @@ def _answer_sql(context_sql: str) -> str:
     prompt = " || ".join(sql_str(v) if k == "lit" else v for k, v in template_parts(PROMPT_TEMPLATE))
     raw = "'Answer: ' || split_part(context, chr(10) || chr(10), 1)"
     return f"""SELECT qid, question,
-        CASE WHEN regexp_matches(question, '^\\s*$') THEN NULL ELSE context END AS context,
-        CASE WHEN regexp_matches(question, '^\\s*$') OR context IS NULL THEN NULL ELSE {prompt} END AS prompt,
-        CASE WHEN regexp_matches(question, '^\\s*$') THEN {sql_str(BLANK_QUESTION_REPLY)}
+        CASE WHEN (question IS NULL OR {sql_strip('question')} = '') THEN NULL ELSE context END AS context,
+        CASE WHEN (question IS NULL OR {sql_strip('question')} = '') OR context IS NULL THEN NULL ELSE {prompt} END AS prompt,
+        CASE WHEN (question IS NULL OR {sql_strip('question')} = '') THEN {sql_str(BLANK_QUESTION_REPLY)}
              WHEN context IS NULL THEN {sql_str(NOTHING_FOUND_REPLY)}
              ELSE {sql_strip(f"string_split({raw}, 'Answer:')[-1]")} END AS answer
       FROM (SELECT qid, {QUESTION_TEXT_SQL} AS question FROM {CENTROID_SQL}) qs

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 
 
+from ..functions.text import LINE_BREAK, WHITESPACE, WS_CLASS
+
+WS_CHARS_SQL = " || ".join(f"chr({ord(c)})" for c in WHITESPACE)
+
+
 def sql_strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    """Python's str.strip()."""
+    return f"trim({x}, {WS_CHARS_SQL})"
 
 
 def sql_html_to_text(x: str) -> str:
@@ -51,10 +57,12 @@ def sql_fixed_chunks(src: str, key_cols: str, text: str, size: int, overlap: int
 
 
 
-# Java's \R as an RE2 pattern.
-LINEBREAK_RE2 = "\\r\\n|[\\n\\x0B\\f\\r\\x{85}\\x{2028}\\x{2029}]"
-START_RE2 = "(?im)^\\s*ITEM\\s*1A(?:[.:\\-–—]|\\b)\\s*(?:Risk\\s+Factors\\b)?"
-END_RE2 = "(?im)^\\s*ITEM\\s*(?:1B|1C|[2-9]|1[0-4])"
+# The same patterns as the Spark side, in RE2 (no (?d): RE2's '^' already
+# follows '\n' only).
+LINEBREAK_RE2 = LINE_BREAK
+START_RE2 = rf"(?im)^{WS_CLASS}*ITEM{WS_CLASS}*1A(?:[.:\-–—]|\b){WS_CLASS}*(?:Risk{WS_CLASS}+Factors\b)?"
+END_RE2 = rf"(?im)^{WS_CLASS}*ITEM{WS_CLASS}*(?:1B|1C|[2-9]|1[0-4])"
+PAGE_RE2 = rf"^{WS_CLASS}*\p{{Nd}}{{1,3}}{WS_CLASS}*$"
 
 
 def sql_section_select(src: str, keys: str, text: str, min_chars: int = 800) -> str:
@@ -76,7 +84,7 @@ def sql_section_select(src: str, keys: str, text: str, min_chars: int = 800) ->
         "list_transform(keep, lambda s: "
         + sql_strip(
             f"array_to_string(list_filter(string_split_regex(s, '{LINEBREAK_RE2}'), "
-            "lambda l: NOT regexp_matches(l, '^\\s*[0-9]{1,3}\\s*$')), chr(10))"
+            f"lambda l: NOT regexp_matches(l, '{PAGE_RE2}')), chr(10))"
         )
         + ")"
     )

@@ -47,3 +47,10 @@ def test_length_checked_before_page_numbers(spark):
 
 def test_null_text(spark):
     assert sections(spark, [None]) == [None]
+
+
+def test_unicode_page_numbers_and_line_breaks(spark):
+    # Arabic-Indic digits are digits for the original rule; U+2028 splits lines
+    body = f"Item 1A {L}\n١٢\nend more\nItem 2"
+    got = sections(spark, [body])
+    assert got == [f"Item 1A {L}\nend\nmore"]

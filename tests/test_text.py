@@ -62,3 +62,10 @@ def test_company_default(spark):
     df = spark.createDataFrame([("  ACME ", "1"), ("", "2"), (None, "3"), ("   ", "4")], "n string, c string")
     got = [r[0] for r in df.select(company_or_default(F.col("n"), F.col("c"))).collect()]
     assert got == ["ACME", "CIK 2", "CIK 3", ""]
+
+
+def test_python_whitespace_parity(spark):
+    vals = [" x　", "\x1c y \x85", "​z"]
+    assert run(spark, strip_ws, vals) == [v.strip() for v in vals]
+    html = ["<p>  word  </p>"]
+    assert run(spark, html_to_text, html) == ["word"]

@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 # markers becomes a single join between two text nodes.
 _TAG_MARK = "\u0001"
 # (All alternatives start with '<', so it is factored out: positions without
-# a '<' fail on the first character.)
+# a '<' fail on the first character. As in HTML tokenisation, '<' followed by
+# anything but a letter, '/', '!' or '?' is text, not a tag.)
 _DROP_PATTERN = (
     r"(?is)<(?:!--.*?-->"
     r"|script\b[^>]*>.*?</script\s*>"
     r"|style\b[^>]*>.*?</style\s*>"
     r"|noscript\b[^>]*>.*?</noscript\s*>"
-    r"|[^>]*>)"
+    r"|[a-zA-Z/!?][^>]*>)"
 )
 # Whitespace exactly as Python's str.isspace() / str.strip() define it (all
 # such characters are below U+3001), as a string and as a regex class that

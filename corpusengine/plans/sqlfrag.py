@@ -17,7 +17,7 @@ def sql_strip(x: str) -> str:
 def sql_html_to_text(x: str) -> str:
     drop = (
         "(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>"
-        "|<noscript\\b[^>]*>.*?</noscript\\s*>|<[^>]*>"
+        "|<noscript\\b[^>]*>.*?</noscript\\s*>|<[a-zA-Z/!?][^>]*>"
     )
     t = f"regexp_replace({x}, '{drop}', chr(1), 'g')"
     t = f"regexp_replace({t}, chr(1) || '+', chr(10), 'g')"

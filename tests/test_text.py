@@ -69,3 +69,7 @@ def test_python_whitespace_parity(spark):
     assert run(spark, strip_ws, vals) == [v.strip() for v in vals]
     html = ["<p>  word  </p>"]
     assert run(spark, html_to_text, html) == ["word"]
+
+
+def test_less_than_in_text_is_not_a_tag(spark):
+    assert run(spark, html_to_text, ["<p>a < b and c > d</p><!DOCTYPE x><?xml v?>"]) == ["a < b and c > d"]

@@ -30,16 +30,70 @@ WS_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]"
 # Line breaks of Python's str.splitlines().
 LINE_BREAK = r"\r\n|[\n\r\x{b}\x{c}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]"
 
-# Character entities decoded by html_to_text ("&amp;" last).
-HTML_ENTITIES = (
-    ("&nbsp;", "\u00a0"),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&amp;", "&"),
+# The named character references html_to_text decodes (the
+# common ones in filings); their characters come from the HTML5 table of
+# Python's standard library. Numeric references (&#N; and &#xH;) are all
+# decoded; other named references are left as written.
+NAMED_ENTITIES = (
+    "nbsp", "amp", "lt", "gt", "quot", "apos", "copy", "reg", "trade", "middot",
+    "bull", "hellip", "mdash", "ndash", "lsquo", "rsquo", "ldquo", "rdquo",
+    "laquo", "raquo", "sect", "para", "deg", "plusmn", "times", "divide",
+    "frac12", "frac14", "frac34", "cent", "pound", "euro", "yen", "shy",
+    "ensp", "emsp", "thinsp", "zwnj", "zwj",
 )
+ENTITY_RE = r"&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
+
+
+def entity_table() -> dict[str, str]:
+    """'&name;' -> character, for NAMED_ENTITIES."""
+    from html.entities import html5
+
+    return {f"&{n};": html5[f"{n};"] for n in NAMED_ENTITIES}
+
+
+def _hex2(b: Column) -> Column:
+    return F.lpad(F.hex(b), 2, "0")
+
+
+def _utf8_byte(n: Column, shift: int, mask: int, mark: int) -> Column:
+    return _hex2(F.shiftright(n, shift).bitwiseAND(mask).bitwiseOR(mark))
+
+
+def code_point_char(n: Column) -> Column:
+    """The character of Unicode code point ``n`` (its UTF-8 bytes built with
+    arithmetic, then decoded); invalid code points give U+FFFD."""
+    hexs = (
+        F.when(n < 0x80, _hex2(n))
+        .when(n < 0x800, F.concat(_utf8_byte(n, 6, 0x1F, 0xC0), _utf8_byte(n, 0, 0x3F, 0x80)))
+        .when(n < 0x10000, F.concat(_utf8_byte(n, 12, 0x0F, 0xE0), _utf8_byte(n, 6, 0x3F, 0x80),
+                                    _utf8_byte(n, 0, 0x3F, 0x80)))
+        .otherwise(F.concat(_utf8_byte(n, 18, 0x07, 0xF0), _utf8_byte(n, 12, 0x3F, 0x80),
+                            _utf8_byte(n, 6, 0x3F, 0x80), _utf8_byte(n, 0, 0x3F, 0x80)))
+    )
+    bad = (n <= 0) | (n > 0x10FFFF) | ((n >= 0xD800) & (n <= 0xDFFF))
+    return F.when(bad, F.lit("\ufffd")).otherwise(F.decode(F.unhex(hexs), "UTF-8"))
+
+
+def decode_entity(e: Column) -> Column:
+    """One character reference ('&copy;', '&#169;', '&#xA9;') decoded;
+    unknown names are returned unchanged."""
+    out = None
+    for ref, char in entity_table().items():
+        out = F.when(e == ref, F.lit(char)) if out is None else out.when(e == ref, F.lit(char))
+    dec = F.regexp_extract(e, r"^&#([0-9]+);$", 1)
+    hx = F.regexp_extract(e, r"^&#[xX]([0-9A-Fa-f]+);$", 1)
+    out = out.when(dec != "", code_point_char(dec.cast("long")))
+    out = out.when(hx != "", code_point_char(F.conv(hx, 16, 10).cast("long")))
+    return out.otherwise(e)
+
+
+def decode_entities(t: Column) -> Column:
+    """All character references of ``t`` decoded in one pass, as an HTML
+    parser reads them ('&amp;lt;' gives '&lt;', not '<')."""
+    pieces = F.split(t, ENTITY_RE)
+    refs = F.transform(F.regexp_extract_all(t, F.lit(ENTITY_RE), 0), decode_entity)
+    joined = F.zip_with(pieces, refs, lambda p, r: F.concat(p, F.coalesce(r, F.lit(""))))
+    return F.array_join(joined, "")
 
 
 def let(value: Column, fn) -> Column:
@@ -68,10 +122,7 @@ def html_to_text(html: Column) -> Column:
     t = F.regexp_replace(t, _TAG_MARK + "+", "\n")
 
     def decode(x: Column) -> Column:
-        d = x
-        for entity, char in HTML_ENTITIES:
-            d = F.replace(d, F.lit(entity), F.lit(char))
-        return F.when(x.contains("&"), d).otherwise(x)
+        return F.when(x.contains("&"), decode_entities(x)).otherwise(x)
 
     def squeeze(x: Column) -> Column:
         # Only runs that change: 2+ spaces/tabs or a lone tab; 3+ newlines.

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from ..functions.text import LINE_BREAK, WHITESPACE, WS_CLASS
 
 WS_CHARS_SQL = " || ".join(f"chr({ord(c)})" for c in WHITESPACE)
@@ -21,22 +19,37 @@ def sql_html_to_text(x: str) -> str:
     )
     t = f"regexp_replace({x}, '{drop}', chr(1), 'g')"
     t = f"regexp_replace({t}, chr(1) || '+', chr(10), 'g')"
-    for ent, ch in (
-        ("&nbsp;", "chr(160)"),
-        ("&lt;", "'<'"),
-        ("&gt;", "'>'"),
-        ("&quot;", "'\"'"),
-        ("&#39;", "''''"),
-        ("&apos;", "''''"),
-        ("&amp;", "'&'"),
-    ):
-        t = f"replace({t}, '{ent}', {ch})"
+    t = sql_decode_entities(t)
     t = f"replace({t}, chr(160), ' ')"
     t = f"regexp_replace({t}, '[ \\t]+', ' ', 'g')"
     t = f"regexp_replace({t}, '\\n{{2,}}', chr(10) || chr(10), 'g')"
     return sql_strip(t)
 
 
+def sql_code_point_char(n: str) -> str:
+    return (f"(CASE WHEN {n} <= 0 OR {n} > 1114111 OR ({n} >= 55296 AND {n} <= 57343) "
+            f"THEN chr(65533) ELSE chr(CAST({n} AS INTEGER)) END)")
+
+
+def sql_decode_entities(t: str) -> str:
+    """Same one-pass decoding as functions.text.decode_entities; the input is
+    bound once with a one-element list_transform."""
+    from ..functions.text import ENTITY_RE, entity_table
+
+    cases = " ".join(
+        f"WHEN e = '{ref}' THEN " + " || ".join(f"chr({ord(c)})" for c in ch) for ref, ch in entity_table().items()
+    )
+    dec = sql_code_point_char("CAST(substr(e, 3, length(e) - 3) AS BIGINT)")
+    hx = sql_code_point_char("CAST('0x' || substr(e, 4, length(e) - 4) AS BIGINT)")
+    decode = (f"lambda e: CASE {cases} "
+              f"WHEN regexp_full_match(e, '&#[0-9]+;') THEN {dec} "
+              f"WHEN regexp_full_match(e, '&#[xX][0-9A-Fa-f]+;') THEN {hx} ELSE e END")
+    refs = f"list_transform(regexp_extract_all(x, '{ENTITY_RE}'), {decode})"
+    zipped = f"list_zip(regexp_split_to_array(x, '{ENTITY_RE}'), {refs})"
+    decoded = f"array_to_string(list_transform({zipped}, lambda z: z[1] || COALESCE(z[2], '')), '')"
+    return f"list_transform([{t}], lambda x: CASE WHEN contains(x, '&') THEN {decoded} ELSE x END)[1]"
+
+
 def sql_fixed_count(n: str, size: int, overlap: int) -> str:
     step = size - overlap
     return (

@@ -73,3 +73,16 @@ def test_python_whitespace_parity(spark):
 
 def test_less_than_in_text_is_not_a_tag(spark):
     assert run(spark, html_to_text, ["<p>a < b and c > d</p><!DOCTYPE x><?xml v?>"]) == ["a < b and c > d"]
+
+
+def test_character_references(spark):
+    import html
+
+    cases = ["&copy; 2024 &middot; A&amp;B", "&#8217;s &#x2014; &#169;", "&amp;lt;p&amp;gt;", "&unknown; &#0; &#xD800;",
+             "caf&#233; &#128512;"]
+    got = run(spark, html_to_text, [f"<p>{c}</p>" for c in cases])
+    assert got[0] == "© 2024 · A&B"
+    assert got[1] == "’s — ©"
+    assert got[2] == "&lt;p&gt;"
+    assert got[3] == "&unknown; � �"
+    assert got[4] == html.unescape("caf&#233; &#128512;")

@@ -50,7 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is. Only when it is unset (local tests) is a private scratch folder made.
+    as is; a cluster session without it is an error. Only a local-mode
+    session (tests) without the setting gets a private scratch folder.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
@@ -59,6 +60,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: point it at a folder on shared storage "
+            "(executors must be able to write there)"
+        )
     local = tempfile.mkdtemp(prefix="corpusengine-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local

@@ -39,10 +39,11 @@ def doc_batch(spark, d):
     return filings, fl.select("accessionNumber", "html")
 
 
-def doc_status(spark, d, keep_section=False):
+def doc_status(spark, d, keep_section=False, chunker="fixed"):
     filings, raw = doc_batch(spark, d)
     return ing.ingest_filings(
-        filings, raw, labels_manifest(spark, d), CFG, companies=submission_names(spark, d), keep_section=keep_section
+        filings, raw, labels_manifest(spark, d), CFG, companies=submission_names(spark, d),
+        keep_section=keep_section, chunker=chunker,
     )
 
 
@@ -80,6 +81,13 @@ def q_ingest_filings(spark, d):
     return ing.records(doc_status(spark, d))
 
 
+@register("ingest_filings_recursive")
+def q_ingest_filings_recursive(spark, d):
+    """I4 with the recursive splitter (1500/200) counting each record's
+    chunks, as the reference's ingestion does; rows-only (Python splitter)."""
+    return ing.records(doc_status(spark, d, chunker="recursive"))
+
+
 @register("ingest_status", _doc_status_sql() + "SELECT input_pos, cik, accessionNumber, reason, chunks FROM st")
 def q_ingest_status(spark, d):
     return doc_status(spark, d).select("input_pos", "cik", "accessionNumber", "reason", "chunks")

@@ -123,3 +123,14 @@ def test_ingest_duplicate_in_batch(spark):
     assert st[0].reason is None and st[0].chunks == 2
     assert st[1].reason == "already_ingested:acc-1"
     assert st[2].reason.startswith("error:") and st[2].form == "10-K" and st[2].company == "CIK 2"
+
+
+def test_recursive_chunk_counts_match_corpus(spark):
+    from conftest import SF001
+    from corpusengine.plans import q_ingest as qi
+    from corpusengine.plans.registry import CFG
+
+    st = qi.doc_status(spark, SF001, keep_section=True, chunker="recursive")
+    counts = {r.accessionNumber: r.chunks for r in ing.records(st).collect()}
+    chunks = ing.corpus_chunks(st, CFG, chunker="recursive").groupBy("accessionNumber").count().collect()
+    assert counts and counts == {r.accessionNumber: r["count"] for r in chunks}

@@ -38,7 +38,8 @@ def _artifact_sql() -> str:
     m = dv.sql_doc_filing_meta("d.doc_id")
     company = f"""(CASE WHEN {m['company']} IS NULL OR {m['company']} = '' THEN
         {sql_strip("COALESCE(NULLIF(n.name, ''), 'CIK ' || " + m['cik'] + ")")} ELSE {m['company']} END)"""
-    safe = f"substring({sql_strip(f'regexp_replace({company}, ' + chr(39) + '[^\\p{L}\\p{N}._\\- ]' + chr(39) + ', ' + chr(39) + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, 1, 80)"
+    kept = f"regexp_replace({company}, '[^\\p{{L}}\\p{{N}}._\\- ]', '', 'g')"
+    safe = f"substring({sql_strip(kept)}, 1, 80)"
     url = (f"('https://www.sec.gov/Archives/edgar/data/' || CAST(CAST({m['cik']} AS BIGINT) AS VARCHAR) || '/' || "
            f"replace({m['accessionNumber']}, '-', '') || '/' || {m['primaryDocument']})")
     name = (f"concat_ws('__', {m['filingDate']}, {m['cik']}, {safe}, replace({m['form']}, '/', '-'), "

@@ -106,6 +106,7 @@ def _score_fn(bc, metric: str, k: int, id_col: str, vec_col: str,
         qn = np.linalg.norm(Q, axis=1)
         if metric == "cosine":
             Qs = Q / np.where(qn == 0, 1.0, qn)[:, None]
+            Qs32 = Qs.astype(np.float32)
         else:
             Qs = Q
         qf = blk.get(q_filter_col) if q_filter_col else None
@@ -138,19 +139,26 @@ def _score_fn(bc, metric: str, k: int, id_col: str, vec_col: str,
             if not valid.any():
                 continue
             rows = np.nonzero(valid)[0]
-            flat = np.asarray(vec.flatten(), dtype=np.float64)
+            flat = np.asarray(vec.flatten())  # float32 for array<float>, no copy
             starts = np.asarray(vec.offsets)[:-1][rows] - np.asarray(vec.offsets)[0]
-            V = flat[(starts[:, None] + np.arange(dim)[None, :])]
+            Vn = flat[(starts[:, None] + np.arange(dim)[None, :])]
             ids = ids_arr.to_numpy(zero_copy_only=False)[rows].astype(np.int64)
+            slack = 1e-9
             if metric == "cosine":
-                vn = np.linalg.norm(V, axis=1)
-                Vs = V / np.where(vn == 0, 1.0, vn)[:, None]
-                S = Vs @ Qs.T
-                sel = S
+                # Selection in float32 (sgemm); candidates within a margin of
+                # the k-th score are re-scored exactly in float64 below.
+                V32 = Vn.astype(np.float32, copy=False)
+                vn32 = np.linalg.norm(V32, axis=1)
+                sel = (V32 / np.where(vn32 == 0, 1.0, vn32)[:, None]) @ Qs32.T
+                slack = 1e-5
+                S = None
+                V = Vn
             elif metric == "dot":
+                V = Vn.astype(np.float64)
                 S = V @ Qs.T
                 sel = S
             else:
+                V = Vn.astype(np.float64)
                 S = None
                 sq = (V * V).sum(axis=1)[:, None] + (Q * Q).sum(axis=1)[None, :] - 2.0 * (V @ Q.T)
                 sel = -np.sqrt(np.maximum(sq, 0.0))
@@ -169,13 +177,17 @@ def _score_fn(bc, metric: str, k: int, id_col: str, vec_col: str,
             b = sel.shape[0]
             if b > k:
                 kth = -np.partition(-sel, k - 1, axis=0)[k - 1]
-                mask = sel >= (kth[None, :] - 1e-9)
+                mask = sel >= (kth[None, :] - slack)
             else:
                 mask = np.ones_like(sel, dtype=bool)
             mask &= np.isfinite(sel)
             r, c = np.nonzero(mask)
             if metric == "l2":
                 score = np.sqrt(((V[r] - Q[c]) ** 2).sum(axis=1))
+            elif metric == "cosine":
+                v64 = V[r].astype(np.float64)
+                n64 = np.linalg.norm(v64, axis=1)
+                score = (v64 * Qs[c]).sum(axis=1) / np.where(n64 == 0, 1.0, n64)
             else:
                 score = S[r, c]
             buf_q.append(qids[c])

@@ -302,3 +302,26 @@ def recall_at_k(approx: DataFrame, exact: DataFrame, qid_col: str = "qid", id_co
     total = exact.count()
     spark: SparkSession = exact.sparkSession
     return spark.createDataFrame([(float(hit) / total if total else 1.0,)], "recall double")
+
+
+def write_ivf_corpus(cells: DataFrame, path: str, cell_col: str = "cell", id_col: str = "id",
+                     files_per_cell: int = 8) -> None:
+    """Write a corpus with IVF cells partitioned by cell. Each cell is spread
+    over up to ``files_per_cell`` tasks (salted by id), so a hot cell does not
+    fall to one task."""
+    salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(files_per_cell))
+    cells.repartition(F.col(cell_col), salt).write.mode("errorifexists").partitionBy(cell_col).parquet(path)
+
+
+def knn_ivf(corpus_path: str, questions: DataFrame, model, k: int, nprobe: int, metric: str = "cosine",
+            id_col: str = "id", vec_col: str = "embedding", qid_col: str = "qid", qvec_col: str = "qvec",
+            cell_col: str = "cell", limits: RetrievalLimits = RetrievalLimits()) -> DataFrame:
+    """Approximate top-k reading only the probed cells of a cell-partitioned
+    corpus (partition pruning at the scan); the probed-cell set is bounded by
+    the number of cells."""
+    spark = questions.sparkSession
+    qs = probe_cells(questions, model, qvec_col, nprobe)
+    probed = sorted(r[0] for r in qs.select(F.explode("cells").alias("c")).distinct().collect())
+    corpus = spark.read.parquet(corpus_path).where(F.col(cell_col).isin(probed))
+    return knn(corpus, qs, k, metric, id_col, vec_col, qid_col, qvec_col,
+               cell_col=cell_col, q_cells_col="cells", limits=limits)

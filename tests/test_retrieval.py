@@ -164,3 +164,21 @@ def test_benchmark_passages_find_their_documents(spark):
     found = {(r.item_id, r.doc_id) for r in hits.collect()}
     hit_items = {i for i, dd in pairs if (i, dd) in found}
     assert len(items) > 0 and len(hit_items) / len(items) >= 0.8
+
+
+def test_ivf_on_disk_prunes_cells(spark, tmp_path):
+    e, _, _ = _load(spark)
+    qs = rt.vector_mean(e, "label", "embedding").select(F.col("label").cast("long").alias("qid"),
+                                                          F.col("embedding").alias("qvec"))
+    model, cells = rt.ivf_cells(e, "embedding", nlist=8)
+    path = str(tmp_path / "ivf")
+    rt.write_ivf_corpus(cells.select("vec_id", "embedding", "cell"), path, id_col="vec_id")
+    kw = dict(id_col="vec_id", vec_col="embedding")
+    on_disk = rt.knn_ivf(path, qs, model, 5, nprobe=2, **kw)
+    in_mem = rt.knn(cells, rt.probe_cells(qs, model, "qvec", 2), 5, cell_col="cell", q_cells_col="cells", **kw)
+    assert sorted(map(tuple, on_disk.collect())) == sorted(map(tuple, in_mem.collect()))
+    plan = on_disk._jdf.queryExecution().executedPlan().toString()
+    import re
+
+    assert re.search(r"PartitionFilters: \[[^\]]*cell#\d+ IN \(", plan) or re.search(
+        r"PartitionFilters: \[[^\]]*cell#\d+ = ", plan)

@@ -17,6 +17,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Text rows are CPU-heavy per byte (regex passes): smaller input splits
+    # give shorter, better balanced scan tasks on a cluster.
+    "spark.sql.files.maxPartitionBytes": "64m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Text columns are large; keep Arrow batches to a bounded size.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",

@@ -41,7 +41,7 @@ def sql_list(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-def _cycle(values, idx: Column) -> Column:
+def cycle(values, idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
 
 
@@ -106,7 +106,7 @@ def doc_filing_meta(doc_id: Column) -> dict[str, Column]:
         "accessionNumber": F.format_string(
             "%010d-%02d-%06d", owner, 20 + doc_id % 5, doc_id
         ),
-        "form": _cycle(DOC_FORM_CYCLE, doc_id % 6),
+        "form": cycle(DOC_FORM_CYCLE, doc_id % 6),
         "filingDate": F.date_format(
             F.date_add(F.lit("2019-01-01").cast("date"), ((doc_id * 37) % 1800).cast("int")),
             "yyyy-MM-dd",
@@ -155,7 +155,7 @@ def sql_doc_filings() -> str:
 # ---------------------------------------------------------------------------
 
 def order_form(orderkey: Column) -> Column:
-    return _cycle(FORM_CYCLE, orderkey % 6)
+    return cycle(FORM_CYCLE, orderkey % 6)
 
 
 def sql_order_form(orderkey: str) -> str:

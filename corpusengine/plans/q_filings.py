@@ -222,7 +222,7 @@ ITEM_SUFFIXES = ("_10-K.htm", "-10k.HTML", ".xml", "ex21.htm", "10k.htm", "_10K.
 def page_items(spark, d):
     p = read_table(spark, d, "pages", "page_id", "url")
     host = F.regexp_extract("url", r"://([^/:?#]+)", 1)
-    name = F.concat(F.lit("p"), F.col("page_id").cast("string"), dv._cycle(ITEM_SUFFIXES, F.col("page_id") % 6))
+    name = F.concat(F.lit("p"), F.col("page_id").cast("string"), dv.cycle(ITEM_SUFFIXES, F.col("page_id") % 6))
     return p.select(host.alias("host"), F.col("page_id").alias("pos"), name.alias("name"))
 
 

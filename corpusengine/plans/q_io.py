@@ -166,13 +166,16 @@ def q_upsert_replace(spark, d):
 
 @register("company_list_json", "SELECT CAST(c_custkey AS VARCHAR) AS cik FROM customer")
 def q_company_list_json(spark, d):
-    """Company lists as JSON objects keyed by ordinal (one object per nation)."""
-    c = read_table(spark, d, "customer", "c_custkey", "c_name", "c_nationkey")
+    """Company lists as JSON objects keyed by ordinal, one object per 1,000
+    consecutive customer keys (bounded files, like the real list)."""
+    c = read_table(spark, d, "customer", "c_custkey", "c_name")
     entry = F.struct(
         F.col("c_custkey").cast("string").alias("key"),
         F.struct(F.col("c_custkey").alias("cik_str"), F.col("c_name").alias("title")).alias("value"),
     )
-    objs = c.groupBy("c_nationkey").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("text"))
+    objs = c.groupBy(F.floor(F.col("c_custkey") / 1000).alias("_file")).agg(
+        F.to_json(F.map_from_entries(F.collect_list(entry))).alias("text")
+    )
     return objs.select(F.explode(src.parse_company_list(F.col("text"))).alias("cik"))
 
 

@@ -28,6 +28,7 @@ CONTENTS_NOTE = "Details are listed in the Table of Contents.\n"
 INDEX_PREAMBLE = "Description: Daily Index of Filings by Company\nLast Data Received: "
 INDEX_HEADER = "CIK|Company Name|Form Type|Date Filed|Filename"
 INDEX_RULE = "-" * 60
+FILE_BLOCK = 10_000_000  # order keys per derived index file of one day
 
 
 def sql_str(s: str) -> str:
@@ -163,7 +164,9 @@ def sql_order_form(orderkey: str) -> str:
 
 
 def index_files(spark: SparkSession, d: str) -> DataFrame:
-    """file_date (yyyy-MM-dd string) and text of each daily index file."""
+    """file_date (yyyy-MM-dd string), file_part and text of each daily index
+    file. A day's orders are split into files by blocks of 10M order keys, so
+    a file stays bounded at any scale (one file per day at the test scales)."""
     o = read_table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate", spread=True)
     c = read_table(spark, d, "customer", "c_custkey", "c_name")
     j = o.join(c, o.o_custkey == c.c_custkey, "inner")
@@ -186,8 +189,9 @@ def index_files(spark: SparkSession, d: str) -> DataFrame:
         )
         .otherwise(F.concat_ws("|", cik, F.col("c_name"), form, date, fname))
     )
-    per_file = j.select(date.alias("file_date"), k.alias("k"), line.alias("line")).groupBy(
-        "file_date"
+    part = F.floor(k / FILE_BLOCK).cast("long")
+    per_file = j.select(date.alias("file_date"), part.alias("file_part"), k.alias("k"), line.alias("line")).groupBy(
+        "file_date", "file_part"
     ).agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("ls"))
     day = F.dayofmonth(F.col("file_date").cast("date"))
     header = (
@@ -204,7 +208,7 @@ def index_files(spark: SparkSession, d: str) -> DataFrame:
         F.array_join(F.transform("ls", lambda x: x["line"]), "\n"),
         F.lit("\n"),
     )
-    return per_file.select("file_date", text.alias("text"))
+    return per_file.select("file_date", "file_part", text.alias("text"))
 
 
 def sql_index_files() -> str:
@@ -221,11 +225,12 @@ def sql_index_files() -> str:
         f"WHEN day(CAST(file_date AS DATE)) % 2 = 0 THEN {sql_str('  ' + INDEX_HEADER + chr(10))} "
         f"ELSE {sql_str(INDEX_HEADER + chr(10))} END)"
     )
-    return f"""(SELECT file_date,
+    return f"""(SELECT file_date, file_part,
         {sql_str(INDEX_PREAMBLE)} || file_date || chr(10) || chr(10) || {hdr} || {sql_str(INDEX_RULE + chr(10))}
         || body || chr(10) AS text
-      FROM (SELECT {date} AS file_date, string_agg({line}, chr(10) ORDER BY o_orderkey) AS body
-            FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1))"""
+      FROM (SELECT {date} AS file_date, o_orderkey // {FILE_BLOCK} AS file_part,
+                   string_agg({line}, chr(10) ORDER BY o_orderkey) AS body
+            FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2))"""
 
 
 # ---------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from .registry import CFG, register
 from .sqlfrag import sql_master_index_rows, sql_parse_date, sql_strip
 
 IDX_ROWS_SQL = sql_master_index_rows(dv.sql_index_files(), MASTER_INDEX_HEADER)
+FILE_ROW_KEY = ("file_date", "file_part", "line_no")
 
 
 def _in(values) -> str:
@@ -97,8 +98,9 @@ DAILY_MATCH_SQL = f"""
     j AS (SELECT idx.*, subs.pos, subs.accessionNumber, subs.primaryDocument
           FROM idx LEFT JOIN subs ON idx.cik = subs.cik AND idx.form = subs.form
                AND {sql_parse_date('idx.date_filed')} = subs.sd
-          QUALIFY row_number() OVER (PARTITION BY idx.file_date, idx.line_no ORDER BY subs.pos NULLS LAST) = 1)
-    SELECT file_date, line_no, cik, company, form, date_filed, accessionNumber, primaryDocument,
+          QUALIFY row_number() OVER (PARTITION BY idx.file_date, idx.file_part, idx.line_no
+                                     ORDER BY subs.pos NULLS LAST) = 1)
+    SELECT file_date, file_part, line_no, cik, company, form, date_filed, accessionNumber, primaryDocument,
            CASE WHEN accessionNumber IS NULL THEN 'not_found_in_submissions_recent'
                 WHEN accessionNumber IN (SELECT accessionNumber FROM {URGENT_SQL}) THEN 'already_seen' END AS reason
     FROM j
@@ -112,7 +114,7 @@ DAILY_MATCH_SQL = f"""
 )
 def q_daily_match_first(spark, d):
     idx = fo.filter_forms(index_rows(spark, d), DAILY_FORMS)
-    matched = fo.match_first_submission(idx, flat_submissions(spark, d))
+    matched = fo.match_first_submission(idx, flat_submissions(spark, d), row_key=FILE_ROW_KEY)
     prepared = fo.prepare_daily(matched, fo.seen_accessions(urgent_manifest(spark, d)))
     return prepared.select(
         "file_date", "line_no", "cik", "form", "date_filed", "accessionNumber", "primaryDocument", "reason"

@@ -10,6 +10,7 @@ from . import derived as dv
 from . import ingest as ing
 from .q_filings import (
     DAILY_MATCH_SQL,
+    FILE_ROW_KEY,
     SUB_FLAT_SQL,
     SUB_NAMES_SQL,
     URGENT_SQL,
@@ -215,8 +216,9 @@ def q_ingest_history(spark, d):
 
 # --- daily incremental path over every derived index day (T1, J1, J2, W3, W4) ---
 
-def _input_pos(file_date, line_no):
-    return F.regexp_replace(file_date, "-", "").cast("long") * F.lit(1_000_000) + line_no
+def _input_pos(file_date, file_part, line_no):
+    day = F.regexp_replace(file_date, "-", "").cast("long")
+    return (day * F.lit(1000) + file_part) * F.lit(1_000_000) + line_no
 
 
 def daily_status(spark, d):
@@ -225,9 +227,9 @@ def daily_status(spark, d):
 
     idx = fo.filter_forms(index_rows(spark, d), DAILY_FORMS)
     prepared = fo.prepare_daily(
-        fo.match_first_submission(idx, flat_submissions(spark, d)),
+        fo.match_first_submission(idx, flat_submissions(spark, d), row_key=FILE_ROW_KEY),
         fo.seen_accessions(urgent_manifest(spark, d)),
-    ).withColumn("input_pos", _input_pos(F.col("file_date"), F.col("line_no")))
+    ).withColumn("input_pos", _input_pos(F.col("file_date"), F.col("file_part"), F.col("line_no")))
     provided = prepared.where(F.col("status") == "provided").select(
         "input_pos", "cik", "accessionNumber", "primaryDocument", F.col("date_filed").alias("filingDate"),
         "form", "company",
@@ -241,7 +243,7 @@ def daily_status(spark, d):
 
 def _daily_sql() -> str:
     html = dv.sql_filing_html("doc.doc_id", "doc.text")
-    pos = "CAST(replace(file_date, '-', '') AS BIGINT) * 1000000 + line_no"
+    pos = "(CAST(replace(file_date, '-', '') AS BIGINT) * 1000 + file_part) * 1000000 + line_no"
     return f"""
     WITH dm AS ({DAILY_MATCH_SQL}),
     prov AS (SELECT *, {pos} AS input_pos FROM dm WHERE reason IS NULL),

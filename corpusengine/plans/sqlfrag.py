@@ -122,17 +122,18 @@ def sql_parse_date(x: str) -> str:
 
 
 def sql_master_index_rows(files: str, header: str) -> str:
-    """Subquery: file_date, line_no, cik, company, form, date_filed, filename."""
+    """Subquery: file_date, file_part, line_no, cik, company, form, date_filed,
+    filename."""
     hdr = header.replace("'", "''")
     fields = ", ".join(
         f"{sql_strip(f'string_split(line, {chr(39)}|{chr(39)})[{i + 1}]')} AS {n}"
         for i, n in enumerate(("cik", "company", "form", "date_filed", "filename"))
     )
-    return f"""(SELECT file_date, line_no, {fields} FROM (
-        SELECT file_date, unnest(list_slice(lines, hdr + 1, len(lines))) AS line,
+    return f"""(SELECT file_date, file_part, line_no, {fields} FROM (
+        SELECT file_date, file_part, unnest(list_slice(lines, hdr + 1, len(lines))) AS line,
                unnest(range(hdr + 1, len(lines) + 1)) AS line_no
-        FROM (SELECT file_date, lines,
+        FROM (SELECT file_date, file_part, lines,
                      list_position(list_transform(lines, lambda l: starts_with({sql_strip('l')}, '{hdr}')), true) AS hdr
-              FROM (SELECT file_date, string_split_regex(text, '{LINEBREAK_RE2}') AS lines FROM {files}))
+              FROM (SELECT file_date, file_part, string_split_regex(text, '{LINEBREAK_RE2}') AS lines FROM {files}))
         WHERE hdr IS NOT NULL)
       WHERE len(string_split(line, '|')) = 5)"""

@@ -217,40 +217,43 @@ def q_company_default(spark, d):
     return fo.fill_company(f, submission_names(spark, d)).select("doc_id", "cik", "company")
 
 
-# Directory listings made from pages: one filing per host, one item per page.
+# Directory listings made from pages: a filing is a host and a block of 100
+# page ids (bounded listings at any scale), one item per page.
 ITEM_SUFFIXES = ("_10-K.htm", "-10k.HTML", ".xml", "ex21.htm", "10k.htm", "_10K.txt")
 
 
 def page_items(spark, d):
     p = read_table(spark, d, "pages", "page_id", "url")
-    host = F.regexp_extract("url", r"://([^/:?#]+)", 1)
+    filing = F.concat(F.regexp_extract("url", r"://([^/:?#]+)", 1), F.lit("#"),
+                      F.floor(F.col("page_id") / 100).cast("string"))
     name = F.concat(F.lit("p"), F.col("page_id").cast("string"), dv.cycle(ITEM_SUFFIXES, F.col("page_id") % 6))
-    return p.select(host.alias("host"), F.col("page_id").alias("pos"), name.alias("name"))
+    return p.select(filing.alias("filing"), F.col("page_id").alias("pos"), name.alias("name"))
 
 
-PAGE_ITEMS_SQL = f"""(SELECT regexp_extract(url, '://([^/:?#]+)', 1) AS host, page_id AS pos,
+PAGE_ITEMS_SQL = f"""(SELECT regexp_extract(url, '://([^/:?#]+)', 1) || '#' || CAST(page_id // 100 AS VARCHAR) AS filing,
+    page_id AS pos,
     'p' || CAST(page_id AS VARCHAR) || {dv.sql_list(ITEM_SUFFIXES)}[page_id % 6 + 1] AS name FROM pages)"""
 
 
 @register(
     "primary_doc",
     f"""
-    SELECT h.host, COALESCE(b.name, h.host || '.xml') AS primary
-    FROM (SELECT DISTINCT host FROM {PAGE_ITEMS_SQL}) h
-    LEFT JOIN (SELECT host, name FROM {PAGE_ITEMS_SQL}
+    SELECT h.filing, COALESCE(b.name, h.filing || '.xml') AS primary
+    FROM (SELECT DISTINCT filing FROM {PAGE_ITEMS_SQL}) h
+    LEFT JOIN (SELECT filing, name FROM {PAGE_ITEMS_SQL}
                WHERE (lower(name) LIKE '%.htm' OR lower(name) LIKE '%.html')
                  AND (contains(lower(name), '10-k') OR contains(lower(name), '10k'))
-               QUALIFY row_number() OVER (PARTITION BY host ORDER BY length(name), pos) = 1) b
-      ON h.host = b.host
+               QUALIFY row_number() OVER (PARTITION BY filing ORDER BY length(name), pos) = 1) b
+      ON h.filing = b.filing
     """,
 )
 def q_primary_doc(spark, d):
     items = page_items(spark, d)
-    filings = items.select("host").distinct().withColumn(
-        "primaryDocument", F.concat(F.col("host"), F.lit(".xml"))
+    filings = items.select("filing").distinct().withColumn(
+        "primaryDocument", F.concat(F.col("filing"), F.lit(".xml"))
     )
-    best = fo.best_primary_doc(items, "host")
-    return fo.with_primary_doc(filings, best, "host").select("host", "primary")
+    best = fo.best_primary_doc(items, "filing")
+    return fo.with_primary_doc(filings, best, "filing").select("filing", "primary")
 
 
 def raw_cik():

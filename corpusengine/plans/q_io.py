@@ -202,20 +202,20 @@ def q_submissions_json(spark, d):
 @register(
     "filing_index_json",
     f"""
-    SELECT h.host, COALESCE(b.name, h.host || '.xml') AS primary
-    FROM (SELECT DISTINCT host FROM {PAGE_ITEMS_SQL}) h
-    LEFT JOIN (SELECT host, name FROM {PAGE_ITEMS_SQL}
+    SELECT h.filing, COALESCE(b.name, h.filing || '.xml') AS primary
+    FROM (SELECT DISTINCT filing FROM {PAGE_ITEMS_SQL}) h
+    LEFT JOIN (SELECT filing, name FROM {PAGE_ITEMS_SQL}
                WHERE (lower(name) LIKE '%.htm' OR lower(name) LIKE '%.html')
                  AND (contains(lower(name), '10-k') OR contains(lower(name), '10k'))
-               QUALIFY row_number() OVER (PARTITION BY host ORDER BY length(name), pos) = 1) b
-      ON h.host = b.host
+               QUALIFY row_number() OVER (PARTITION BY filing ORDER BY length(name), pos) = 1) b
+      ON h.filing = b.filing
     """,
 )
 def q_filing_index_json(spark, d):
     """Directory listings rendered as index.json per filing, parsed (S4) and
     reduced to the main document (P4, O6)."""
     items = page_items(spark, d)
-    listing = items.groupBy("host").agg(
+    listing = items.groupBy("filing").agg(
         F.to_json(
             F.struct(
                 F.struct(
@@ -225,10 +225,10 @@ def q_filing_index_json(spark, d):
             )
         ).alias("text")
     )
-    parsed = listing.select("host", F.posexplode(src.parse_filing_index(F.col("text"))).alias("pos", "name"))
-    filings = listing.select("host", F.concat(F.col("host"), F.lit(".xml")).alias("primaryDocument"))
-    best = fo.best_primary_doc(parsed, "host")
-    return fo.with_primary_doc(filings, best, "host").select("host", "primary")
+    parsed = listing.select("filing", F.posexplode(src.parse_filing_index(F.col("text"))).alias("pos", "name"))
+    filings = listing.select("filing", F.concat(F.col("filing"), F.lit(".xml")).alias("primaryDocument"))
+    best = fo.best_primary_doc(parsed, "filing")
+    return fo.with_primary_doc(filings, best, "filing").select("filing", "primary")
 
 
 # --- streaming (T1-T3, T5) ----------------------------------------------------

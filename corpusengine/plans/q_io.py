@@ -6,7 +6,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.chunking import chunk_fixed, chunk_id
@@ -262,16 +261,20 @@ def q_stream_ingest(spark, d):
         FROM s""",
 )
 def q_corpus_stats(spark, d):
-    """Total rows, companies, last filing date and its batch size."""
+    """Total rows, companies, last filing date and its batch size.
+    Two one-row aggregates (both partially aggregated before any shuffle),
+    put side by side with a one-row join."""
     rows = dv.submission_rows(spark, d).select("cik", parse_filing_date(F.col("filingDate")).alias("d"))
-    per = rows.groupBy("d", "cik").agg(F.count(F.lit(1)).alias("n"))
-    per = per.withColumn("day_n", F.sum("n").over(Window.partitionBy("d")))
-    return per.agg(
-        F.sum("n").cast("long").alias("total_vectors"),
+    totals = rows.agg(
+        F.count(F.lit(1)).alias("total_vectors"),
         F.countDistinct("cik").alias("companies"),
         F.date_format(F.max("d"), "yyyy-MM-dd").alias("last_update"),
-        F.max_by("day_n", "d").cast("long").alias("latest_batch"),
     )
+    latest = rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.max_by("n", "d").cast("long").alias("latest_batch")
+    )
+    one = F.lit(1)
+    return totals.withColumn("_k", one).join(F.broadcast(latest.withColumn("_k", one)), "_k").drop("_k")
 
 
 @register(

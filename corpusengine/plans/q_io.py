@@ -263,7 +263,7 @@ def q_stream_ingest(spark, d):
 def q_corpus_stats(spark, d):
     """Total rows, companies, last filing date and its batch size.
     Two one-row aggregates (both partially aggregated before any shuffle),
-    put side by side with a one-row join."""
+    merged by a union and a global max (no join)."""
     rows = dv.submission_rows(spark, d).select("cik", parse_filing_date(F.col("filingDate")).alias("d"))
     totals = rows.agg(
         F.count(F.lit(1)).alias("total_vectors"),
@@ -273,8 +273,11 @@ def q_corpus_stats(spark, d):
     latest = rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).agg(
         F.max_by("n", "d").cast("long").alias("latest_batch")
     )
-    one = F.lit(1)
-    return totals.withColumn("_k", one).join(F.broadcast(latest.withColumn("_k", one)), "_k").drop("_k")
+    cols = ["total_vectors", "companies", "last_update", "latest_batch"]
+    a = totals.withColumn("latest_batch", F.lit(None).cast("long"))
+    b = latest.select(F.lit(None).cast("long").alias("total_vectors"), F.lit(None).cast("long").alias("companies"),
+                      F.lit(None).cast("string").alias("last_update"), "latest_batch")
+    return a.select(*cols).unionByName(b).agg(*[F.max(c).alias(c) for c in cols])
 
 
 @register(

@@ -76,3 +76,12 @@ def test_hot_key_operators_aggregate_before_shuffle(spark):
     assert "partial_min" in p and "partial_min_by" in p
     out = first_occurrence_status(df, F.col("r")).where("accessionNumber = 'HOT'")
     assert out.where("reason IS NULL").count() == 1 and out.count() == 100
+
+
+def test_no_query_plans_a_cross_product(spark):
+    import __spark_entry__ as entry
+    from conftest import SF001
+
+    for name, fn in sorted(entry.queries().items()):
+        p = plan_of(fn(spark, SF001))
+        assert "CartesianProduct" not in p and "NestedLoopJoin" not in p, name

@@ -53,11 +53,11 @@ class Scratch:
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else (null stays null).
 
-    ``lower`` is exact and cheap when a text holds no character outside ASCII
-    that could have a lower-case form; only other texts pay for ``translate``.
+    ``lower`` is exact and cheap on texts of ASCII characters alone; only
+    other texts pay for ``translate``.
     """
-    other = r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^\x00-\x7F]]"
-    return F.when(text.rlike(other), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(
+        F.translate(text, UPPER, LOWER))
 
 
 def same_row_key(doc_id: Column, text: Column) -> list[Column]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, simhash
+from . import decontam, quality_rules, secrets, simhash
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     order = quality_rules.cascade_order(docs, quality_rules.BASE_RULES + quality_rules.METHOD_RULES)
     return quality_rules.apply_cascade(docs, order=order).drop("text")
+
+
+@register("op2_decontam")
+def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(read(spark, sf_dir, "documents", "doc_id", "text"),
+                                  read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@register("op8_secrets")
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(read(spark, sf_dir, "documents", "doc_id", "text", "source"))

@@ -9,10 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusengine.llm import simhash
+from corpusengine.llm import decontam, packing, quality_kn, queries, secrets, simhash
 from corpusengine.llm.common import Scratch, read
 
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity under trusted text is too high go."""
+    judged = quality_kn.judge(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
+    return judged.filter("_keep").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +24,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.drop_near_duplicates(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by benchmark items go."""
+    return decontam.drop_contaminated(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret is masked in place; all documents stay."""
+    return secrets.redact_secrets(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that are left, packed into training sequences."""
+    return packing.pack(docs, queries.packing_tokenizer())
+
+
 STAGES = [
+    ("quality_classifier", quality),
     ("simhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", decontaminate),
+    ("secret_scans", redact),
+    ("best_fit_packing", pack),
 ]
 
 # Model training and packing have no SQL form.

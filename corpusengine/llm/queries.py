@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, packing, quality_rules, secrets, simhash, token_counts, toxicity, url_filter
+from . import decontam, hmm_lm, packing, quality_kn, quality_rules, secrets, simhash, token_counts, toxicity, url_filter
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +76,20 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_url_filter")
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages", "page_id", "url"))
+
+
+@register("op6_quality_kn")
+def op6_quality_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "lang", "text")
+    judged = quality_kn.judge(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
+    return judged.select("doc_id", "lang", judged["_chars"].alias("n_symbols"), judged["_lp"].alias("log10_prob"),
+                         judged["_ppl"].alias("perplexity"), judged["_limit"].alias("threshold"),
+                         judged["_keep"].alias("kept"))
+
+
+@register("op7_hmm_lm")
+def op7_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = toxicity.fold(F.col("doc_id"))
+    scored = hmm_lm.score_texts(read(spark, sf_dir, "documents", "doc_id", "text"), fold != 1)
+    return scored.withColumn("held_out", F.coalesce(fold == 1, F.lit(False))).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -36,7 +36,7 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

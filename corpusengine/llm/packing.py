@@ -22,57 +22,177 @@ themselves and need no number.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-# Chunks remembered by a task and the longest chunk worth remembering (bytes).
-MEMO_CHUNKS = 300_000
-MEMO_BYTES = 64
+# Strings a Python worker remembers, in each of two generations, and the longest.
+MEMO_STRINGS = 300_000
+MEMO_LENGTH = 64
+# ASCII punctuation but the apostrophe, which may join what follows it.
+TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+# Plain words: letters below U+0180 that are already normalised and keep their
+# number in lower case (all but the dotted capital I).
+PLAIN = "^[A-Za-zÀ-ÖØ-öø-įı-ſ]+$"
+LETTERS = "".join(c for c in map(chr, range(0x180)) if re.match(PLAIN, c))
 END_ID = 0
+# Texts encoded together, and about how many characters of them.
+GROUP = 2_000
+GROUP_CHARS = 8_000_000
 # Buckets that number the pieces of one length side by side.
 RANK_BUCKETS = 256
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level BPE."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = {c: chr(c) for c in own}
+    return out | {c: chr(256 + n) for n, c in enumerate(c for c in range(256) if c not in out)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+class Memo:
+    """Ids of the strings seen last, in two generations of bounded size."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def find(self, keys: list[str]) -> list[bytes | None]:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        out = list(map(self.new.get, keys))
+        for i, ids in enumerate(out):
+            if ids is None and (ids := self.old.get(keys[i])) is not None:
+                out[i] = self.new[keys[i]] = ids
+        return out
+
+    def put(self, key: str, ids: bytes) -> None:
+        if len(key) <= MEMO_LENGTH:
+            self.new[key] = ids
+
+
 class ChunkEncoder:
-    """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
+    """Token ids of whole texts.
 
-    Valid for tokenizers whose pieces never span ASCII white space and drop it:
-    the chunks between are then encoded independently of each other, and the
-    ids of a text are those of its chunks in order."""
+    Valid for byte-level tokenizers that cut a text into runs of letters, digits
+    and other characters, never across white space, drop the white space, ignore
+    case and mark the last token of a run. Then the chunks between ASCII white
+    space are encoded independently of each other, and so is ASCII punctuation
+    behind a letter. A group of texts is cut and its distinct chunks found by
+    Arrow; plain words (Latin letters, see PLAIN) are one run each, and new ones
+    go through the merges in one call, without the steps that normalise and cut."""
 
-    def __init__(self, path: str, memo_chunks: int = MEMO_CHUNKS):
+    def __init__(self, path: str, memo_strings: int = MEMO_STRINGS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         # Strings that look like special tokens are ordinary text.
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[bytes, bytes] = {}
-        self.memo_chunks = memo_chunks
-
-    def encode(self, text: str) -> bytes:
-        chunks = text.encode("utf-8").split()
-        memo = self.memo
-        new = list(set(chunks).difference(memo))
+        spec = json.loads(self.tokenizer.to_str())
+        split = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+        self.merges = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": split, "added_tokens": []}))
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.last[i] = token.endswith("</w>")
+        self.words, self.others = Memo(memo_strings), Memo(memo_strings)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each text ends."""
+        cut = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = cut.flatten().dictionary_encode()
+        units, first, second = self._units(coded.dictionary)
+        length = np.fromiter(map(len, units), np.int64, len(units)) // 4
+        pool = np.frombuffer(b"".join(units), "<u4")
+        start = np.cumsum(length) - length
+        # Every chunk is two units, the second often empty.
+        chunk = coded.indices.to_numpy(zero_copy_only=False)
+        unit = np.stack([first[chunk], second[chunk]], axis=1).ravel()
+        size = length[unit]
+        stop = np.cumsum(size)
+        total = int(stop[-1]) if len(stop) else 0
+        ids = pool[np.repeat(start[unit] - (stop - size), size) + np.arange(total)]
+        ends = np.concatenate([[0], stop[1::2]])[cut.offsets.to_numpy()[1:] - cut.offsets[0].as_py()]
+        return ids, ends
+
+    def _units(self, chunks: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Ids of the parts of the chunks, and each chunk's two parts by number:
+        a plain word and the punctuation behind it, or the chunk and nothing."""
+        stems = pc.ascii_rtrim(chunks, characters=TAIL)
+        plain = pc.match_substring_regex(stems, PLAIN)
+        words = pc.utf8_lower(stems.filter(plain)).dictionary_encode()
+        tails = pc.utf8_ltrim(chunks.filter(plain), characters=LETTERS).dictionary_encode()
+        others = chunks.filter(pc.invert(plain))
+        units = [*self._word_ids(words.dictionary.to_pylist()), *self._other_ids(tails.dictionary.to_pylist()),
+                 *self._other_ids(others.to_pylist()), b""]
+        at = plain.to_numpy(zero_copy_only=False)
+        first, second = np.empty(len(chunks), np.int64), np.full(len(chunks), len(units) - 1)
+        n = len(words.dictionary)
+        first[at] = words.indices.to_numpy(zero_copy_only=False)
+        second[at] = n + tails.indices.to_numpy(zero_copy_only=False)
+        first[~at] = n + len(tails.dictionary) + np.arange(len(others))
+        return units, first, second
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        out = self.words.find(words)
+        new = [i for i, ids in enumerate(out) if ids is None]
         if new:
-            if len(memo) + len(new) > self.memo_chunks:
-                memo.clear()
-                new = list(set(chunks))
-            done = self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in new], add_special_tokens=False)
-            memo.update((c, struct.pack(f"<{len(e.ids)}I", *e.ids)) for c, e in zip(new, done))
-        ids = b"".join([memo[c] for c in chunks])
-        for c in new:
-            if len(c) > MEMO_BYTES:
-                del memo[c]
-        return ids
+            asked = [words[i] if words[i].isascii() else words[i].encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
+                     for i in new]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(asked)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.last[ids]) + 1
+            if len(stops) != len(new):
+                raise ValueError("this tokenizer does not mark the last token of every word")
+            raw, begin = ids.tobytes(), 0
+            for i, stop in zip(new, (stops * 4).tolist()):
+                out[i] = raw[begin:stop]
+                self.words.put(words[i], out[i])
+                begin = stop
+        return out
+
+    def _other_ids(self, chunks: list[str]) -> list[bytes]:
+        out = self.others.find(chunks)
+        new = {chunks[i]: None for i, ids in enumerate(out) if ids is None}
+        if new:
+            for c, e in zip(new, self.tokenizer.encode_batch_fast(list(new), add_special_tokens=False)):
+                new[c] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+                self.others.put(c, new[c])
+            out = [new[c] if ids is None else ids for c, ids in zip(chunks, out)]
+        return out
+
+
+@lru_cache(maxsize=2)
+def shared_encoder(path: str) -> ChunkEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return ChunkEncoder(path)
+
+
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, bounded in rows and (but for single texts) characters
+    of their second column."""
+    for b in batches:
+        size = np.cumsum(pc.binary_length(b.column(1)).fill_null(0).to_numpy().astype(np.int64)) if b.num_rows else np.zeros(0)
+        at = 0
+        while at < b.num_rows:
+            before = size[at - 1] if at else 0
+            stop = min(at + GROUP, max(at + 1, int(np.searchsorted(size, before + GROUP_CHARS, side="right"))))
+            yield b.slice(at, stop - at)
+            at = stop
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id",
@@ -83,13 +203,15 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_co
     end = struct.pack("<I", END_ID)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path)
-        for b in batches:
-            at, out = [], []
-            for row, text in enumerate(b.column(1)):
-                ids = encoder.encode(text.as_py() or "") + end
-                for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
-                    own = ids[4 * start:4 * (start + capacity)]
+        encoder = shared_encoder(tokenizer_path)
+        for b in groups(batches):
+            ids, ends = encoder.encode(b.column(1))
+            at, out, begin = [], [], 0
+            for row, stop in enumerate(ends.tolist()):
+                raw = ids[begin:stop].tobytes() + end
+                begin = stop
+                for piece, start in enumerate(range(0, len(raw) // 4, capacity)):
+                    own = raw[4 * start:4 * (start + capacity)]
                     at.append(row)
                     out.append((piece, start, len(own) // 4, zlib.crc32(own), *([own] if with_ids else [])))
             columns = [list(c) for c in zip(*out)]

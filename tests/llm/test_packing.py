@@ -5,6 +5,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from corpusengine.llm import packing
@@ -28,13 +29,17 @@ TEXTS = [
 
 
 def test_chunks_encode_like_the_whole_text(tokenizer):
-    encoder = packing.ChunkEncoder(packing_tokenizer(), memo_chunks=50)
+    encoder = packing.ChunkEncoder(packing_tokenizer(), memo_strings=50)
     rng = random.Random(1)
-    alphabet = ["a", "B", "é", "́", "'s", "'", " ", "\n", "9", "<|endoftext|>", "日", "--", " ", "İ", "Σ"]
-    texts = [t or "" for t in TEXTS] + ["".join(rng.choices(alphabet, k=rng.randint(1, 60))) for _ in range(300)]
-    for t in texts:
-        ids = tokenizer.encode(t, add_special_tokens=False).ids
-        assert encoder.encode(t) == struct.pack(f"<{len(ids)}I", *ids), t
+    alphabet = ["a", "B", "é", "́", "'s", "'", " ", "\n", "9", "<|endoftext|>", "日", "--", "\u00a0", "İ", "Σ", "J\u030c", "T", ".", "word", "ª", "٣", "ー", "!?", "\u0345", "ﬁ"]
+    texts = [t or "" for t in TEXTS] + ["".join(rng.choices(alphabet, k=rng.randint(1, 60))) for _ in range(3000)]
+    for at in range(0, len(texts), 7):
+        own = texts[at:at + 7]
+        ids, ends = encoder.encode(pa.array([None, *own], pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [
+            e.ids for e in tokenizer.encode_batch(own, add_special_tokens=False)]
+    ids, ends = encoder.encode(pa.array(["x y", *texts, "z"], pa.string()).slice(1, 5))
+    assert ids[:ends[0]].tolist() == tokenizer.encode(texts[0], add_special_tokens=False).ids and len(ends) == 5
 
 
 def exact_bins(lengths, capacity):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the behaviour being reproduced; do not edit).
@@ -42,6 +42,7 @@ REASON_NOT_IN_SUBMISSIONS = "not_found_in_submissions_recent"
 # ---------------------------------------------------------------------------
 
 
+# The numeric defaults below must match too.
 @dataclass(frozen=True)
 class IngestConfig:
     top_n_per_cik: int = 3
@@ -78,4 +79,3 @@ class RetrievalLimits:
 
     max_broadcast_questions: int = 4096
     max_broadcast_bytes: int = 64 * 1024 * 1024
-    extra: dict = field(default_factory=dict)

@@ -8,6 +8,8 @@ Python, partitioning and the explode stay in Spark.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,13 +18,7 @@ from pyspark.sql import types as T
 DEFAULT_SEPARATORS = ("\n\n", "\n", " ", "")
 
 CHUNK_SPAN = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("start", T.IntegerType(), False),
-            T.StructField("end", T.IntegerType(), False),
-            T.StructField("chunk", T.StringType(), False),
-        ]
-    )
+    T.StructType([T.StructField("start", T.IntegerType(), False), T.StructField("end", T.IntegerType(), False)])
 )
 
 
@@ -99,18 +95,18 @@ def _strip_span(text: str, s: int, e: int) -> tuple[int, int]:
     return s, e
 
 
-def _merge(text, spans, size, overlap, out):
+def _merge(text, spans, size, overlap, out, length):
     current: list[tuple[int, int]] = []
     total = 0
     for s, e in spans:
-        n = e - s
+        n = length(text[s:e])
         if total + n > size and current:
             cs, ce = _strip_span(text, current[0][0], current[-1][1])
             if ce > cs:
                 out.append((cs, ce))
             while current and (total > overlap or total + n > size):
                 ps, pe = current.pop(0)
-                total -= pe - ps
+                total -= length(text[ps:pe])
         current.append((s, e))
         total += n
     if current:
@@ -119,7 +115,7 @@ def _merge(text, spans, size, overlap, out):
             out.append((cs, ce))
 
 
-def _split(text, start, end, seps, size, overlap, out):
+def _split(text, start, end, seps, size, overlap, out, length):
     chosen, rest = seps[-1], ()
     for i, sep in enumerate(seps):
         if sep == "":
@@ -130,18 +126,18 @@ def _split(text, start, end, seps, size, overlap, out):
             break
     good: list[tuple[int, int]] = []
     for s, e in _pieces(text, start, end, chosen):
-        if e - s < size:
+        if length(text[s:e]) < size:
             good.append((s, e))
             continue
         if good:
-            _merge(text, good, size, overlap, out)
+            _merge(text, good, size, overlap, out, length)
             good = []
         if rest:
-            _split(text, s, e, rest, size, overlap, out)
+            _split(text, s, e, rest, size, overlap, out, length)
         else:
             out.append((s, e))
     if good:
-        _merge(text, good, size, overlap, out)
+        _merge(text, good, size, overlap, out, length)
 
 
 def recursive_spans(
@@ -149,35 +145,35 @@ def recursive_spans(
     size: int,
     overlap: int,
     separators: tuple[str, ...] = DEFAULT_SEPARATORS,
+    length: Callable[[str], int] = len,
 ) -> list[tuple[int, int]]:
     """Character spans [start, end) of the recursive chunks of ``text``."""
     if not text:
         return []
     out: list[tuple[int, int]] = []
-    _split(text, 0, len(text), tuple(separators), size, overlap, out)
+    _split(text, 0, len(text), tuple(separators), size, overlap, out, length)
     return out
 
 
-def recursive_chunks(
+def recursive_span_array(
     text: Column,
     size: int,
     overlap: int,
     separators: tuple[str, ...] = DEFAULT_SEPARATORS,
+    length: Callable[[str], int] = len,
 ) -> Column:
-    """array<struct<start,end,chunk>> of recursive chunks (0-based offsets)."""
+    """array<struct<start,end>> of recursive chunks (0-based offsets). Only
+    offsets come back from Python; the texts are cut in the JVM."""
     if not 0 <= overlap < size:
         raise ValueError("need 0 <= overlap < size")
     seps = tuple(separators)
 
     @F.pandas_udf(CHUNK_SPAN)
-    def _chunks(texts: pd.Series) -> pd.Series:
-        res = []
-        for t in texts:
-            spans = recursive_spans(t, size, overlap, seps)
-            res.append([{"start": s, "end": e, "chunk": t[s:e]} for s, e in spans])
-        return pd.Series(res)
+    def _spans(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": s, "end": e} for s, e in recursive_spans(t, size, overlap, seps, length)]
+                          for t in texts])
 
-    return _chunks(text)
+    return _spans(text)
 
 
 def chunk_recursive(
@@ -189,11 +185,16 @@ def chunk_recursive(
     chunk_col: str = "chunk",
     with_offsets: bool = False,
     separators: tuple[str, ...] = DEFAULT_SEPARATORS,
+    length: Callable[[str], int] = len,
 ) -> DataFrame:
-    """One row per recursive chunk with 0-based index; other columns kept."""
+    """One row per recursive chunk with 0-based index; other columns kept.
+    ``length`` measures pieces and chunks (X3; characters by default)."""
     keep = [c for c in df.columns if c != text_col]
-    arr = recursive_chunks(F.col(text_col), size, overlap, separators)
-    out = df.select(*keep, F.posexplode(arr).alias(ix_col, "_c"))
+    spans = recursive_span_array(F.col(text_col), size, overlap, separators, length)
+    cut = F.transform(spans, lambda x: F.struct(
+        F.substring(F.col(text_col), x["start"] + 1, x["end"] - x["start"]).alias("chunk"), x["start"].alias("start"),
+        x["end"].alias("end")))
+    out = df.select(*keep, F.posexplode(cut).alias(ix_col, "_c"))
     cols = [*keep, ix_col, F.col("_c.chunk").alias(chunk_col)]
     if with_offsets:
         cols += [F.col("_c.start").alias("chunk_start"), F.col("_c.end").alias("chunk_end")]

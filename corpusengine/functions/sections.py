@@ -16,14 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import LINE_BREAK, WS_CLASS, strip_ws
+from .text import LINE_BREAK, WS_CLASS, strip_ws, without_marks
 
 _START_MARK = "\u0002"
 _END_MARK = "\u0003"
 
 # Headings of the risk-factor section and of the items after it.
 # (?d): '^' only after '\n'; (?m): per line; (?i): any case. Whitespace is
-# Python's (WS_CLASS), digits are Unicode digits, as in the original rules.
+# Python's (WS_CLASS), digits are Unicode digits, as in the original rules. Both
+# patterns match prefixes, so '[2-9]' covers items with a letter (7A, 9B).
 _WS = WS_CLASS
 ITEM_1A_START = rf"(?imd)^{_WS}*ITEM{_WS}*1A(?:[.:\-–—]|\b){_WS}*(?:Risk{_WS}+Factors\b)?"
 NEXT_ITEM_END = rf"(?imd)^{_WS}*ITEM{_WS}*(?:1B|1C|[2-9]|1[0-4])"
@@ -33,7 +34,7 @@ PAGE_NUMBER_LINE = rf"^{_WS}*\p{{Nd}}{{1,3}}{_WS}*$"
 
 def section_candidates(text: Column, start_re: str, end_re: str) -> Column:
     """array<string>: raw (unstripped) candidate sections in text order."""
-    t = F.replace(text, F.lit("\u00a0"), F.lit(" "))
+    t = F.replace(without_marks(text), F.lit("\u00a0"), F.lit(" "))
     marked = F.regexp_replace(t, start_re, _START_MARK + "$0")
     marked = F.regexp_replace(marked, end_re, _END_MARK + "$0")
     blocks = F.split(marked, _END_MARK)

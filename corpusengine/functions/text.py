@@ -6,6 +6,8 @@ regular-expression and string expressions, no Python per row.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,11 +17,14 @@ _TAG_MARK = "\u0001"
 # (All alternatives start with '<', so it is factored out: positions without
 # a '<' fail on the first character. As in HTML tokenisation, '<' followed by
 # anything but a letter, '/', '!' or '?' is text, not a tag.)
+# A quoted attribute value may hold '>'; a tag whose quotes do not close ends
+# at the first '>'.
 _DROP_PATTERN = (
     r"(?is)<(?:!--.*?-->"
     r"|script\b[^>]*>.*?</script\s*>"
     r"|style\b[^>]*>.*?</style\s*>"
     r"|noscript\b[^>]*>.*?</noscript\s*>"
+    r"|[a-zA-Z/!?](?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>"
     r"|[a-zA-Z/!?][^>]*>)"
 )
 # Whitespace exactly as Python's str.isspace() / str.strip() define it (all
@@ -30,25 +35,32 @@ WS_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]"
 # Line breaks of Python's str.splitlines().
 LINE_BREAK = r"\r\n|[\n\r\x{b}\x{c}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]"
 
-# The named character references html_to_text decodes (the
-# common ones in filings); their characters come from the HTML5 table of
-# Python's standard library. Numeric references (&#N; and &#xH;) are all
-# decoded; other named references are left as written.
+# The references of filings' common characters, tried before the
+# full HTML5 table of Python's standard library. Numeric references (&#N; and
+# &#xH;) are all decoded; names that HTML5 does not know are left as written.
 NAMED_ENTITIES = (
     "nbsp", "amp", "lt", "gt", "quot", "apos", "copy", "reg", "trade", "middot",
     "bull", "hellip", "mdash", "ndash", "lsquo", "rsquo", "ldquo", "rdquo",
-    "laquo", "raquo", "sect", "para", "deg", "plusmn", "times", "divide",
-    "frac12", "frac14", "frac34", "cent", "pound", "euro", "yen", "shy",
-    "ensp", "emsp", "thinsp", "zwnj", "zwj",
+    "sect", "para", "deg", "plusmn", "times", "frac12", "cent", "pound", "euro",
 )
-ENTITY_RE = r"&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
+ENTITY_RE = r"&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);"
+# Control characters that the rules below use as marks; dropped from the input.
+MARKS = "\u0001\u0002\u0003"
 
 
 def entity_table() -> dict[str, str]:
-    """'&name;' -> character, for NAMED_ENTITIES."""
+    """'&name;' -> character(s), for every HTML5 name that ends in ';'."""
     from html.entities import html5
 
-    return {f"&{n};": html5[f"{n};"] for n in NAMED_ENTITIES}
+    return {f"&{n}": c for n, c in html5.items() if n.endswith(";")}
+
+
+def without_marks(t: Column) -> Column:
+    """The text without the mark characters (texts hardly ever hold one)."""
+    has = F.lit(False)
+    for m in MARKS:
+        has = has | t.contains(m)
+    return F.when(has, F.translate(t, MARKS, "")).otherwise(t)
 
 
 def _hex2(b: Column) -> Column:
@@ -74,17 +86,28 @@ def code_point_char(n: Column) -> Column:
     return F.when(bad, F.lit("\ufffd")).otherwise(F.decode(F.unhex(hexs), "UTF-8"))
 
 
+def _code_point(digits: Column, most: int, base: int) -> Column:
+    """The number of a digit string (too long, so too large: -1)."""
+    short = F.regexp_replace(digits, "^0+", "")
+    number = F.conv(short, base, 10).cast("long")
+    return F.when(F.length(short) > most, F.lit(-1)).when(short == "", F.lit(0)).otherwise(number)
+
+
 def decode_entity(e: Column) -> Column:
     """One character reference ('&copy;', '&#169;', '&#xA9;') decoded;
     unknown names are returned unchanged."""
+    table = entity_table()
     out = None
-    for ref, char in entity_table().items():
-        out = F.when(e == ref, F.lit(char)) if out is None else out.when(e == ref, F.lit(char))
+    for name in NAMED_ENTITIES:
+        ref = f"&{name};"
+        out = F.when(e == ref, F.lit(table[ref])) if out is None else out.when(e == ref, F.lit(table[ref]))
     dec = F.regexp_extract(e, r"^&#([0-9]+);$", 1)
     hx = F.regexp_extract(e, r"^&#[xX]([0-9A-Fa-f]+);$", 1)
-    out = out.when(dec != "", code_point_char(dec.cast("long")))
-    out = out.when(hx != "", code_point_char(F.conv(hx, 16, 10).cast("long")))
-    return out.otherwise(e)
+    out = out.when(dec != "", code_point_char(_code_point(dec, 7, 10)))
+    out = out.when(hx != "", code_point_char(_code_point(hx, 6, 16)))
+    # One literal (folded once), so the table is not thousands of branches.
+    names = F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+    return out.otherwise(F.coalesce(F.try_element_at(names, e), e))
 
 
 def decode_entities(t: Column) -> Column:
@@ -118,7 +141,7 @@ def html_to_text(html: Column) -> Column:
     joined by a newline, NBSP becomes a space, runs of spaces/tabs become one
     space, 2+ newlines become exactly two, and the result is stripped.
     """
-    t = F.regexp_replace(html, _DROP_PATTERN, _TAG_MARK)
+    t = F.regexp_replace(without_marks(html), _DROP_PATTERN, _TAG_MARK)
     t = F.regexp_replace(t, _TAG_MARK + "+", "\n")
 
     def decode(x: Column) -> Column:
@@ -143,9 +166,3 @@ def safe_name(c: Column, limit: int = 80) -> Column:
     """Keep letters, digits, '.', '_', '-' and space; strip; then cut to limit."""
     kept = F.regexp_replace(c, r"[^\p{L}\p{N}._\- ]", "")
     return F.substring(strip_ws(kept), 1, limit)
-
-
-def squeeze_lines(c: Column) -> Column:
-    """NBSP to space, then runs of spaces/tabs to one space."""
-    t = F.replace(c, F.lit("\u00a0"), F.lit(" "))
-    return F.regexp_replace(t, r"[ \t]+", " ")

@@ -40,8 +40,10 @@ def answer_frame(questions: DataFrame, contexts: DataFrame, generate: Callable[[
     """C1/C2 over a question table: blank guard (P10), prompt (F17), model
     hook (X2), answer clean-up (F18), nothing-found fall-back (F19).
 
-    ``generate`` maps the prompt column to raw model output; by default the
-    engine is extractive: the first paragraph of the context after 'Answer:'.
+    ``generate`` maps the prompt column to raw model output. No model ships
+    with the engine: by default the output is an extract, the first paragraph
+    of the context after 'Answer:'; column ``answer_kind`` tells 'model' and
+    'extract' apart ('fixed' for the two fixed replies).
     """
     j = questions.join(contexts, qid_col, "left")
     prompt = render_prompt(F.col("context"), F.col(question_col), template)
@@ -58,9 +60,23 @@ def answer_frame(questions: DataFrame, contexts: DataFrame, generate: Callable[[
         .when(F.col("context").isNull(), F.lit(NOTHING_FOUND_REPLY))
         .otherwise(clean_answer(raw))
         .alias("answer"),
+        F.when(blank | F.col("context").isNull(), F.lit("fixed"))
+        .otherwise(F.lit("model" if generate else "extract"))
+        .alias("answer_kind"),
     )
 
 
+def source_hits(main: DataFrame, upload: DataFrame | None, cfg: RagConfig = RagConfig(), qid_col: str = "qid") -> DataFrame:
+    """The hits a question's context is made of. With an upload both sources
+    are merged (C2: labels, main_k + upload_k, merged cap); without one the
+    main source alone, unlabelled, counts (C1)."""
+    if upload is None:
+        return main.where(F.col("rank") <= cfg.retrieval_k).withColumn("source", F.lit(None).cast("string")).withColumn(
+            "source_ord", F.lit(0).cast("long"))
+    return merge_sources([(main.where(F.col("rank") <= cfg.main_k), cfg.main_label),
+                          (upload.where(F.col("rank") <= cfg.upload_k), cfg.upload_label)], cfg.merged_cap, qid_col)
+
+
 def labelled_items(hits: DataFrame, content_col: str, cfg: RagConfig = RagConfig()) -> DataFrame:
     """F15 + F16: '[source]\\n' + first item_chars characters of the content."""
     pre, post = cfg.label_format.split("{label}")

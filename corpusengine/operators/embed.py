@@ -82,6 +82,34 @@ def hashing_embed(df: DataFrame, text_col: str, dim: int = 384, out_col: str = "
     return norm.withColumn(out_col, vector_to_array("_vec", "float32")).drop("_tok", "_tf", "_vec")
 
 
+def hash_counts(dim: int = 256) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """Factory for ``model_embed``: token counts in ``dim`` buckets (the first
+    eight hex digits of a token's md5, modulo dim). Stateless and exactly
+    repeatable in SQL; tokens are runs of ASCII letters and digits, lower-cased."""
+    import hashlib
+    import re
+
+    def make():
+        token = re.compile(r"[a-z0-9]+")
+        buckets: dict[str, int] = {}
+
+        def embed(texts: list[str]) -> np.ndarray:
+            out = np.zeros((len(texts), dim), np.float32)
+            for i, text in enumerate(texts):
+                for t in token.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text)):
+                    b = buckets.get(t)
+                    if b is None:
+                        if len(buckets) > 200_000:
+                            buckets.clear()
+                        b = buckets[t] = int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim
+                    out[i, b] += 1
+            return out
+
+        return embed
+
+    return make
+
+
 def model_embed(text: Column, make_model: Callable[[], Callable[[list[str]], np.ndarray]]) -> Column:
     """array<float> per text from a user model."""
 

@@ -107,7 +107,6 @@ def top_n_filings(
 def match_first_submission(
     index_rows: DataFrame,
     sub_rows: DataFrame,
-    row_key=("file_date", "line_no"),
     match: str = "first",
 ) -> DataFrame:
     """Left join index rows to submission rows on (cik, form, filing date),
@@ -124,24 +123,32 @@ def match_first_submission(
         "accessionNumber",
         "primaryDocument",
     )
-    cond = (idx.cik == subs._cik) & (idx.form == subs._form) & (idx._d == subs._sd)
-    j = idx.join(subs, cond, "left").drop("_cik", "_form", "_sd")
     if match == "first":
-        w = Window.partitionBy(*row_key).orderBy(F.col("pos").asc_nulls_last())
-        j = j.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    return j.drop("_d")
+        # One row per key first (partial aggregation), so the join adds no rows
+        # and needs no window over the index rows.
+        subs = subs.groupBy("_cik", "_form", "_sd").agg(
+            F.min_by(F.struct("pos", "accessionNumber", "primaryDocument"), F.col("pos")).alias("_s")
+        ).select("_cik", "_form", "_sd", "_s.*")
+    cond = (idx.cik == subs._cik) & (idx.form == subs._form) & (idx._d == subs._sd)
+    return idx.join(subs, cond, "left").drop("_cik", "_form", "_sd", "_d")
 
 
-def prepare_daily(matched: DataFrame, seen: DataFrame, seen_col: str = "accessionNumber") -> DataFrame:
+def prepare_daily(matched: DataFrame, seen: DataFrame, seen_col: str = "accessionNumber",
+                  row_key=("file_date", "line_no")) -> DataFrame:
     """Status of matched index rows: 'provided', or a skip with reason
-    'already_seen' / 'not_found_in_submissions_recent'."""
-    s = seen.select(F.col(seen_col).alias("_seen")).distinct()
-    j = matched.join(s, matched.accessionNumber == s._seen, "left")
+    'already_seen' / 'not_found_in_submissions_recent'.
+
+    Rows without an accession match nothing; they join on a value of their own
+    (prefix and row), so they do not meet in one partition."""
+    s = seen.select(F.col(seen_col).alias("_seen")).where(F.col("_seen").isNotNull()).distinct()
+    own = F.concat_ws(":", F.lit("none"), *[F.col(c).cast("string") for c in row_key])
+    j = matched.withColumn("_key", F.coalesce(F.col("accessionNumber"), own))
+    j = j.join(s, j._key == s._seen, "left")
     reason = (
         F.when(F.col("accessionNumber").isNull(), F.lit(REASON_NOT_IN_SUBMISSIONS))
         .when(F.col("_seen").isNotNull(), F.lit(REASON_ALREADY_SEEN))
     )
-    return j.withColumn("reason", reason).drop("_seen").withColumn(
+    return j.withColumn("reason", reason).drop("_seen", "_key").withColumn(
         "status", F.when(F.col("reason").isNull(), F.lit("provided")).otherwise(F.lit("skip"))
     )
 

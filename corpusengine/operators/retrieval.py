@@ -2,18 +2,21 @@
 
 Plan for exact search (no cross join, no pair rows):
 
-1. Questions are split into blocks whose size is checked (rows and bytes)
-   before they are shipped to every task as one broadcast matrix; larger
-   question sets run block after block.
+1. Questions are cut into blocks whose size is checked (rows and bytes) before
+   they are shipped to every task as one broadcast matrix. One block is on the
+   driver at a time; with several, each block's result is written before the
+   next is collected and its broadcast is destroyed.
 2. The corpus is scanned in place with ``mapInArrow``: each Arrow batch of
    vectors is multiplied with the question matrix (BLAS), and each task keeps
    only its exact top-k per question (ties broken by smaller id).
 3. Only those k rows per question and task are shuffled; a ``row_number``
    window (planned with a partial WindowGroupLimit) picks the global top-k.
 
-The corpus is never shuffled or broadcast. Approximate search (IVF) adds a
-cell column to the corpus (Spark ML KMeans) and scores a row only against the
-questions that probe its cell; with every cell probed it equals exact search.
+The corpus is never shuffled or broadcast. Ids may be of any ordered type (the
+engine's own chunk ids are strings). Approximate search (IVF) adds a cell
+column to the corpus (Spark ML KMeans, fitted on a bounded sample); a row is
+multiplied only with the questions that probe its cell. With every cell probed
+it equals exact search.
 """
 
 from __future__ import annotations
@@ -28,17 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import RetrievalLimits
+from ..session import scratch_path
 
 METRICS = ("cosine", "dot", "l2")
 
-HIT_SCHEMA = T.StructType(
-    [
-        T.StructField("qid", T.LongType(), False),
-        T.StructField("id", T.LongType(), False),
-        T.StructField("score", T.DoubleType(), False),
-    ]
-)
-
 
 def vector_mean(df: DataFrame, key: str, vec_col: str) -> DataFrame:
     """Per key, the element-wise mean vector (array<double>).
@@ -71,7 +67,7 @@ def _block_count(questions: DataFrame, limits: RetrievalLimits, dim_hint: int |
 def _collect_block(block: DataFrame, qid_col: str, qvec_col: str, extra: list[str]) -> dict:
     """The (size-checked) question block as numpy arrays for broadcasting."""
     pdf = block.select(qid_col, qvec_col, *extra).toPandas()
-    ids = pdf[qid_col].to_numpy(dtype=np.int64)
+    ids = pdf[qid_col].to_numpy()
     if len(pdf):
         mat = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[qvec_col]])
     else:
@@ -91,41 +87,69 @@ def _collect_block(block: DataFrame, qid_col: str, qvec_col: str, extra: list[st
     return out
 
 
+def _candidates(sel: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, question) of every score within ``slack`` of a question's k-th."""
+    if sel.shape[0] > k:
+        kth = -np.partition(-sel, k - 1, axis=0)[k - 1]
+        mask = sel >= (kth[None, :] - slack)
+    else:
+        mask = np.ones_like(sel, dtype=bool)
+    return np.nonzero(mask & np.isfinite(sel))
+
+
+def _scores(metric: str, V: np.ndarray, Q: np.ndarray, k: int, allowed: np.ndarray | None):
+    """(rows, questions, exact scores) of the candidates of one matrix product."""
+    dim = Q.shape[1]
+    if metric == "cosine":
+        # Selection in float32 (sgemm). The margin covers its rounding: the
+        # error of a dot product of unit vectors is below dim * 2^-24 each way
+        # (plus that of the scaling); candidates are re-scored in float64.
+        vn = np.linalg.norm(V.astype(np.float32, copy=False), axis=1)
+        qn = np.linalg.norm(Q, axis=1)
+        unit = Q / np.where(qn == 0, 1.0, qn)[:, None]
+        sel = (V.astype(np.float32, copy=False) / np.where(vn == 0, 1.0, vn)[:, None]) @ unit.astype(np.float32).T
+        slack = 4 * (dim + 8) * 2.0 ** -24
+    elif metric == "dot":
+        sel, slack = V.astype(np.float64) @ Q.T, 1e-9
+    else:
+        x = V.astype(np.float64)
+        sq = (x * x).sum(axis=1)[:, None] + (Q * Q).sum(axis=1)[None, :] - 2.0 * (x @ Q.T)
+        sel, slack = -np.sqrt(np.maximum(sq, 0.0)), 1e-6
+    if allowed is not None:
+        sel = np.where(allowed, sel, -np.inf)
+    r, c = _candidates(sel, k, slack)
+    x = V[r].astype(np.float64)
+    if metric == "l2":
+        return r, c, np.sqrt(((x - Q[c]) ** 2).sum(axis=1))
+    if metric == "dot":
+        return r, c, (x * Q[c]).sum(axis=1)
+    n = np.linalg.norm(x, axis=1)
+    return r, c, (x * unit[c]).sum(axis=1) / np.where(n == 0, 1.0, n)
+
+
 def _score_fn(bc, metric: str, k: int, id_col: str, vec_col: str,
               filter_col: str | None, q_filter_col: str | None,
-              cell_col: str | None, q_cells_col: str | None):
+              cell_col: str | None, q_cells_col: str | None, qid_type, id_type):
     """mapInArrow function: per-task exact top-k candidates per question."""
 
     def run(batches):
         blk = bc.value
-        qids = blk["ids"]
         Q = blk["mat"]
-        nq = len(qids)
+        nq = len(blk["ids"])
         if nq == 0:
             return
-        qn = np.linalg.norm(Q, axis=1)
-        if metric == "cosine":
-            Qs = Q / np.where(qn == 0, 1.0, qn)[:, None]
-            Qs32 = Qs.astype(np.float32)
-        else:
-            Qs = Q
         qf = blk.get(q_filter_col) if q_filter_col else None
         qcells = blk.get(q_cells_col) if q_cells_col else None
-        buf_q, buf_id, buf_s = [], [], []
+        held: list[pd.DataFrame] = []
         buffered = 0
 
         def prune():
-            nonlocal buf_q, buf_id, buf_s, buffered
-            if not buf_q:
-                return
-            df = pd.DataFrame(
-                {"qid": np.concatenate(buf_q), "id": np.concatenate(buf_id), "score": np.concatenate(buf_s)}
-            )
-            asc = metric == "l2"
-            df = df.sort_values(["qid", "score", "id"], ascending=[True, asc, True], kind="mergesort")
-            df = df.groupby("qid", sort=False).head(k)
-            buf_q, buf_id, buf_s = [df["qid"].to_numpy()], [df["id"].to_numpy()], [df["score"].to_numpy()]
-            buffered = len(df)
+            nonlocal held, buffered
+            if held:
+                df = pd.concat(held)
+                df = df.sort_values(["q", "score", "id"], ascending=[True, metric == "l2", True], kind="mergesort")
+                held = [df.groupby("q", sort=False).head(k)]
+                buffered = len(held[0])
 
         for rb in batches:
             if rb.num_rows == 0:
@@ -141,67 +165,33 @@ def _score_fn(bc, metric: str, k: int, id_col: str, vec_col: str,
             rows = np.nonzero(valid)[0]
             flat = np.asarray(vec.flatten())  # float32 for array<float>, no copy
             starts = np.asarray(vec.offsets)[:-1][rows] - np.asarray(vec.offsets)[0]
-            Vn = flat[(starts[:, None] + np.arange(dim)[None, :])]
-            ids = ids_arr.to_numpy(zero_copy_only=False)[rows].astype(np.int64)
-            slack = 1e-9
-            if metric == "cosine":
-                # Selection in float32 (sgemm); candidates within a margin of
-                # the k-th score are re-scored exactly in float64 below.
-                V32 = Vn.astype(np.float32, copy=False)
-                vn32 = np.linalg.norm(V32, axis=1)
-                sel = (V32 / np.where(vn32 == 0, 1.0, vn32)[:, None]) @ Qs32.T
-                slack = 1e-5
-                S = None
-                V = Vn
-            elif metric == "dot":
-                V = Vn.astype(np.float64)
-                S = V @ Qs.T
-                sel = S
-            else:
-                V = Vn.astype(np.float64)
-                S = None
-                sq = (V * V).sum(axis=1)[:, None] + (Q * Q).sum(axis=1)[None, :] - 2.0 * (V @ Q.T)
-                sel = -np.sqrt(np.maximum(sq, 0.0))
+            V = flat[(starts[:, None] + np.arange(dim)[None, :])]
+            ids = ids_arr.to_numpy(zero_copy_only=False)[rows]
             allowed = None
             if qf is not None:
                 cf = np.asarray(rb.column(rb.schema.get_field_index(filter_col)).to_pandas())[rows]
                 allowed = cf[:, None] == qf[None, :]
-            if qcells is not None:
-                cc = np.asarray(rb.column(rb.schema.get_field_index(cell_col)).to_pandas())[rows].astype(np.int64)
-                inside = cc < qcells.shape[0]
-                probe = np.zeros((len(cc), nq), dtype=bool)
-                probe[inside] = qcells[cc[inside]]
-                allowed = probe if allowed is None else (allowed & probe)
-            if allowed is not None:
-                sel = np.where(allowed, sel, -np.inf)
-            b = sel.shape[0]
-            if b > k:
-                kth = -np.partition(-sel, k - 1, axis=0)[k - 1]
-                mask = sel >= (kth[None, :] - slack)
-            else:
-                mask = np.ones_like(sel, dtype=bool)
-            mask &= np.isfinite(sel)
-            r, c = np.nonzero(mask)
-            if metric == "l2":
-                score = np.sqrt(((V[r] - Q[c]) ** 2).sum(axis=1))
-            elif metric == "cosine":
-                v64 = V[r].astype(np.float64)
-                n64 = np.linalg.norm(v64, axis=1)
-                score = (v64 * Qs[c]).sum(axis=1) / np.where(n64 == 0, 1.0, n64)
+            if qcells is None:
+                parts = [(np.arange(len(rows)), np.arange(nq))]
             else:
-                score = S[r, c]
-            buf_q.append(qids[c])
-            buf_id.append(ids[r])
-            buf_s.append(score)
-            buffered += len(r)
+                # Only rows and questions that share a cell are multiplied.
+                cells = np.asarray(rb.column(rb.schema.get_field_index(cell_col)).to_pandas())[rows].astype(np.int64)
+                parts = [(np.nonzero(cells == c)[0], np.nonzero(qcells[c])[0])
+                         for c in np.unique(cells) if c < qcells.shape[0]]
+            for own, asked in parts:
+                if not len(own) or not len(asked):
+                    continue
+                r, c, score = _scores(metric, V[own], Q[asked], k, None if allowed is None else allowed[np.ix_(own, asked)])
+                held.append(pd.DataFrame({"q": asked[c], "id": ids[own[r]], "score": score}))
+                buffered += len(r)
             if buffered > 8 * k * nq + 4096:
                 prune()
         prune()
-        if buf_q and len(buf_q[0]):
+        if held and len(held[0]):
+            df = held[0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(buf_q[0], pa.int64()), pa.array(buf_id[0], pa.int64()), pa.array(buf_s[0], pa.float64())],
-                names=["qid", "id", "score"],
-            )
+                [pa.array(blk["ids"][df["q"].to_numpy()], qid_type), pa.array(df["id"].to_numpy(), id_type),
+                 pa.array(df["score"].to_numpy(), pa.float64())], names=["qid", "id", "score"])
 
     return run
 
@@ -230,33 +220,35 @@ def knn(
     (metadata filter). ``cell_col`` / ``q_cells_col`` restrict it to the
     probed IVF cells.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     _check_metric(metric)
     spark = corpus.sparkSession
     extra = [c for c in (q_filter_col, q_cells_col) if c]
-    q = questions.select(F.col(qid_col).cast("long").alias(qid_col), qvec_col, *extra).persist()
+    q = questions.select(qid_col, qvec_col, *extra)
+    scan = corpus.select(id_col, vec_col, *[c for c in (filter_col, cell_col) if c])
+    qid_type, id_type = q.schema[qid_col].dataType, scan.schema[id_col].dataType
+    schema = T.StructType([T.StructField("qid", qid_type), T.StructField("id", id_type),
+                           T.StructField("score", T.DoubleType())])
     n, nblocks = _block_count(q, limits, dim_hint)
-    need = [id_col, vec_col] + [c for c in (filter_col, cell_col) if c]
-    scan = corpus.select(
-        F.col(id_col).cast("long").alias(id_col),
-        F.col(vec_col),
-        *[c for c in need[2:]],
-    )
-    parts = []
-    for b in range(nblocks):
-        block = q if nblocks == 1 else q.where(F.pmod(F.xxhash64(qid_col), F.lit(nblocks)) == b)
-        data = _collect_block(block, qid_col, qvec_col, extra)
-        bc = spark.sparkContext.broadcast(data)
-        fn = _score_fn(bc, metric, k, id_col, vec_col, filter_col, q_filter_col, cell_col, q_cells_col)
-        parts.append(scan.mapInArrow(fn, HIT_SCHEMA))
-    q.unpersist()
-    if not parts:
-        return spark.createDataFrame([], "qid long, rank long, id long, score double")
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    if n == 0:
+        empty = spark.createDataFrame([], schema)
+        return empty.select(F.col("qid").alias(qid_col), F.lit(0).cast("long").alias("rank"),
+                            F.col("id").alias(id_col), "score")
     order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
     w = Window.partitionBy("qid").orderBy(order, F.col("id").asc())
-    top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out_path = scratch_path(spark, "knn") if nblocks > 1 else None
+    for b in range(nblocks):
+        block = q if nblocks == 1 else q.where(F.pmod(F.xxhash64(qid_col), F.lit(nblocks)) == b)
+        bc = spark.sparkContext.broadcast(_collect_block(block, qid_col, qvec_col, extra))
+        fn = _score_fn(bc, metric, k, id_col, vec_col, filter_col, q_filter_col, cell_col, q_cells_col,
+                       to_arrow_type(qid_type), to_arrow_type(id_type))
+        top = scan.mapInArrow(fn, schema).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        if out_path:
+            top.write.mode("append").parquet(out_path)
+            bc.destroy()
+    if out_path:
+        top = spark.read.parquet(out_path)
     return top.select(
         F.col("qid").alias(qid_col), F.col("rank").cast("long"), F.col("id").alias(id_col), "score"
     )
@@ -266,13 +258,27 @@ def knn(
 # IVF: cells from Spark ML KMeans, probing the nearest cells per question.
 # ---------------------------------------------------------------------------
 
-def ivf_cells(corpus: DataFrame, vec_col: str, nlist: int, seed: int = 7, max_iter: int = 20):
-    """Fit KMeans on the corpus vectors; return (model, corpus + 'cell')."""
+def cell_count(n_rows: int, rows_per_cell: int = 4096, least: int = 16, most: int = 65_536) -> int:
+    """Number of cells for a corpus of ``n_rows``: a cell holds some thousands
+    of rows, whatever the size."""
+    return max(least, min(most, math.ceil(n_rows / rows_per_cell)))
+
+
+def ivf_cells(corpus: DataFrame, vec_col: str, nlist: int | None = None, seed: int = 7, max_iter: int = 5,
+              sample_rows: int = 50_000):
+    """Fit KMeans and return (model, corpus + 'cell').
+
+    The centroids are fitted on a sample of about ``sample_rows`` rows (the
+    documented bound); every row gets a cell."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    n = corpus.count()
+    nlist = cell_count(n) if nlist is None else nlist
     feats = corpus.withColumn("_features", array_to_vector(F.col(vec_col)))
-    model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="cell").fit(feats)
+    some = feats.select("_features")
+    some = some.sample(fraction=sample_rows / n, seed=seed) if n > sample_rows else some
+    model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="cell").fit(some)
     return model, model.transform(feats).drop("_features")
 
 
@@ -287,11 +293,9 @@ def probe_cells(questions: DataFrame, model, qvec_col: str, nprobe: int) -> Data
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def nearest(vs: pd.Series) -> pd.Series:
         c = bc.value
-        out = []
-        for v in vs:
-            d = ((c - np.asarray(v, dtype=np.float64)[None, :]) ** 2).sum(axis=1)
-            out.append(np.lexsort((np.arange(len(d)), d))[:nprobe].astype(np.int32).tolist())
-        return pd.Series(out)
+        x = np.vstack([np.asarray(v, dtype=np.float64) for v in vs]) if len(vs) else np.zeros((0, c.shape[1]))
+        d = (c * c).sum(axis=1)[None, :] - 2.0 * (x @ c.T)  # |x|^2 is the same for every cell
+        return pd.Series(np.argsort(d, axis=1, kind="stable")[:, :nprobe].astype(np.int32).tolist())
 
     return questions.withColumn("cells", nearest(F.col(qvec_col)))
 
@@ -305,12 +309,16 @@ def recall_at_k(approx: DataFrame, exact: DataFrame, qid_col: str = "qid", id_co
 
 
 def write_ivf_corpus(cells: DataFrame, path: str, cell_col: str = "cell", id_col: str = "id",
-                     files_per_cell: int = 8) -> None:
-    """Write a corpus with IVF cells partitioned by cell. Each cell is spread
-    over up to ``files_per_cell`` tasks (salted by id), so a hot cell does not
-    fall to one task."""
-    salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(files_per_cell))
-    cells.repartition(F.col(cell_col), salt).write.mode("errorifexists").partitionBy(cell_col).parquet(path)
+                     rows_per_file: int = 500_000) -> None:
+    """Write a corpus with IVF cells partitioned by cell. A cell is dealt over
+    as many tasks as its row count asks for (its share of salts), so a hot cell
+    does not fall to one writer and small cells make one file."""
+    sizes = cells.groupBy(cell_col).agg(F.count(F.lit(1)).alias("_n"))  # one row per cell
+    parts = F.ceil(F.col("_n") / rows_per_file).cast("int")
+    salted = cells.join(F.broadcast(sizes.select(cell_col, parts.alias("_parts"))), cell_col)
+    salt = F.pmod(F.xxhash64(F.col(id_col)), F.col("_parts"))
+    salted.repartition(F.col(cell_col), salt).drop("_parts").write.mode("errorifexists").option(
+        "maxRecordsPerFile", rows_per_file).partitionBy(cell_col).parquet(path)
 
 
 def knn_ivf(corpus_path: str, questions: DataFrame, model, k: int, nprobe: int, metric: str = "cosine",

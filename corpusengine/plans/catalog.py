@@ -29,6 +29,27 @@ def q_html_to_text(spark, d):
     return pages.select("page_id", html_to_text(F.col("html")).alias("text"))
 
 
+# References and tags that are easily read wrongly, one per page.
+ODD_MARKUP = (
+    "caf&eacute; &rarr; &dagger;", "&#00000169; &#xA9; &#0; &#99999999;", "&NotEqualTilde;&fjlig;&bogus;&amp;lt;",
+    "<a title=\"a>b\" href='x>y'>quoted</a>", "<a title=\"open>ends</a>", "&#x1F600;&#xD800;&#2;ITEM 1A",
+    "a < b &lt;i&gt; <3",
+)
+
+
+def sql_odd_html() -> str:
+    odd = "[" + ", ".join("'" + m.replace("'", "''") + "'" for m in ODD_MARKUP) + "]"
+    return f"('<p>' || {odd}[page_id % {len(ODD_MARKUP)} + 1] || '</p>' || html)"
+
+
+@register("html_references", f"SELECT page_id, {sql_html_to_text(sql_odd_html())} AS text FROM pages")
+def q_html_references(spark, d):
+    """F1 on every page with odd references, quoted '>' and marks put in front."""
+    pages = read_table(spark, d, "pages", "page_id", "html")
+    odd = F.element_at(F.array(*[F.lit(m) for m in ODD_MARKUP]), (F.col("page_id") % len(ODD_MARKUP) + 1).cast("int"))
+    return pages.select("page_id", html_to_text(F.concat(F.lit("<p>"), odd, F.lit("</p>"), F.col("html"))).alias("text"))
+
+
 @register(
     "chunk_fixed",
     sql_fixed_chunks("documents", "doc_id", "text", CFG.chunk_size, CFG.chunk_overlap),

@@ -2,60 +2,78 @@
 
 One DataFrame plan for a whole batch of filings instead of a loop per filing:
 
-    filings --(J3 company look-up)--> --(J2 seen anti join first)-->
-    distinct new accessions --(J5 main document)--(S5 html join)-->
+    filings --(J3 company look-up)--> one row per accession (first copy)
+    --(J2 seen flag)--(J5 main document)--(S5 html of exactly that document)-->
     F1 text --> F4 section --> F12 chunk count  ==> per-accession outcome
     --> joined back to every input row with W4 first-occurrence rules
     ==> status table (one row per input filing; reason null = record).
 
-The expensive text work runs once per distinct, not-yet-seen accession.
+The expensive text work runs once per distinct, not-yet-seen accession, in the
+scan of the documents; section texts never travel through the status joins.
 Errors are per-row reasons, never exceptions that drop a whole company.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import REASON_NO_FILINGS, IngestConfig
-from ..functions.chunking import chunk_fixed, chunk_id, chunk_recursive, fixed_chunk_count, recursive_chunks
-from ..functions.filings import company_or_default, document_url, fiscal_year
+from ..functions.chunking import chunk_fixed, chunk_id, chunk_recursive, fixed_chunk_count, recursive_span_array
+from ..functions.filings import company_or_default, document_url, fiscal_year, parse_filing_date
 from ..functions.sections import extract_section
 from ..functions.text import html_to_text
 from ..operators import filings as fo
-from ..operators.joins import DEFAULT_MAX_BROADCAST_ROWS, sized_broadcast
 
 STATUS_COLUMNS = (
     "input_pos", "cik", "company", "form", "filingDate", "accessionNumber",
     "primary", "url", "chunks", "reason",
 )
 RECORD_COLUMNS = ("company", "cik", "filingDate", "form", "accessionNumber", "url", "chunks")
+META_COLUMNS = ("cik", "company", "form", "filingDate", "primaryDocument")
 MISSING_DOCUMENT = "error:filing document not found"
+MISSING_ACCESSION = "error:missing accession number"
+BAD_DATE = "error:bad filing date"
+
+
+@dataclass(frozen=True)
+class IngestBatch:
+    """Result of one batch: ``status`` (one row per input filing) and
+    ``parsed`` (one row per fetched document: accessionNumber, the first copy's
+    metadata, primary, url, section)."""
+
+    status: DataFrame
+    parsed: DataFrame
 
 
-def ingest_filings(
+def ingest_batch(
     filings: DataFrame,
     raw_html: DataFrame,
     seen: DataFrame,
     cfg: IngestConfig = IngestConfig(),
     companies: DataFrame | None = None,
     listings: DataFrame | None = None,
-    keep_section: bool = False,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     chunker: str = "fixed",
-) -> DataFrame:
-    """Status of every filing of a batch.
-
-    filings  : input_pos, cik, accessionNumber, primaryDocument, filingDate,
-               form (null -> '10-K'), company (nullable)
-    raw_html : accessionNumber, html (the fetched main document)
+) -> IngestBatch:
+    """Status of every filing of a batch, and its parsed documents.
+
+    filings  : input_pos (any ordered type, e.g. a struct), cik,
+               accessionNumber, primaryDocument, filingDate, form (null ->
+               '10-K'), company (nullable)
+    raw_html : accessionNumber, html, and primary (the document's name) if
+               several documents of a filing have landed; only the chosen main
+               document is then read
     seen     : accessionNumber (manifest of earlier runs)
     companies: cik, name (look-up for missing company names)
     listings : accessionNumber, pos, name (filing directory items)
     chunker  : 'fixed' (native windows) or 'recursive' (separator-descending
                splitter); the record's chunk count follows the same chunker
                that corpus_chunks uses.
-    """
+
+    A filing without an accession or with a date in neither format is a skip
+    with an 'error:' reason of its own; it touches no other row."""
     f = filings.withColumn("form", F.coalesce(F.col("form"), F.lit("10-K")))
     if companies is not None:
         f = fo.fill_company(f, companies)
@@ -65,71 +83,73 @@ def ingest_filings(
             F.when(F.col("company").isNull() | (F.col("company") == ""),
                    company_or_default(F.lit(None).cast("string"), F.col("cik"))).otherwise(F.col("company")),
         )
-    seen_set = fo.seen_accessions(seen).select(F.col("accessionNumber").alias("_acc"), F.lit(True).alias("_seen"))
+    f = f.withColumn("_bad", F.when(F.col("accessionNumber").isNull() | (F.col("accessionNumber") == ""),
+                                    F.lit(MISSING_ACCESSION))
+                     .when(parse_filing_date(F.col("filingDate")).isNull(), F.lit(BAD_DATE)))
+    good = f.where(F.col("_bad").isNull())
 
     # First copy per accession (partial aggregation: a repeated accession
-    # costs one row per map task), and the accessions that still need work.
-    per_acc = f.groupBy("accessionNumber").agg(
+    # costs one row per map task) with the flag of the seen set.
+    per_acc = good.groupBy("accessionNumber").agg(
         F.min("input_pos").alias("_first_pos"),
-        F.min_by(F.struct("cik", "primaryDocument"), F.col("input_pos")).alias("_f"),
-    )
-    todo = fo.drop_seen(
-        per_acc.select("accessionNumber", "_f.cik", "_f.primaryDocument"),
-        seen_set.select(F.col("_acc").alias("accessionNumber")),
+        F.min_by(F.struct(*META_COLUMNS), F.col("input_pos")).alias("_f"),
     )
+    seen_set = fo.seen_accessions(seen).withColumn("_seen", F.lit(True))
+    acc = per_acc.join(seen_set, "accessionNumber", "left")
     if listings is not None:
-        best = fo.best_primary_doc(listings, "accessionNumber")
-        todo = fo.with_primary_doc(todo, best, "accessionNumber")
+        acc = acc.withColumn("primaryDocument", F.col("_f.primaryDocument"))
+        acc = fo.with_primary_doc(acc, fo.best_primary_doc(listings, "accessionNumber"), "accessionNumber")
     else:
-        todo = todo.withColumn("primary", F.col("primaryDocument"))
-    todo = todo.withColumn("url", document_url(F.col("cik"), F.col("accessionNumber"), F.col("primary")))
-
-    # The list of accessions to fetch is checkpointed and, when its size is
-    # under the bound, broadcast: the documents then stream past it without a
-    # shuffle. Beyond the bound both sides are shuffled on the accession.
-    todo, _ = sized_broadcast(todo, max_broadcast_rows)
-    html = raw_html.select("accessionNumber", "html")
-    found = html.join(todo, "accessionNumber", "inner")
+        acc = acc.withColumn("primary", F.col("_f.primaryDocument"))
+    acc = acc.withColumn("url", document_url(F.col("_f.cik"), F.col("accessionNumber"), F.col("primary")))
+
+    # Only documents of filings still to do are parsed. No hint: at run time a
+    # small fetch list is broadcast and the documents stream past it.
+    todo = acc.where(F.col("_seen").isNull()).select("accessionNumber", "_f", "primary", "url")
+    if "primary" in raw_html.columns:
+        html = raw_html.select("accessionNumber", "primary", "html")
+        found = html.join(todo, ["accessionNumber", "primary"])
+    else:
+        found = raw_html.select("accessionNumber", "html").join(todo, "accessionNumber")
     section = extract_section(html_to_text(F.col("html")), min_chars=cfg.min_item1a_chars)
-    parsed = found.select("accessionNumber", "primary", "url", section.alias("section")).select(
-        "accessionNumber", "primary", "url", "section",
-        F.when(F.col("section").isNull(), F.concat(F.col("accessionNumber"), F.lit(":no_item_1a")))
-        .alias("_reason"),
+    parsed = found.select("accessionNumber", "_f.*", "primary", "url", section.alias("section"))
+    outcome = parsed.select(
+        "accessionNumber", F.lit(True).alias("_found"),
+        F.when(F.col("section").isNull(), F.concat(F.col("accessionNumber"), F.lit(":no_item_1a"))).alias("_reason"),
         _chunk_count(F.col("section"), cfg, chunker).alias("_chunks"),
     )
-    found_keys = html.select("accessionNumber").join(todo.select("accessionNumber"), "accessionNumber", "left_semi")
-    missing = todo.join(found_keys, "accessionNumber", "left_anti").select(
-        "accessionNumber", "primary", "url", F.lit(None).cast("string").alias("section"),
-        F.lit(MISSING_DOCUMENT).alias("_reason"), F.lit(None).cast("long").alias("_chunks"),
-    )
-    outcome = parsed.unionByName(missing)
 
-    j = (
-        f.join(per_acc.select("accessionNumber", "_first_pos"), "accessionNumber", "inner")
-        .join(seen_set, f.accessionNumber == seen_set._acc, "left")
-        .drop("_acc")
-        .join(outcome, "accessionNumber", "left")
-    )
+    per_filing = acc.select("accessionNumber", "_first_pos", "_seen", "primary", "url").join(
+        outcome, "accessionNumber", "left")
     already = F.concat(F.lit("already_ingested:"), F.col("accessionNumber"))
-    is_first = F.col("input_pos") == F.col("_first_pos")
+    failed = F.when(F.col("_found").isNull(), F.lit(MISSING_DOCUMENT)).otherwise(F.col("_reason"))
     reason = (
-        F.when(F.col("_seen").isNotNull(), already)
-        .when(is_first, F.col("_reason"))
-        .when(F.col("_reason").isNull(), already)
-        .otherwise(F.col("_reason"))
+        F.when(F.col("_bad").isNotNull(), F.col("_bad"))
+        .when(F.col("_seen").isNotNull(), already)
+        .when(F.col("input_pos") == F.col("_first_pos"), failed)
+        .when(failed.isNull(), already)
+        .otherwise(failed)
     )
-    out = j.withColumn("reason", reason).withColumn(
+    # Rows in error have no partner: they join on a value of their own.
+    own = F.concat(F.lit("error:"), F.xxhash64("input_pos").cast("string"))
+    left = f.withColumn("_key", F.when(F.col("_bad").isNull(), F.col("accessionNumber")).otherwise(own))
+    status = left.join(per_filing.withColumnRenamed("accessionNumber", "_key"), "_key", "left")
+    status = status.withColumn("reason", reason).withColumn(
         "chunks", F.when(F.col("reason").isNull(), F.col("_chunks"))
     )
-    cols = [F.col(c) for c in STATUS_COLUMNS]
-    if keep_section:
-        cols.append(F.when(F.col("reason").isNull(), F.col("section")).alias("section"))
-    return out.select(*cols)
+    return IngestBatch(status.select(*STATUS_COLUMNS), parsed)
+
+
+def ingest_filings(filings: DataFrame, raw_html: DataFrame, seen: DataFrame, cfg: IngestConfig = IngestConfig(),
+                   companies: DataFrame | None = None, listings: DataFrame | None = None,
+                   chunker: str = "fixed") -> DataFrame:
+    """The status table of ``ingest_batch``."""
+    return ingest_batch(filings, raw_html, seen, cfg, companies, listings, chunker).status
 
 
 def _chunk_count(section, cfg: IngestConfig, chunker: str):
     if chunker == "recursive":
-        return F.size(recursive_chunks(section, cfg.chunk_size, cfg.chunk_overlap)).cast("long")
+        return F.size(recursive_span_array(section, cfg.chunk_size, cfg.chunk_overlap)).cast("long")
     return fixed_chunk_count(F.length(section), cfg.chunk_size, cfg.chunk_overlap).cast("long")
 
 
@@ -153,20 +173,21 @@ def summary(status: DataFrame) -> DataFrame:
     )
 
 
-def manifest_rows(status: DataFrame, cfg: IngestConfig = IngestConfig()) -> DataFrame:
-    """K2 rows: one per record, the manifest fields."""
+def manifest_rows(status: DataFrame, embedding_model: str | None = None) -> DataFrame:
+    """K2 rows: one per record, the manifest fields. ``embedding_model`` names
+    the embedder that ran (null: none did)."""
     return status.where(F.col("reason").isNull()).select(
         "cik", "company", "form", "filingDate", "accessionNumber", "url", "primary",
         F.lit("Item 1A").alias("section"), F.col("chunks").cast("int").alias("chunks"),
-        F.lit(cfg.embedding_model).alias("embedding_model"),
+        F.lit(embedding_model).cast("string").alias("embedding_model"),
     )
 
 
-def corpus_chunks(status_with_section: DataFrame, cfg: IngestConfig = IngestConfig(),
-                  chunker: str = "recursive") -> DataFrame:
-    """Chunk rows of the successful filings with deterministic ids
-    sha1('{cik}__{accession}__{i}') and the chunk metadata."""
-    ok = status_with_section.where(F.col("reason").isNull()).select(
+def corpus_chunks(parsed: DataFrame, cfg: IngestConfig = IngestConfig(), chunker: str = "recursive") -> DataFrame:
+    """Chunk rows of the successful filings (documents of a batch with a
+    section) with deterministic ids sha1('{cik}__{accession}__{i}') and the
+    chunk metadata. The chunks are cut where the document was parsed."""
+    ok = parsed.where(F.col("section").isNotNull()).select(
         "cik", "company", "form", "filingDate", "accessionNumber", "url", "primary", "section",
         fiscal_year(F.col("filingDate")).alias("fiscalYear"),
     )
@@ -184,18 +205,14 @@ def history_filings(ciks: DataFrame, flat_subs: DataFrame, names: DataFrame, n:
     Returns (filings, skips) where skips are companies without such a filing
     ('no_10k_recent'). ``ciks`` has (cik, pos); ``limit`` keeps the first
     companies by pos (the reference's ordered limit)."""
-    if n >= 1000:
-        raise ValueError("n must be below 1000")
     if limit is not None:
         ciks = ciks.orderBy("pos").limit(limit)
     top = fo.top_n_filings(flat_subs, n=n)
-    has = ciks.join(top.select("cik").distinct(), "cik", "left_semi")
-    none = ciks.join(top.select("cik").distinct(), "cik", "left_anti").select(
-        "cik", F.lit(REASON_NO_FILINGS).alias("reason")
-    )
+    found = ciks.select("cik", F.col("pos").alias("cik_pos")).join(top, "cik", "left")
+    none = found.where(F.col("rank").isNull()).select("cik", F.lit(REASON_NO_FILINGS).alias("reason"))
     named = names.select("cik", company_or_default(F.col("name"), F.col("cik")).alias("company"))
-    filings = has.select("cik", F.col("pos").alias("cik_pos")).join(top, "cik").join(named, "cik", "left").select(
+    filings = found.where(F.col("rank").isNotNull()).join(named, "cik", "left").select(
         "cik", "company", "form", "accessionNumber", "primaryDocument", "filingDate",
-        (F.col("cik_pos") * F.lit(1000) + F.col("rank")).alias("input_pos"),
+        F.struct("cik_pos", "rank").alias("input_pos"),
     )
     return filings, none

@@ -47,6 +47,19 @@ def q_upload_corpus(spark, d):
     return sf.upload_corpus(ch.select("conv_id", F.col("chunk_ix").cast("long"), "chunk"))
 
 
+@register(
+    "clear_upload",
+    f"""SELECT conv_id, chunk_ix, 'main' AS corpus FROM ({sql_fixed_chunks(
+        f"(SELECT * FROM {ASSEMBLED_SQL} WHERE {sql_strip('text')} <> '')", 'conv_id', 'text',
+        RAG.upload_chunk_size, RAG.upload_chunk_overlap)})""",
+)
+def q_clear_upload(spark, d):
+    """K5: a main and an upload corpus side by side; the upload is cleared."""
+    up = q_upload_corpus(spark, d)
+    both = up.withColumn("corpus", F.lit("main")).unionByName(up)
+    return sf.clear_upload(both).select("conv_id", "chunk_ix", "corpus")
+
+
 @register("chunk_recursive")
 def q_chunk_recursive(spark, d):
     """F12 (recursive contract) over every document, with offsets."""

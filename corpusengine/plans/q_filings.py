@@ -27,23 +27,23 @@ def index_rows(spark, d):
 
 @register(
     "master_index_parse",
-    f"SELECT file_date, line_no, cik, company, form, date_filed, filename FROM {IDX_ROWS_SQL}",
+    f"SELECT file_date, file_part, line_no, cik, company, form, date_filed, filename FROM {IDX_ROWS_SQL}",
 )
 def q_master_index_parse(spark, d):
     return index_rows(spark, d).select(
-        "file_date", "line_no", "cik", "company", "form", "date_filed", "filename"
+        "file_date", "file_part", "line_no", "cik", "company", "form", "date_filed", "filename"
     )
 
 
 @register(
     "form_filter",
-    f"""SELECT file_date, line_no, cik, form, form IN {_in(HISTORICAL_FORMS)} AS historical
+    f"""SELECT file_date, file_part, line_no, cik, form, form IN {_in(HISTORICAL_FORMS)} AS historical
         FROM {IDX_ROWS_SQL} WHERE form IN {_in(DAILY_FORMS)}""",
 )
 def q_form_filter(spark, d):
     rows = fo.filter_forms(index_rows(spark, d), DAILY_FORMS)
     return rows.select(
-        "file_date", "line_no", "cik", "form",
+        "file_date", "file_part", "line_no", "cik", "form",
         F.col("form").isin(list(HISTORICAL_FORMS)).alias("historical"),
     )
 
@@ -109,15 +109,15 @@ DAILY_MATCH_SQL = f"""
 
 @register(
     "daily_match_first",
-    f"""SELECT file_date, line_no, cik, form, date_filed, accessionNumber, primaryDocument, reason
+    f"""SELECT file_date, file_part, line_no, cik, form, date_filed, accessionNumber, primaryDocument, reason
         FROM ({DAILY_MATCH_SQL})""",
 )
 def q_daily_match_first(spark, d):
     idx = fo.filter_forms(index_rows(spark, d), DAILY_FORMS)
-    matched = fo.match_first_submission(idx, flat_submissions(spark, d), row_key=FILE_ROW_KEY)
-    prepared = fo.prepare_daily(matched, fo.seen_accessions(urgent_manifest(spark, d)))
+    matched = fo.match_first_submission(idx, flat_submissions(spark, d))
+    prepared = fo.prepare_daily(matched, fo.seen_accessions(urgent_manifest(spark, d)), row_key=FILE_ROW_KEY)
     return prepared.select(
-        "file_date", "line_no", "cik", "form", "date_filed", "accessionNumber", "primaryDocument", "reason"
+        "file_date", "file_part", "line_no", "cik", "form", "date_filed", "accessionNumber", "primaryDocument", "reason"
     )
 
 

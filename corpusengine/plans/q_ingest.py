@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import HISTORICAL_FORMS
+from ..session import materialize
 from ..sources.tables import read_table
 from . import derived as dv
 from . import ingest as ing
@@ -40,12 +41,14 @@ def doc_batch(spark, d):
     return filings, fl.select("accessionNumber", "html")
 
 
-def doc_status(spark, d, keep_section=False, chunker="fixed"):
+def doc_ingest(spark, d, chunker="fixed"):
     filings, raw = doc_batch(spark, d)
-    return ing.ingest_filings(
-        filings, raw, labels_manifest(spark, d), CFG, companies=submission_names(spark, d),
-        keep_section=keep_section, chunker=chunker,
-    )
+    return ing.ingest_batch(
+        filings, raw, labels_manifest(spark, d), CFG, companies=submission_names(spark, d), chunker=chunker)
+
+
+def doc_status(spark, d, chunker="fixed"):
+    return doc_ingest(spark, d, chunker).status
 
 
 def _doc_status_sql() -> str:
@@ -135,7 +138,7 @@ def q_ingest_skips(spark, d):
 )
 def q_manifest_rows(spark, d):
     """K2: manifest fields of every record."""
-    return ing.manifest_rows(doc_status(spark, d), CFG)
+    return ing.manifest_rows(doc_status(spark, d), CFG.embedding_model)
 
 
 @register(
@@ -150,7 +153,7 @@ def q_manifest_rows(spark, d):
 def q_corpus_chunks(spark, d):
     """Chunk rows of the successful filings with sha1('{cik}__{acc}__{i}')
     ids and chunk metadata (fixed windows)."""
-    ch = ing.corpus_chunks(doc_status(spark, d, keep_section=True), CFG, chunker="fixed")
+    ch = ing.corpus_chunks(doc_ingest(spark, d).parsed, CFG, chunker="fixed")
     return ch.select("cik", "accessionNumber", F.col("chunk_ix").cast("long"), "chunk_id", "chunk", "fiscalYear")
 
 
@@ -172,6 +175,7 @@ def history_status(spark, d, limit=None):
     filings, none = ing.history_filings(
         ciks, flat_submissions(spark, d), submission_names(spark, d), n=CFG.top_n_per_cik, limit=limit
     )
+    filings = materialize(filings, "filings")  # used for the fetch list and the status
     st = ing.ingest_filings(filings, order_html(spark, d), urgent_manifest(spark, d), CFG)
     return st.select("cik", "accessionNumber", "reason", "chunks").unionByName(
         none.select("cik", F.lit(None).cast("string").alias("accessionNumber"), "reason",
@@ -179,13 +183,15 @@ def history_status(spark, d, limit=None):
     )
 
 
-def _history_sql() -> str:
+def _history_sql(limit: int | None = None) -> str:
+    some = f"(SELECT * FROM customer ORDER BY c_custkey LIMIT {limit})" if limit else "customer"
     forms = "(" + ", ".join(f"'{f}'" for f in HISTORICAL_FORMS) + ")"
     html = dv.sql_filing_html("doc.doc_id", "doc.text")
     return f"""
     WITH top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filingDate DESC, pos) AS rank
-                               FROM {SUB_FLAT_SQL} WHERE form IN {forms}) WHERE rank <= {CFG.top_n_per_cik}),
-    none AS (SELECT CAST(c_custkey AS VARCHAR) AS cik FROM customer
+                               FROM {SUB_FLAT_SQL} WHERE form IN {forms}) WHERE rank <= {CFG.top_n_per_cik}
+                               AND cik IN (SELECT CAST(c_custkey AS VARCHAR) FROM {some})),
+    none AS (SELECT CAST(c_custkey AS VARCHAR) AS cik FROM {some}
              WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT cik FROM top)),
     raw AS (SELECT printf('%010d-%02d-%06d', o_custkey, year(o_orderdate) % 100, o_orderkey) AS accessionNumber,
                    {html} AS html
@@ -214,36 +220,40 @@ def q_ingest_history(spark, d):
     return history_status(spark, d)
 
 
-# --- daily incremental path over every derived index day (T1, J1, J2, W3, W4) ---
+@register("history_limit", _history_sql(25))
+def q_history_limit(spark, d):
+    """The historical load of the first 25 companies (the limit is the
+    feature)."""
+    return history_status(spark, d, limit=25)
 
-def _input_pos(file_date, file_part, line_no):
-    day = F.regexp_replace(file_date, "-", "").cast("long")
-    return (day * F.lit(1000) + file_part) * F.lit(1_000_000) + line_no
 
+# --- daily incremental path over every derived index day (T1, J1, J2, W3, W4) ---
 
 def daily_status(spark, d):
     from ..config import DAILY_FORMS
     from ..operators import filings as fo
 
     idx = fo.filter_forms(index_rows(spark, d), DAILY_FORMS)
-    prepared = fo.prepare_daily(
-        fo.match_first_submission(idx, flat_submissions(spark, d), row_key=FILE_ROW_KEY),
-        fo.seen_accessions(urgent_manifest(spark, d)),
-    ).withColumn("input_pos", _input_pos(F.col("file_date"), F.col("file_part"), F.col("line_no")))
+    matched = fo.match_first_submission(idx, flat_submissions(spark, d))
+    prepared = fo.prepare_daily(matched, fo.seen_accessions(urgent_manifest(spark, d)), row_key=FILE_ROW_KEY)
+    # Written once: matching feeds the fetch list, the status and the skips.
+    prepared = materialize(prepared.withColumn("input_pos", F.struct(*FILE_ROW_KEY)), "prepared")
     provided = prepared.where(F.col("status") == "provided").select(
         "input_pos", "cik", "accessionNumber", "primaryDocument", F.col("date_filed").alias("filingDate"),
         "form", "company",
     )
-    st = ing.ingest_filings(provided, order_html(spark, d), urgent_manifest(spark, d), CFG)
+    # The seen filings are skips already.
+    st = ing.ingest_filings(provided, order_html(spark, d), provided.select("accessionNumber").limit(0), CFG)
     missed = prepared.where(F.col("status") == "skip").select(
         "input_pos", "cik", "accessionNumber", "reason", F.lit(None).cast("long").alias("chunks")
     )
-    return st.select("input_pos", "cik", "accessionNumber", "reason", "chunks").unionByName(missed)
+    both = st.select("input_pos", "cik", "accessionNumber", "reason", "chunks").unionByName(missed)
+    return both.select("input_pos.*", "cik", "accessionNumber", "reason", "chunks")
 
 
 def _daily_sql() -> str:
     html = dv.sql_filing_html("doc.doc_id", "doc.text")
-    pos = "(CAST(replace(file_date, '-', '') AS BIGINT) * 1000 + file_part) * 1000000 + line_no"
+    pos = "{'d': file_date, 'p': file_part, 'l': line_no}"
     return f"""
     WITH dm AS ({DAILY_MATCH_SQL}),
     prov AS (SELECT *, {pos} AS input_pos FROM dm WHERE reason IS NULL),
@@ -259,14 +269,14 @@ def _daily_sql() -> str:
                       WHEN s.section IS NULL THEN todo.accessionNumber || ':no_item_1a' END AS r,
                  {sql_fixed_count('length(s.section)', CFG.chunk_size, CFG.chunk_overlap)} AS n
           FROM todo LEFT JOIN s USING (accessionNumber)),
-    st AS (SELECT p.input_pos, p.cik, p.accessionNumber,
+    st AS (SELECT p.file_date, p.file_part, p.line_no, p.cik, p.accessionNumber,
                   CASE WHEN p.input_pos = f.first_pos THEN o.r
                        WHEN o.r IS NULL THEN 'already_ingested:' || p.accessionNumber ELSE o.r END AS reason,
                   o.n
            FROM prov p JOIN firsts f USING (accessionNumber) JOIN o USING (accessionNumber))
-    SELECT input_pos, cik, accessionNumber, reason, CASE WHEN reason IS NULL THEN n END AS chunks FROM st
+    SELECT file_date, file_part, line_no, cik, accessionNumber, reason, CASE WHEN reason IS NULL THEN n END AS chunks FROM st
     UNION ALL
-    SELECT {pos}, cik, accessionNumber, reason, NULL FROM dm WHERE reason IS NOT NULL
+    SELECT file_date, file_part, line_no, cik, accessionNumber, reason, NULL FROM dm WHERE reason IS NOT NULL
     """
 
 
@@ -274,3 +284,58 @@ def _daily_sql() -> str:
 def q_daily_ingest(spark, d):
     """T1 over every index day: match, seen check, ingest, first occurrence."""
     return daily_status(spark, d)
+
+
+# --- several landed documents per filing, a directory listing and bad rows ----
+
+LISTED = (("exhibit.htm", "x"), ("big-annual-10-k-report.htm", "x"), ("a10k.htm", "m"), ("r2.xml", "x"))
+
+
+def multi_document_batch(spark, d):
+    """One filing per document: four landed files, of which the listing picks
+    a10k.htm (the shortest 10-K page); every 17th has no accession, every 19th a
+    bad date; every 23rd filing comes twice."""
+    docs = read_table(spark, d, "documents", "doc_id", "text")
+    meta = dv.doc_filing_meta(F.col("doc_id"))
+    base = docs.select("doc_id", "text", *[v.alias(k) for k, v in meta.items()])
+    k = F.col("doc_id")
+    filings = base.select(
+        F.struct(k.alias("n"), F.lit(0).alias("copy")).alias("input_pos"), "cik", "form", "company",
+        F.when(k % 17 == 0, F.lit(None).cast("string")).otherwise(F.col("accessionNumber")).alias("accessionNumber"),
+        F.when(k % 19 == 0, F.lit("soon")).otherwise(F.col("filingDate")).alias("filingDate"), "primaryDocument")
+    again = filings.where(F.col("input_pos.n") % 23 == 0).withColumn(
+        "input_pos", F.struct(F.col("input_pos.n").alias("n"), F.lit(1).alias("copy")))
+    listing = base.select("accessionNumber", F.posexplode(F.array(*[F.lit(n) for n, _ in LISTED])).alias("pos", "name"))
+    main = dv.filing_html(k, F.col("text"))
+    landed = base.select("accessionNumber", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("primary"), (main if kind == "m" else F.lit("<p>Exhibit</p>")).alias("html"))
+        for n, kind in LISTED])).alias("f")).select("accessionNumber", "f.*")
+    return filings.unionByName(again), landed, listing
+
+
+def _multi_sql() -> str:
+    m = dv.sql_doc_filing_meta("doc_id")
+    url = _url_sql("cik", "accessionNumber", "'a10k.htm'")
+    return f"""
+    WITH base AS (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in m.items())},
+                         {dv.sql_filing_html('doc_id', 'text')} AS html FROM documents),
+    s AS {sql_section_select(f"(SELECT doc_id, {sql_html_to_text('html')} AS t FROM base)", 'doc_id', 't', CFG.min_item1a_chars)},
+    f AS (SELECT doc_id, unnest(CASE WHEN doc_id % 23 = 0 THEN [0, 1] ELSE [0] END) AS copy FROM documents),
+    j AS (SELECT base.*, f.copy, s.section,
+                 CASE WHEN base.doc_id % 17 = 0 THEN '{ing.MISSING_ACCESSION}'
+                      WHEN base.doc_id % 19 = 0 THEN '{ing.BAD_DATE}'
+                      WHEN s.section IS NULL THEN base.accessionNumber || ':no_item_1a'
+                      WHEN f.copy = 1 THEN 'already_ingested:' || base.accessionNumber END AS reason
+          FROM base JOIN f USING (doc_id) LEFT JOIN s USING (doc_id))
+    SELECT doc_id AS n, copy, cik, reason,
+           CASE WHEN reason LIKE 'error:%' THEN NULL ELSE 'a10k.htm' END AS "primary",
+           CASE WHEN reason LIKE 'error:%' THEN NULL ELSE {url} END AS url,
+           CASE WHEN reason IS NULL THEN {sql_fixed_count('length(section)', CFG.chunk_size, CFG.chunk_overlap)} END AS chunks
+    FROM j"""
+
+
+@register("ingest_multi_document", _multi_sql())
+def q_ingest_multi_document(spark, d):
+    filings, landed, listing = multi_document_batch(spark, d)
+    st = ing.ingest_filings(filings, landed, labels_manifest(spark, d).limit(0), CFG, listings=listing)
+    return st.select("input_pos.n", "input_pos.copy", "cik", "reason", "primary", "url", "chunks")

@@ -4,12 +4,12 @@ A8, P9, U4)."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..config import MASTER_INDEX_HEADER
 from ..functions.chunking import chunk_fixed, chunk_id
 from ..functions.filings import document_url, parse_filing_date
+from ..functions.text import strip_ws
 from ..operators import filings as fo
 from ..session import scratch_path
 from ..sinks import corpus as sc
@@ -20,7 +20,7 @@ from ..streaming.ingest_stream import chunk_stream
 from . import derived as dv
 from .q_filings import PAGE_ITEMS_SQL, SUB_FLAT_SQL, SUB_NAMES_SQL, page_items, submission_names
 from .registry import CFG, register
-from .sqlfrag import sql_fixed_chunks, sql_parse_date, sql_strip
+from .sqlfrag import sql_fixed_chunks, sql_master_index_rows, sql_parse_date, sql_strip
 
 # --- artifacts (K1, F21, S9, F13, F14) ----------------------------------------
 
@@ -161,6 +161,69 @@ def q_upsert_replace(spark, d):
     return sc.upsert(old, new, key="chunk_id", order_col="version", replace_by=["doc_id"])
 
 
+@register("upsert_roundtrip", _upsert_sql(True))
+def q_upsert_roundtrip(spark, d):
+    """Both batches committed to a stored corpus (the second twice,
+    as a replay would), compacted, and read back as the current view."""
+    old, new = _chunk_versions(spark, d)
+    store = scratch_path(spark, "upsert")
+    sc.upsert_corpus(old, store)
+    sc.upsert_corpus(new, store)
+    sc.upsert_corpus(new, store)
+    sc.compact(spark, store, replace_by=["doc_id"])
+    return src.open_corpus(spark, store, ["doc_id"])
+
+
+@register(
+    "artifact_roundtrip",
+    f"""SELECT artifact_name, {sql_strip("split_part(artifact_text, '=== ITEM 1A. RISK FACTORS ===', 2)")} AS body
+        FROM {_artifact_sql()}""",
+)
+def q_artifact_roundtrip(spark, d):
+    """K1: artifacts written twice (a repeated run) and read back once each."""
+    path = scratch_path(spark, "artifacts")
+    rows = doc_artifacts(spark, d)
+    sf.write_artifacts(rows, path)
+    sf.write_artifacts(rows, path)
+    back = spark.read.parquet(path)
+    parts = F.split("artifact_text", "\\Q=== ITEM 1A. RISK FACTORS ===\\E", 2)
+    return back.select("artifact_name", strip_ws(F.get(parts, 1)).alias("body"))
+
+
+@register(
+    "manifest_roundtrip",
+    f"""SELECT DISTINCT {dv.sql_doc_filing_meta('doc_id')['accessionNumber']} AS accessionNumber FROM documents""",
+)
+def q_manifest_roundtrip(spark, d):
+    """Manifest lines appended twice are held once; read as the seen set."""
+    path = scratch_path(spark, "manifest")
+    docs = read_table(spark, d, "documents", "doc_id")
+    rows = docs.select(*[v.alias(k) for k, v in dv.doc_filing_meta(F.col("doc_id")).items()])
+    sf.append_manifest(rows, path)
+    sf.append_manifest(rows, path)
+    lines = spark.read.text(path)
+    acc = src.parse_manifest_line(F.col("value"))["accessionNumber"]
+    once = lines.groupBy(acc.alias("accessionNumber")).agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+    return src.read_seen_accessions(spark, path).join(once, "accessionNumber").select("accessionNumber")
+
+
+@register(
+    "daily_index_files",
+    f"""SELECT file_date, line_no, cik, company, form, date_filed, filename
+        FROM {sql_master_index_rows(dv.sql_index_files(), MASTER_INDEX_HEADER)}
+        WHERE form IN ('10-K', '10-K/A', '10-Q', '10-Q/A')
+          AND file_date = (SELECT strftime(max(o_orderdate), '%Y-%m-%d') FROM orders)""",
+)
+def q_daily_index_files(spark, d):
+    """The index file of the last order date, landed under its name and read
+    by date (one date is the feature)."""
+    last = read_table(spark, d, "orders", "o_orderdate").agg(F.max("o_orderdate").cast("date").alias("d")).first().d
+    base = scratch_path(spark, "daily-index")
+    day = dv.index_files(spark, d).where(F.col("file_date") == last.isoformat())
+    day.select("text").write.text(src.daily_index_path(base, last))
+    return src.read_daily_index(spark, base, last)
+
+
 # --- JSON sources (S1, S2/S3, S4) ----------------------------------------------
 
 @register("company_list_json", "SELECT CAST(c_custkey AS VARCHAR) AS cik FROM customer")
@@ -238,15 +301,35 @@ def q_filing_index_json(spark, d):
            AS chunk_id FROM ({sql_fixed_chunks('documents', 'doc_id, source', 'text', CFG.chunk_size, CFG.chunk_overlap)})""",
 )
 def q_stream_ingest(spark, d):
-    """Documents landed as several files, chunked by an availableNow stream
-    into a Parquet sink; the sink equals the batch result."""
-    run = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    """Landed documents chunked by an availableNow stream into a Parquet sink;
+    the sink equals the batch result."""
+    run = scratch_path(spark, "stream")
     docs = read_table(spark, d, "documents", "doc_id", "source", "text")
-    docs.repartition(4, "doc_id").write.parquet(f"{run}/landing")
+    docs.write.parquet(f"{run}/landing")
     out = chunk_stream(
-        spark, f"{run}/landing", docs.schema, f"{run}/sink", f"{run}/checkpoint",
-        key_cols=("doc_id", "source"), max_files_per_trigger=1,
-    )
+        spark, f"{run}/landing", docs.schema, f"{run}/sink", f"{run}/checkpoint", key_cols=("doc_id", "source"))
+    return out.select("doc_id", F.col("chunk_ix").cast("long"), "chunk_id")
+
+
+@register(
+    "stream_late_seen",
+    f"""SELECT doc_id, chunk_ix, sha1(CAST(doc_id AS VARCHAR) || '__' || CAST(chunk_ix AS VARCHAR)) AS chunk_id
+        FROM ({sql_fixed_chunks('(SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))', 'doc_id',
+                                'text', CFG.chunk_size, CFG.chunk_overlap)})""",
+)
+def q_stream_late_seen(spark, d):
+    """Documents of the label table are seen already; other languages
+    land late, after a first run, and a third run finds nothing new."""
+    run = scratch_path(spark, "stream")
+    docs = read_table(spark, d, "documents", "doc_id", "text", "lang")
+    seen = read_table(spark, d, "labels", "doc_id")
+    late = F.coalesce(F.col("lang") != "en", F.lit(True))
+    for part in (docs.where(~late), docs.where(late), None):
+        if part is not None:
+            part.select("doc_id", "text").write.mode("append").parquet(f"{run}/landing")
+        out = chunk_stream(spark, f"{run}/landing", "doc_id bigint, text string", f"{run}/sink", f"{run}/checkpoint",
+                           key_cols=("doc_id",), seen=seen.select(F.col("doc_id").alias("accessionNumber")),
+                           seen_col="doc_id")
     return out.select("doc_id", F.col("chunk_ix").cast("long"), "chunk_id")
 
 

@@ -12,12 +12,17 @@ def sql_strip(x: str) -> str:
     return f"trim({x}, {WS_CHARS_SQL})"
 
 
+def sql_without_marks(x: str) -> str:
+    return f"replace(replace(replace({x}, chr(1), ''), chr(2), ''), chr(3), '')"
+
+
 def sql_html_to_text(x: str) -> str:
+    quoted = "[a-zA-Z/!?](?:[^''\">]|\"[^\"]*\"|''[^'']*'')*>"
     drop = (
         "(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>"
-        "|<noscript\\b[^>]*>.*?</noscript\\s*>|<[a-zA-Z/!?][^>]*>"
+        f"|<noscript\\b[^>]*>.*?</noscript\\s*>|<{quoted}|<[a-zA-Z/!?][^>]*>"
     )
-    t = f"regexp_replace({x}, '{drop}', chr(1), 'g')"
+    t = f"regexp_replace({sql_without_marks(x)}, '{drop}', chr(1), 'g')"
     t = f"regexp_replace({t}, chr(1) || '+', chr(10), 'g')"
     t = sql_decode_entities(t)
     t = f"replace({t}, chr(160), ' ')"
@@ -36,14 +41,20 @@ def sql_decode_entities(t: str) -> str:
     bound once with a one-element list_transform."""
     from ..functions.text import ENTITY_RE, entity_table
 
-    cases = " ".join(
-        f"WHEN e = '{ref}' THEN " + " || ".join(f"chr({ord(c)})" for c in ch) for ref, ch in entity_table().items()
-    )
-    dec = sql_code_point_char("CAST(substr(e, 3, length(e) - 3) AS BIGINT)")
-    hx = sql_code_point_char("CAST('0x' || substr(e, 4, length(e) - 4) AS BIGINT)")
-    decode = (f"lambda e: CASE {cases} "
-              f"WHEN regexp_full_match(e, '&#[0-9]+;') THEN {dec} "
-              f"WHEN regexp_full_match(e, '&#[xX][0-9A-Fa-f]+;') THEN {hx} ELSE e END")
+    table = entity_table()
+    names = "[" + ", ".join(f"'{n}'" for n in table) + "]"
+    chars = "[" + ", ".join(" || ".join(f"chr({ord(c)})" for c in v) for v in table.values()) + "]"
+
+    def number(digits: str, most: int, hexa: bool) -> str:
+        short = f"ltrim({digits}, '0')"
+        value = f"CAST('0x' || {short} AS BIGINT)" if hexa else f"CAST({short} AS BIGINT)"
+        return f"(CASE WHEN length({short}) > {most} THEN -1 WHEN {short} = '' THEN 0 ELSE {value} END)"
+
+    dec = sql_code_point_char(number("substr(e, 3, length(e) - 3)", 7, False))
+    hx = sql_code_point_char(number("substr(e, 4, length(e) - 4)", 6, True))
+    decode = (f"lambda e: CASE WHEN regexp_full_match(e, '&#[0-9]+;') THEN {dec} "
+              f"WHEN regexp_full_match(e, '&#[xX][0-9A-Fa-f]+;') THEN {hx} "
+              f"ELSE COALESCE({chars}[list_position({names}, e)], e) END")
     refs = f"list_transform(regexp_extract_all(x, '{ENTITY_RE}'), {decode})"
     zipped = f"list_zip(regexp_split_to_array(x, '{ENTITY_RE}'), {refs})"
     decoded = f"array_to_string(list_transform({zipped}, lambda z: z[1] || COALESCE(z[2], '')), '')"
@@ -81,7 +92,7 @@ PAGE_RE2 = rf"^{WS_CLASS}*\p{{Nd}}{{1,3}}{WS_CLASS}*$"
 def sql_section_select(src: str, keys: str, text: str, min_chars: int = 800) -> str:
     """Subquery: keys + section (best Item 1A section or NULL)."""
     marked = (
-        f"regexp_replace(regexp_replace(replace({text}, chr(160), ' '), '{START_RE2}', chr(2) || '\\0', 'g'), "
+        f"regexp_replace(regexp_replace(replace({sql_without_marks(text)}, chr(160), ' '), '{START_RE2}', chr(2) || '\\0', 'g'), "
         f"'{END_RE2}', chr(3) || '\\0', 'g')"
     )
     cands = (

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job of the engine wants; a cluster launcher may override them.
 DEFAULT_CONF = {
@@ -57,10 +58,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     session (tests) without the setting gets a private scratch folder.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext.getCheckpointDir()
     if conf_dir:
-        spark.sparkContext.setCheckpointDir(conf_dir)
+        if not current:  # set once: every call would make a folder of its own
+            spark.sparkContext.setCheckpointDir(conf_dir)
         return conf_dir
-    current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     if not spark.sparkContext.master.startswith("local"):
@@ -74,6 +76,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for materialised tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, name)
+    """A new path under the shared checkpoint folder for materialised tables."""
+    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below the shared checkpoint folder and read back:
+    computed once, and safe when executors are lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,10 +1,16 @@
 """Corpus table writes: idempotent upsert by id.
 
-Plain Parquet has no MERGE, so an upsert computes the new table as a
-DataFrame (existing rows whose key is not re-sent, plus the de-duplicated
-incoming rows) and writes it to a new version folder; a small pointer file
-then names the current version. A path that is being read is never
-overwritten, and re-running the same batch gives the same table.
+Plain Parquet has no MERGE. A stored corpus is a list of committed deltas:
+
+    corpus/delta-000000/<partition>=<value>/part-...   one folder per batch
+    corpus/_commits/<n>/                                one marker per batch
+
+An upsert writes only its own rows and then commits them, so a day costs a day,
+not the year it falls into. Readers take the committed deltas since the last
+base and keep, per replace key, the rows of the latest delta that has it.
+``compact`` writes that view as a new base. Nothing that is being read is ever
+overwritten or deleted, an uncommitted folder is never read, and a batch that
+is sent again gives the same view.
 """
 
 from __future__ import annotations
@@ -15,7 +21,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POINTER = "_current"
+COMMITS = "_commits"
+DELTA = "_delta"
+# Rows of one file (the batch size of A11 only counts batches).
+ROWS_PER_FILE = 1_000_000
 
 
 def dedupe_last(incoming: DataFrame, key: str, order_col: str) -> DataFrame:
@@ -46,7 +55,7 @@ def upsert(
         kept = existing.join(keys, replace_by, "left_anti")
     else:
         kept = existing.join(new.select(key), key, "left_anti")
-    return kept.unionByName(new.select(*existing.columns))
+    return kept.unionByName(new, allowMissingColumns=True)
 
 
 def batch_count(n_rows: int, batch_size: int) -> int:
@@ -54,81 +63,85 @@ def batch_count(n_rows: int, batch_size: int) -> int:
     return 0 if n_rows == 0 else math.ceil(n_rows / batch_size)
 
 
-def current_version_path(spark: SparkSession, corpus_dir: str) -> str | None:
-    from pyspark.errors import AnalysisException
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, on whatever store it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _has_data(spark: SparkSession, path: str) -> bool:
+    """Whether a written folder holds data (a partitioned write of no rows
+    leaves only its marker)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return any(not f.getPath().getName().startswith("_") for f in found)
 
-    try:
-        row = spark.read.text(os.path.join(corpus_dir, POINTER)).first()
-    except AnalysisException:
-        return None
-    return None if row is None else os.path.join(corpus_dir, row[0].strip())
 
+def _commits(spark: SparkSession, corpus_dir: str) -> list[tuple[int, str]]:
+    """(number, kind) of every commit, ascending; kinds: delta, base, empty."""
+    base = os.path.join(corpus_dir, COMMITS)
+    if not path_exists(spark, base):
+        return []
+    rows = spark.read.text(os.path.join(base, "*")).collect()  # one short line per commit since ever
+    return sorted((int(n), kind) for n, kind in (r[0].split(" ") for r in rows))
 
-def write_version(df: DataFrame, corpus_dir: str, batch_size: int = 10_000,
-                  partition_by: list[str] | None = None) -> str:
-    """Write ``df`` as the next version of the corpus and move the pointer.
 
-    ``batch_size`` caps rows per file (the reference's upsert batch)."""
+def _write_delta(df: DataFrame, corpus_dir: str, partition_by: list[str] | None, base: bool) -> int:
+    """Write ``df`` as the next delta and commit it. A number is taken by its
+    folder, so a writer that died leaves a gap, never a mix."""
     spark = df.sparkSession
-    cur = current_version_path(spark, corpus_dir)
-    n = 0 if cur is None else int(os.path.basename(cur).split("-")[1]) + 1
-    name = f"version-{n}"  # not 'k=v', so it is never read as a partition column
-    path = os.path.join(corpus_dir, name)
-    w = df.write.mode("errorifexists").option("maxRecordsPerFile", batch_size)
+    done = _commits(spark, corpus_dir)
+    n = done[-1][0] + 1 if done else 0
+    while path_exists(spark, os.path.join(corpus_dir, f"delta-{n:06d}")):
+        n += 1
+    w = df.write.mode("errorifexists").option("maxRecordsPerFile", ROWS_PER_FILE)
     if partition_by:
         w = w.partitionBy(*partition_by)
+    path = os.path.join(corpus_dir, f"delta-{n:06d}")
     w.parquet(path)
-    spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(
-        os.path.join(corpus_dir, POINTER)
-    )
-    return path
+    kind = ("base" if base else "delta") if _has_data(spark, path) else "empty"
+    line = spark.createDataFrame([(f"{n} {kind}",)], "value string").coalesce(1)
+    line.write.mode("errorifexists").text(os.path.join(corpus_dir, COMMITS, f"{n:06d}"))
+    return n
 
 
 def upsert_corpus(incoming: DataFrame, corpus_dir: str, key: str = "chunk_id", order_col: str = "version",
-                  replace_by: list[str] | None = None, batch_size: int = 10_000) -> str:
-    """Read the current version (if any), upsert, write the next version."""
-    spark = incoming.sparkSession
-    cur = current_version_path(spark, corpus_dir)
-    if cur is None:
-        table = dedupe_last(incoming, key, order_col).select(*incoming.columns)
-    else:
-        table = upsert(spark.read.parquet(cur), incoming, key, order_col, replace_by)
-    return write_version(table, corpus_dir, batch_size)
-
-
-# ---------------------------------------------------------------------------
-# Partitioned corpus: one versioned folder per partition value (e.g. filing
-# year), so an upsert rewrites only the partitions its batch touches.
-# ---------------------------------------------------------------------------
-
-def upsert_partitioned(incoming: DataFrame, base_dir: str, part_col: str, key: str = "chunk_id",
-                       order_col: str = "version", replace_by: list[str] | None = None,
-                       batch_size: int = 10_000) -> list[str]:
-    """Upsert ``incoming`` partition by partition under ``base_dir``.
-
-    The touched partition values are collected (a bounded set such as years);
-    each one is an independent versioned corpus, so untouched partitions are
-    neither read nor rewritten."""
-    values = [r[0] for r in incoming.select(part_col).distinct().collect()]
-    written = []
-    for v in sorted(values, key=lambda x: (x is None, x)):
-        part = incoming.where(F.col(part_col).isNull() if v is None else F.col(part_col) == v)
-        written.append(upsert_corpus(part, os.path.join(base_dir, f"{part_col}={v}"), key, order_col,
-                                     replace_by, batch_size))
-    return written
-
-
-def open_partitioned(spark: SparkSession, base_dir: str, part_col: str) -> DataFrame:
-    """Union of the current version of every partition (the pointer files are
-    read with Spark, so this works on any shared file system)."""
-    ptrs = spark.read.text(os.path.join(base_dir, f"{part_col}=*", POINTER)).select(
-        F.col("_metadata.file_path").alias("p"), F.col("value").alias("v")
-    ).collect()
-    # <base>/<part>=<v>/_current/part-*.txt -> <base>/<part>=<v>/<version>
-    paths = sorted({r.p.rsplit("/", 2)[0] + "/" + r.v.strip() for r in ptrs})
-    if not paths:
+                  partition_by: list[str] | None = None) -> int:
+    """Commit the last-wins rows of ``incoming`` as the next delta (planned and
+    run once); returns its number."""
+    return _write_delta(dedupe_last(incoming, key, order_col).select(*incoming.columns), corpus_dir, partition_by, False)
+
+
+def read_corpus(spark: SparkSession, corpus_dir: str, replace_by: list[str] | None = None, key: str = "chunk_id",
+                where=None) -> DataFrame | None:
+    """Current view of a stored corpus, or None if nothing was committed.
+
+    ``replace_by`` (default: the key): the columns whose latest delta counts; a
+    re-sent filing with fewer chunks leaves no stale tail. ``where`` restricts
+    both sides to partitions before the view is made."""
+    done = _commits(spark, corpus_dir)
+    if not done:
+        return None
+    bases = [n for n, kind in done if kind == "base"]
+    live = [n for n, kind in done if kind != "empty" and (not bases or n >= bases[-1])]
+    if not live:
         return None
-    out = spark.read.parquet(paths[0])
-    for p in paths[1:]:
-        out = out.unionByName(spark.read.parquet(p), allowMissingColumns=True)
-    return out
+    keys = replace_by or [key]
+    rows = None
+    for n in live:
+        part = spark.read.parquet(os.path.join(corpus_dir, f"delta-{n:06d}")).withColumn(DELTA, F.lit(n))
+        part = part if where is None else part.where(where)
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    if len(live) == 1:
+        return rows.drop(DELTA)
+    latest = rows.groupBy(*keys).agg(F.max(DELTA).alias(DELTA))
+    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"l.{k}")) for k in (*keys, DELTA)]
+    joined = rows.alias("r").join(latest.alias("l"), on, "left_semi")
+    return joined.drop(DELTA)
+
+
+def compact(spark: SparkSession, corpus_dir: str, replace_by: list[str] | None = None, key: str = "chunk_id",
+            partition_by: list[str] | None = None) -> int | None:
+    """Write the current view as a new base; readers start from it."""
+    view = read_corpus(spark, corpus_dir, replace_by, key)
+    return None if view is None else _write_delta(view, corpus_dir, partition_by, True)

@@ -30,6 +30,7 @@ SUBMISSIONS = T.StructType([
     T.StructField("name", T.StringType()),
     T.StructField("filings", T.StructType([T.StructField("recent", RECENT)])),
 ])
+SUBMISSIONS_ROW = T.StructType([T.StructField("cik", T.StringType()), *SUBMISSIONS.fields])
 FILING_INDEX = T.StructType([
     T.StructField("directory", T.StructType([
         T.StructField("item", T.ArrayType(T.StructType([T.StructField("name", T.StringType())])))
@@ -185,8 +186,8 @@ def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
 
 # --- S10 ---------------------------------------------------------------------
 
-def open_corpus(spark: SparkSession, corpus_dir: str) -> DataFrame:
-    """The current version of a corpus table (see sinks.corpus)."""
-    from ..sinks.corpus import current_version_path
+def open_corpus(spark: SparkSession, corpus_dir: str, replace_by: list[str] | None = None) -> DataFrame | None:
+    """The current view of a corpus table (see sinks.corpus), None if empty."""
+    from ..sinks.corpus import read_corpus
 
-    return spark.read.parquet(current_version_path(spark, corpus_dir))
+    return read_corpus(spark, corpus_dir, replace_by)

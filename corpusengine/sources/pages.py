@@ -18,9 +18,6 @@ def assemble_pages(pages: DataFrame, key: str, order_col: str, text_col: str = "
                    out_col: str = "text") -> DataFrame:
     """One row per ``key``: non-empty page texts in ``order_col`` order,
     joined by a blank line, stripped."""
-    kept = pages.where(F.col(text_col).isNotNull() & (F.col(text_col) != ""))
-    packed = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order_col, text_col))).alias("_p"))
-    keys = pages.select(key).distinct()
-    joined = keys.join(packed, key, "left")
-    body = F.coalesce(F.array_join(F.transform("_p", lambda p: p[text_col]), "\n\n"), F.lit(""))
-    return joined.select(key, strip_ws(body).alias(out_col))
+    page = F.when(F.col(text_col).isNotNull() & (F.col(text_col) != ""), F.struct(order_col, text_col))
+    packed = pages.groupBy(key).agg(F.array_sort(F.collect_list(page)).alias("_p"))  # nulls are not collected
+    return packed.select(key, strip_ws(F.array_join(F.transform("_p", lambda p: p[text_col]), "\n\n")).alias(out_col))

@@ -19,20 +19,22 @@ def table_path(base_dir: str, name: str) -> str:
     return os.path.join(base_dir, f"{name}.parquet")
 
 
+# Largest scan (bytes of files) that is spread; see spread_partitions.
+MAX_SPREAD_BYTES = 256 * 1024 * 1024
+
+
 def spread_partitions(df: DataFrame) -> DataFrame:
-    """Spread an under-split scan over the available cores.
-
-    A Parquet file with one large row group is read by one task; for
-    CPU-heavy rows (regex text work, vector scoring) that task would do all
-    the work. When the scan has fewer splits than the default parallelism,
-    the rows are redistributed round-robin; scans that already have enough
-    splits (any large input) are returned unchanged, with no shuffle.
-    """
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()  # planning only for a plain scan
-    except Exception:  # noqa: BLE001 - e.g. a session without RDD access
+    """Spread a small, under-split scan over the available cores.
+
+    A Parquet file with one row group is read by one task; for CPU-heavy rows
+    (regex text work, vector scoring) that task would do all the work. Only
+    scans of at most ``MAX_SPREAD_BYTES`` are redistributed, so the exchange
+    is bounded whatever the cluster; larger inputs are split by the session's
+    ``spark.sql.files.maxPartitionBytes`` and never shuffled here."""
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > MAX_SPREAD_BYTES:
         return df
+    want = df.sparkSession.sparkContext.defaultParallelism
+    have = df.rdd.getNumPartitions()  # planning only for a plain scan
     return df.repartition(want) if have < want else df
 
 

@@ -76,10 +76,14 @@ def index_stream(
         .load(daily_index_dir)
         .select(
             F.regexp_extract(F.col("_metadata.file_name"), r"master\.([0-9]{8})\.idx", 1).alias("_d"),
+            F.col("_metadata.file_name").alias("_name"),
             F.col("value").alias("text"),
         )
-        .select(F.date_format(F.to_date("_d", "yyyyMMdd"), "yyyy-MM-dd").alias("file_date"), "text")
+        .select(F.date_format(F.try_to_date("_d", "yyyyMMdd"), "yyyy-MM-dd").alias("file_date"), "_name", "text")
     )
+    # A file whose name holds no date keeps its rows, with the name as error.
+    files = files.select("file_date", F.when(F.col("file_date").isNull(), F.concat(F.lit("error:bad index name "), F.col("_name")))
+                         .alias("error"), "text")
     rows = filter_forms(parse_master_index(files), forms or DAILY_FORMS)
     q = (
         rows.writeStream.format("parquet")

@@ -130,7 +130,7 @@ def test_recursive_chunk_counts_match_corpus(spark):
     from corpusengine.plans import q_ingest as qi
     from corpusengine.plans.registry import CFG
 
-    st = qi.doc_status(spark, SF001, keep_section=True, chunker="recursive")
-    counts = {r.accessionNumber: r.chunks for r in ing.records(st).collect()}
-    chunks = ing.corpus_chunks(st, CFG, chunker="recursive").groupBy("accessionNumber").count().collect()
+    batch = qi.doc_ingest(spark, SF001, chunker="recursive")
+    counts = {r.accessionNumber: r.chunks for r in ing.records(batch.status).collect()}
+    chunks = ing.corpus_chunks(batch.parsed, CFG, chunker="recursive").groupBy("accessionNumber").count().collect()
     assert counts and counts == {r.accessionNumber: r["count"] for r in chunks}

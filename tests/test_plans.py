@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from conftest import SF01
 from corpusengine.operators import retrieval as rt
-from corpusengine.operators.joins import sized_broadcast
 from corpusengine.plans import ingest as ing
 from corpusengine.plans import q_filings as qf
 from corpusengine.plans import q_ingest as qi
@@ -33,22 +32,49 @@ def test_knn_scan_reads_only_needed_columns(spark):
 
 
 def test_documents_are_not_broadcast_in_ingest(spark):
-    st = qi.doc_status(spark, SF01)
-    p = plan_of(st)
-    # the fetch list is the broadcast side; the html-bearing scan streams
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200k")  # below the documents, above the key lists
+    try:
+        p = plan_of(qi.doc_status(spark, SF01))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
     for part in p.split("BroadcastExchange")[1:]:
-        head = part.split("\n")[:6]
-        assert not any("html" in ln for ln in head)
+        assert not any("html" in ln for ln in part.split("\n")[:6])
 
 
-def test_sized_broadcast_fallback_same_result(spark):
+def test_shuffle_joins_give_the_same_status(spark):
     filings, raw = qi.doc_batch(spark, SF01)
     seen = qf.labels_manifest(spark, SF01)
-    a = ing.ingest_filings(filings, raw, seen, CFG).select("input_pos", "reason", "chunks")
-    b = ing.ingest_filings(filings, raw, seen, CFG, max_broadcast_rows=0).select("input_pos", "reason", "chunks")
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-    df = spark.range(10)
-    assert sized_broadcast(df, 5)[1] is False and sized_broadcast(df, 10)[1] is True
+    cols = ("input_pos", "reason", "chunks")
+    a = ing.ingest_filings(filings, raw, seen, CFG).select(*cols).collect()
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        b = ing.ingest_filings(filings, raw, seen, CFG).select(*cols).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    assert sorted(map(tuple, a), key=str) == sorted(map(tuple, b), key=str)
+
+
+def test_only_the_chosen_document_counts(spark):
+    html = "<p>Item 1A. Risk Factors</p>" + "<p>risk words here</p>" * 100 + "<p>Item 1B. x</p>"
+    filings = spark.createDataFrame(
+        [(1, "42", "A1", "main.htm", "2024-01-02", "10-K", "Co"), (2, "42", None, "m.htm", "2024-01-02", "10-K", "Co"),
+         (3, "42", "A3", "main.htm", "soon", "10-K", "Co"), (4, "42", "A1", "main.htm", "20240102", None, "Co")],
+        "input_pos int, cik string, accessionNumber string, primaryDocument string, filingDate string, form string, company string")
+    raw = spark.createDataFrame([("A1", "main.htm", html), ("A1", "ex.htm", "<p>Exhibit</p>")],
+                                "accessionNumber string, primary string, html string")
+    none = spark.createDataFrame([], "accessionNumber string")
+    out = {r.input_pos: (r.reason, r.chunks) for r in ing.ingest_filings(filings, raw, none, CFG).collect()}
+    assert out == {1: (None, 2), 2: (ing.MISSING_ACCESSION, None), 3: (ing.BAD_DATE, None), 4: ("already_ingested:A1", None)}
+
+
+def test_small_scans_are_spread_and_large_ones_are_not(spark, monkeypatch):
+    from corpusengine.sources import tables
+
+    assert "Exchange RoundRobin" in plan_of(read_table(spark, SF01, "documents", "doc_id"))
+    monkeypatch.setattr(tables, "MAX_SPREAD_BYTES", 10)
+    assert "Exchange" not in plan_of(read_table(spark, SF01, "documents", "doc_id"))
 
 
 def test_history_ordered_limit(spark):
@@ -79,9 +105,9 @@ def test_hot_key_operators_aggregate_before_shuffle(spark):
 
 
 def test_no_query_plans_a_cross_product(spark):
-    import __spark_entry__ as entry
     from conftest import SF001
+    from corpusengine.plans.catalog import QUERIES
 
-    for name, fn in sorted(entry.queries().items()):
+    for name, fn in sorted(QUERIES.items()):
         p = plan_of(fn(spark, SF001))
         assert "CartesianProduct" not in p and "NestedLoopJoin" not in p, name

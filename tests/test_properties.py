@@ -65,31 +65,29 @@ def test_top_n_matches_stable_sort(spark, rows):
     assert got == want
 
 
-lines = st.lists(
-    st.one_of(
-        st.just("   " + MASTER_INDEX_HEADER),
-        st.just("-----"),
-        st.just(""),
-        st.tuples(*[st.text(alphabet="ab 1", max_size=4)] * 5).map("|".join),
-        st.tuples(*[st.text(alphabet="ab 1", max_size=3)] * 4).map("|".join),
-    ),
-    max_size=15,
-)
+def _word():
+    return st.text(alphabet="ab1", min_size=0, max_size=3)
+
+
+def _padded(fields):
+    """A good line with padded fields, and the row it stands for."""
+    return st.lists(st.sampled_from(["", " ", "  "]), min_size=10, max_size=10).map(
+        lambda pads: ("|".join(pads[2 * i] + f + pads[2 * i + 1] for i, f in enumerate(fields)), tuple(fields)))
+
+
+good_line = st.tuples(*[_word()] * 5).flatmap(_padded)
+bad_line = st.one_of(st.just("-----"), st.just(""), st.lists(_word(), min_size=2, max_size=4).map("|".join),
+                     st.lists(_word(), min_size=6, max_size=7).map("|".join)).map(lambda x: (x, None))
+body = st.lists(st.one_of(good_line, bad_line), max_size=12)
 
 
 @SETTINGS
-@given(lines)
-def test_master_index_matches_line_rules(spark, ls):
-    text = "\n".join(ls)
-    want, started = [], False
-    for ln in text.split("\n"):
-        if not started:
-            started = ln.strip().startswith(MASTER_INDEX_HEADER)
-            continue
-        parts = ln.split("|")
-        if len(parts) == 5:
-            want.append(tuple(p.strip() for p in parts))
-    df = spark.createDataFrame([("f", text)], "file_date string, text string")
+@given(body, body, st.booleans())
+def test_master_index_rows_come_after_the_header(spark, before, after, has_header):
+    """Lines and expected rows are generated together: only good lines behind a
+    header are rows."""
+    lines = [x for x, _ in before] + ["   " + MASTER_INDEX_HEADER] * has_header + [x for x, _ in after]
+    df = spark.createDataFrame([("f", "\n".join(lines))], "file_date string, text string")
     got = [(r.cik, r.company, r.form, r.date_filed, r.filename)
            for r in fo.parse_master_index(df).orderBy("line_no").collect()]
-    assert got == want
+    assert got == ([row for _, row in after if row is not None] if has_header else [])

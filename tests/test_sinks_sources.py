@@ -29,14 +29,26 @@ def test_upsert_merge_replace(spark):
     assert sorted(map(tuple, twice.collect())) == sorted(map(tuple, sc.upsert(old, new).collect()))
 
 
-def test_versioned_corpus(spark, tmp_path):
+def test_new_columns_are_kept(spark):
+    old = _chunks(spark, [("a0", 1, 0, "old", 1)])
+    new = _chunks(spark, [("b0", 2, 0, "new", 2)]).withColumn("embedding", F.array(F.lit(1.0)))
+    out = {r.chunk_id: r.embedding for r in sc.upsert(old, new).collect()}
+    assert out == {"a0": None, "b0": [1.0]}
+
+
+def test_stored_corpus(spark, tmp_path):
     base = str(tmp_path / "corpus")
-    first = _chunks(spark, [("a0", 1, 0, "x", 1), ("a1", 1, 1, "x", 1)])
-    sc.upsert_corpus(first, base, batch_size=1)
-    assert len([f for f in os.listdir(os.path.join(base, "version-0")) if f.endswith(".parquet")]) == 2
-    sc.upsert_corpus(_chunks(spark, [("a1", 1, 1, "y", 2)]), base)
-    cur = src.open_corpus(spark, base)
-    assert {r.chunk_id: r.text for r in cur.collect()} == {"a0": "x", "a1": "y"}
+    assert src.open_corpus(spark, base) is None
+    sc.upsert_corpus(_chunks(spark, [("a0", 1, 0, "x", 1), ("a1", 1, 1, "x", 1), ("b0", 2, 0, "x", 1)]), base)
+    sc.upsert_corpus(_chunks(spark, [("a1", 1, 1, "y", 2)]).withColumn("embedding", F.lit(0.5)), base)
+    assert {r.chunk_id: r.text for r in src.open_corpus(spark, base).collect()} == {"a0": "x", "a1": "y", "b0": "x"}
+    by_doc = src.open_corpus(spark, base, ["doc"])
+    assert {r.chunk_id: r.embedding for r in by_doc.collect()} == {"a1": 0.5, "b0": None}
+    # An uncommitted folder (a writer that died) is never read, nor reused.
+    _chunks(spark, [("z", 9, 0, "z", 9)]).write.parquet(os.path.join(base, "delta-000002"))
+    assert "z" not in {r.chunk_id for r in src.open_corpus(spark, base).collect()}
+    assert sc.compact(spark, base, ["doc"]) == 3
+    assert {r.chunk_id for r in src.open_corpus(spark, base).collect()} == {"a1", "b0"}
     assert sc.batch_count(0, 10) == 0 and sc.batch_count(10001, 10000) == 2
 
 
@@ -150,14 +162,24 @@ def test_index_stream_picks_up_late_days(spark, tmp_path):
         "2024-12-19", "2024-12-20", "2024-12-23"}
 
 
-def test_partitioned_upsert_touches_only_its_partitions(spark, tmp_path):
+def test_bad_index_name_does_not_stop_the_stream(spark, tmp_path):
+    from corpusengine.streaming.ingest_stream import index_stream
+
+    base = tmp_path / "daily-index"
+    base.mkdir()
+    (base / "master.x.idx").write_text("CIK|Company Name|Form Type|Date Filed|Filename\n1|A|10-K|2024-01-02|f\n")
+    (base / "master.20240103.idx").write_text("CIK|Company Name|Form Type|Date Filed|Filename\n2|B|10-K|2024-01-03|f\n")
+    out = index_stream(spark, str(base), str(tmp_path / "rows"), str(tmp_path / "ck")).collect()
+    assert {(r.file_date, r.error) for r in out} == {(None, "error:bad index name master.x.idx"), ("2024-01-03", None)}
+
+
+def test_deltas_write_only_their_rows(spark, tmp_path):
     base = str(tmp_path / "pcorpus")
     rows = "chunk_id string, year int, text string, version long"
     first = spark.createDataFrame([("a", 2021, "x", 1), ("b", 2022, "x", 1), ("c", 2023, "x", 1)], rows)
-    sc.upsert_partitioned(first, base, "year")
-    before_2021 = sorted(os.listdir(os.path.join(base, "year=2021")))
-    sc.upsert_partitioned(spark.createDataFrame([("b", 2022, "y", 2), ("d", 2022, "z", 2)], rows), base, "year")
-    assert sorted(os.listdir(os.path.join(base, "year=2021"))) == before_2021  # untouched
-    cur = sc.open_partitioned(spark, base, "year")
+    sc.upsert_corpus(first, base, partition_by=["year"])
+    sc.upsert_corpus(spark.createDataFrame([("b", 2022, "y", 2), ("d", 2022, "z", 2)], rows), base, partition_by=["year"])
+    assert [f for f in os.listdir(os.path.join(base, "delta-000001")) if f.startswith("year")] == ["year=2022"]
+    cur = sc.read_corpus(spark, base)
     assert {r.chunk_id: r.text for r in cur.collect()} == {"a": "x", "b": "y", "c": "x", "d": "z"}
     assert sorted(cur.columns) == ["chunk_id", "text", "version", "year"]

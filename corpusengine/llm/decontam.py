@@ -76,13 +76,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, min_share
     words = docs.select(*same_row_key(F.col(id_col), F.col(text_col)), words_of(F.col(text_col)).alias("w"))
 
     vocabulary = scratch.write(wins.select(F.explode("win").alias("token")).distinct(), "vocabulary")
-    freq = word_counts(words.select("w"), vocabulary, vocabulary.count() <= MAX_VOCABULARY)
-    places = wins.select("win", F.posexplode("win").alias("off", "token")).join(freq, "token", "left")
-    prefix = places.groupBy("win").agg(F.min(F.struct(
-        F.coalesce("freq", F.lit(0)).alias("freq"), "token", "off")).alias("p"))
-    table = scratch.write(wins.join(prefix, "win").select(
-        F.col("p.token").alias("token"), F.col("p.off").alias("off"), F.size("win").alias("len"), "win", "items"),
-        "prefixes")
+    few = vocabulary.count() <= MAX_VOCABULARY
+    freq = word_counts(words.select("w"), vocabulary, few)
+    places = wins.select("win", "items", F.posexplode("win").alias("off", "token")).join(
+        F.broadcast(freq) if few else freq, "token", "left")
+    prefix = places.groupBy("win").agg(
+        F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "token", "off")).alias("p"), F.first("items").alias("items"))
+    table = scratch.write(prefix.select(
+        F.col("p.token").alias("token"), F.col("p.off").alias("off"), F.size("win").alias("len"), "win", "items"), "prefixes")
     blocks = -(-max(table.count(), 1) // MAX_WINDOWS)
 
     # The empty word stands for the row itself: it carries n_words, and rows

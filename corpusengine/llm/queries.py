@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hmm_lm, packing, quality_kn, quality_rules, secrets, simhash, token_counts, toxicity, url_filter
+from . import decontam, hmm_lm, oracles, packing, quality_kn, quality_rules, secrets, simhash, token_counts, toxicity, url_filter
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,20 +36,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-@register("op10_quality_rules")
+@register("op10_quality_rules", oracles.quality_rules_sql())
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     order = quality_rules.cascade_order(docs, quality_rules.BASE_RULES + quality_rules.METHOD_RULES)
-    return quality_rules.apply_cascade(docs, order=order).drop("text")
+    # Which rule rejects first depends on measured costs; the verdict does not.
+    return quality_rules.apply_cascade(docs, order=order).drop("text", "rejected_by")
 
 
-@register("op2_decontam")
+@register("op2_decontam", oracles.decontam_sql())
 def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents", "doc_id", "text"),
                                   read(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
-@register("op8_secrets")
+@register("op8_secrets", oracles.secrets_sql())
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
@@ -73,7 +74,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     read(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
-@register("op9_url_filter")
+@register("op9_url_filter", oracles.url_filter_sql())
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages", "page_id", "url"))
 

@@ -13,7 +13,7 @@ from ..sinks import files as sf
 from ..sources.pages import assemble_pages
 from ..sources.tables import read_table
 from .registry import RAG, register
-from .sqlfrag import sql_fixed_chunks, sql_strip
+from .sqlfrag import sql_fixed_chunks, sql_recursive_chunks, sql_strip
 
 ASSEMBLED_SQL = f"""(SELECT k.conv_id, {sql_strip("COALESCE(p.body, '')")} AS text
     FROM (SELECT DISTINCT conv_id FROM conversations) k
@@ -60,13 +60,29 @@ def q_clear_upload(spark, d):
     return sf.clear_upload(both).select("conv_id", "chunk_ix", "corpus")
 
 
-@register("chunk_recursive")
+@register(
+    "upload_recursive",
+    f"""SELECT conv_id, chunk_ix, chunk, 'upload' AS corpus FROM {sql_recursive_chunks(
+        f"(SELECT * FROM {ASSEMBLED_SQL} WHERE {sql_strip('text')} <> '')", 'conv_id', 'text',
+        RAG.upload_chunk_size, RAG.upload_chunk_overlap)}""",
+)
+def q_upload_recursive(spark, d):
+    """I5/K4 with the recursive splitter (1000/200)."""
+    docs = assemble_pages(conversations(spark, d), "conv_id", "turn").where(strip_ws(F.col("text")) != "")
+    ch = chunk_recursive(docs, "text", RAG.upload_chunk_size, RAG.upload_chunk_overlap)
+    return sf.upload_corpus(ch.select("conv_id", F.col("chunk_ix").cast("long"), "chunk"))
+
+
+@register(
+    "chunk_recursive",
+    f"""SELECT doc_id, chunk_ix, chunk_start, chunk_end, chunk FROM {sql_recursive_chunks(
+        'documents', 'doc_id', 'text', RAG.upload_chunk_size, RAG.upload_chunk_overlap)}""",
+)
 def q_chunk_recursive(spark, d):
     """F12 (recursive contract) over every document, with offsets."""
     docs = read_table(spark, d, "documents", "doc_id", "text")
     ch = chunk_recursive(docs, "text", RAG.upload_chunk_size, RAG.upload_chunk_overlap, with_offsets=True)
-    return ch.select("doc_id", F.col("chunk_ix").cast("long"), "chunk_start", "chunk_end",
-                     F.length("chunk").cast("long").alias("chunk_len"))
+    return ch.select("doc_id", F.col("chunk_ix").cast("long"), "chunk_start", "chunk_end", "chunk")
 
 
 RAW_ANSWER_SQL = """(CASE WHEN turn % 3 = 0 THEN text

@@ -22,7 +22,7 @@ from .q_filings import (
     urgent_manifest,
 )
 from .registry import CFG, register
-from .sqlfrag import sql_fixed_chunks, sql_fixed_count, sql_html_to_text, sql_section_select, sql_strip
+from .sqlfrag import sql_fixed_chunks, sql_fixed_count, sql_html_to_text, sql_recursive_chunks, sql_section_select, sql_strip
 
 ARCHIVE = "'https://www.sec.gov/Archives/edgar/data/'"
 
@@ -85,13 +85,34 @@ def q_ingest_filings(spark, d):
     return ing.records(doc_status(spark, d))
 
 
-@register("ingest_filings_recursive")
+RECURSIVE_SECTIONS = sql_recursive_chunks("(SELECT * FROM s WHERE section IS NOT NULL)", "input_pos", "section",
+                                          CFG.chunk_size, CFG.chunk_overlap)
+
+
+@register(
+    "ingest_filings_recursive",
+    _doc_status_sql() + f""", r AS (SELECT input_pos, count(*) AS n FROM {RECURSIVE_SECTIONS} GROUP BY input_pos)
+    SELECT company, cik, filingDate, form, accessionNumber, url, COALESCE(r.n, 0) AS chunks
+    FROM st LEFT JOIN r USING (input_pos) WHERE reason IS NULL""",
+)
 def q_ingest_filings_recursive(spark, d):
-    """I4 with the recursive splitter (1500/200) counting each record's
-    chunks, as the reference's ingestion does; rows-only (Python splitter)."""
+    """I4 with the recursive splitter (1500/200) counting each record's chunks."""
     return ing.records(doc_status(spark, d, chunker="recursive"))
 
 
+@register(
+    "corpus_chunks_recursive",
+    _doc_status_sql() + f"""SELECT cik, accessionNumber, chunk_ix,
+        sha1(cik || '__' || accessionNumber || '__' || CAST(chunk_ix AS VARCHAR)) AS chunk_id, chunk,
+        TRY_CAST(substring(filingDate, 1, 4) AS INTEGER) AS fiscalYear
+    FROM st JOIN (SELECT * FROM {RECURSIVE_SECTIONS}) USING (input_pos) WHERE reason IS NULL""",
+)
+def q_corpus_chunks_recursive(spark, d):
+    """D9 with the recursive splitter: text, ids and year of every chunk."""
+    ch = ing.corpus_chunks(doc_ingest(spark, d, "recursive").parsed, CFG, chunker="recursive")
+    return ch.select("cik", "accessionNumber", F.col("chunk_ix").cast("long"), "chunk_id", "chunk", "fiscalYear")
+
+
 @register("ingest_status", _doc_status_sql() + "SELECT input_pos, cik, accessionNumber, reason, chunks FROM st")
 def q_ingest_status(spark, d):
     return doc_status(spark, d).select("input_pos", "cik", "accessionNumber", "reason", "chunks")

@@ -212,12 +212,15 @@ def q_manifest_roundtrip(spark, d):
     f"""SELECT file_date, line_no, cik, company, form, date_filed, filename
         FROM {sql_master_index_rows(dv.sql_index_files(), MASTER_INDEX_HEADER)}
         WHERE form IN ('10-K', '10-K/A', '10-Q', '10-Q/A')
-          AND file_date = (SELECT strftime(max(o_orderdate), '%Y-%m-%d') FROM orders)""",
+          AND file_date = (SELECT strftime(o_orderdate, '%Y-%m-%d') FROM orders WHERE day(o_orderdate) <> 13
+                           GROUP BY o_orderdate ORDER BY count(*) DESC, o_orderdate LIMIT 1)""",
 )
 def q_daily_index_files(spark, d):
-    """The index file of the last order date, landed under its name and read
-    by date (one date is the feature)."""
-    last = read_table(spark, d, "orders", "o_orderdate").agg(F.max("o_orderdate").cast("date").alias("d")).first().d
+    """The index file of the busiest order date that has a header, landed
+    under its name and read by date (one date is the feature)."""
+    days = read_table(spark, d, "orders", "o_orderdate").where(F.dayofmonth("o_orderdate") != 13).groupBy(
+        F.col("o_orderdate").cast("date").alias("d")).count()
+    last = days.orderBy(F.desc("count"), "d").first().d
     base = scratch_path(spark, "daily-index")
     day = dv.index_files(spark, d).where(F.col("file_date") == last.isoformat())
     day.select("text").write.text(src.daily_index_path(base, last))

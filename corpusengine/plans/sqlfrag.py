@@ -148,3 +148,52 @@ def sql_master_index_rows(files: str, header: str) -> str:
               FROM (SELECT file_date, file_part, string_split_regex(text, '{LINEBREAK_RE2}') AS lines FROM {files}))
         WHERE hdr IS NOT NULL)
       WHERE len(string_split(line, '|')) = 5)"""
+
+
+def sql_recursive_chunks(src: str, keys: str, text: str, size: int, overlap: int) -> str:
+    """Subquery: keys, chunk_ix, chunk_start, chunk_end, chunk of the recursive
+    splitter (separators: blank line, newline, space, character).
+
+    Each level cuts its segments at the first separator they hold; pieces that
+    are still too long are the next level's segments. Runs of short pieces are
+    packed by a fold over (pieces held, their length, chunks so far)."""
+    nl = "chr(10)"
+    seps = f"[{nl} || {nl}, {nl}, ' ', '']"
+    levels = [f"s0 AS (SELECT row_number() OVER () AS doc, {keys}, {text} AS whole, {text} AS t, 0 AS s, 0 AS lvl "
+              f"FROM {src} WHERE {text} <> '')"]
+    for k in range(4):
+        levels.append(f"""c{k} AS (SELECT doc, s, t, CASE WHEN lvl <= 0 AND contains(t, {nl} || {nl}) THEN 0
+                WHEN lvl <= 1 AND contains(t, {nl}) THEN 1 WHEN lvl <= 2 AND contains(t, ' ') THEN 2 ELSE 3 END AS c FROM s{k})""")
+        levels.append(f"""q{k} AS (SELECT doc, s, c, unnest(range(1, len(ps) + 1)) AS j, unnest(ps) AS p FROM (
+            SELECT doc, s, c, CASE WHEN c = 3 THEN string_split(t, '') ELSE list_filter(
+                list_transform(string_split(t, {seps}[c + 1]), lambda x, i: CASE WHEN i = 1 THEN x ELSE {seps}[c + 1] || x END),
+                lambda x: x <> '') END AS ps FROM c{k}))""")
+        levels.append(f"""p{k} AS (SELECT doc, s AS seg, c, j, p, length(p) AS n, s + sum(length(p)) OVER w - length(p) AS beg,
+            sum(CASE WHEN length(p) >= {size} THEN 1 ELSE 0 END) OVER w AS run
+            FROM q{k} WINDOW w AS (PARTITION BY doc, s ORDER BY j))""")
+        levels.append(f"s{k + 1} AS (SELECT doc, CAST(beg AS INTEGER) AS s, p AS t, c + 1 AS lvl FROM p{k} "
+                      f"WHERE n >= {size} AND c < 3)")
+    small = " UNION ALL ".join(f"SELECT doc, {k} AS lvl, seg, run, beg, n FROM p{k} WHERE n < {size}" for k in range(4))
+    rest = "list_sum(list_transform(a.cur[m + 1:], lambda y: y.n))"
+    fits = f"COALESCE({rest}, 0) <= {overlap} AND COALESCE({rest}, 0) + x.total <= {size}"
+    drop = f"COALESCE(list_filter(range(0, len(a.cur)), lambda m: {fits})[1], len(a.cur))"
+    packed = f"""list_reduce(l, lambda a, x: CASE WHEN a.total + x.total <= {size}
+        THEN {{'cur': a.cur || x.cur, 'total': a.total + x.total, 'out': a.out}}
+        ELSE {{'cur': a.cur[{drop} + 1:] || x.cur,
+               'total': CAST(COALESCE(list_sum(list_transform(a.cur[{drop} + 1:], lambda y: y.n)), 0) + x.total AS BIGINT),
+               'out': a.out || [{{'f': a.cur[1].beg, 't': a.cur[-1].beg + a.cur[-1].n}}]}} END)"""
+    stripped = sql_strip("raw")
+    left = f"ltrim(raw, {WS_CHARS_SQL})"
+    return f"""(WITH {', '.join(levels)},
+      small AS ({small}),
+      runs AS (SELECT doc, lvl, seg, run, min(beg) AS beg, list({{'cur': [{{'beg': CAST(beg AS BIGINT), 'n': CAST(n AS BIGINT)}}],
+                      'total': CAST(n AS BIGINT), 'out': CAST([] AS STRUCT(f BIGINT, t BIGINT)[])}} ORDER BY beg) AS l
+               FROM small GROUP BY doc, lvl, seg, run),
+      done AS (SELECT doc, beg, {packed} AS z FROM runs),
+      spans AS (SELECT doc, beg, i, a.f AS f, a.t AS e FROM (SELECT doc, beg, unnest(range(1, len(o) + 1)) AS i, unnest(o) AS a FROM (
+                  SELECT doc, beg, z.out || [{{'f': z.cur[1].beg, 't': z.cur[-1].beg + z.cur[-1].n}}] AS o FROM done))),
+      cut AS (SELECT doc, beg, i, f, substring(whole, f + 1, e - f) AS raw, {keys} FROM spans JOIN s0 USING (doc))
+      SELECT {keys}, row_number() OVER (PARTITION BY doc ORDER BY beg, i) - 1 AS chunk_ix,
+             CAST(f + length(raw) - length({left}) AS INTEGER) AS chunk_start,
+             CAST(f + length(raw) - length({left}) + length({stripped}) AS INTEGER) AS chunk_end, {stripped} AS chunk
+      FROM cut WHERE {stripped} <> '')"""

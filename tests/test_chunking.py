@@ -83,3 +83,11 @@ def test_empty_and_null_text_no_chunks(spark):
     df = spark.createDataFrame([(1, ""), (2, None)], "id long, text string")
     assert chunk_fixed(df, "text", 10, 2).count() == 0
     assert chunk_recursive(df, "text", 10, 2).count() == 0
+
+
+def test_length_function_measures_the_chunks():
+    words = lambda t: len(t.split())
+    text = " ".join(f"w{i}" for i in range(50))
+    spans = recursive_spans(text, 10, 2, length=words)
+    assert all(words(text[s:e]) <= 10 for s, e in spans) and len(spans) >= 5
+    assert spans != recursive_spans(text, 10, 2)

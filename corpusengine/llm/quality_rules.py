@@ -7,12 +7,12 @@ rules see few texts. The order never changes which texts are kept, only what
 is spent; ``kept`` is therefore the same for any sample.
 
 Repeated words need the 3-word windows that occur twice within one text. They
-are found inside the row (hash of each window, sorted with its position,
-neighbours compared), so no window is ever shuffled.
+are found inside the row (hashes of the windows), so no window is ever shuffled.
 """
 
 from __future__ import annotations
 
+import re
 import time
 from dataclasses import dataclass
 
@@ -40,43 +40,70 @@ def n_dup_lines(text: Column) -> Column:
     return (F.size(real) - F.size(F.array_distinct(real))).cast("long")
 
 
-def n_repeat_words(words: Column, n: int = 3) -> Column:
+def window_hashes(words: Column, n: int = 3) -> Column:
+    """64-bit hash of every n-word window, in order; ``words`` is a plain column."""
+    last = F.size(words) - n
+    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))
+    return F.when(last >= 0, hashes).otherwise(F.array().cast("array<bigint>"))
+
+
+# Repeated windows of one text that are looked up one by one.
+FEW = 64
+
+
+def n_repeat_words(hashes: Column, n: int = 3) -> Column:
     """Words inside an n-word window that occurs twice or more in the text.
 
-    Windows are compared by 64-bit hash. ``words`` must be a plain column."""
-    last = F.size(words) - n
-    hashes = F.transform(F.sequence(F.lit(0), last),
-                         lambda i: F.struct(F.xxhash64(*[F.get(words, i + k) for k in range(n)]).alias("h"),
-                                            i.alias("i")))
-    # Few texts repeat a window: the distinct count settles the others.
-    plain = F.transform(F.sequence(F.lit(0), last),
-                        lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))
+    ``hashes`` (a plain column) are its windows. Most texts repeat none: their
+    distinct count says so. A few repeated windows are looked up; many are found
+    by sorting the windows with their positions and comparing neighbours."""
+    count = F.size(hashes)
     order = F.sort_array(hashes)
-    pairs = F.arrays_zip(F.slice(order, 1, F.size(order) - 1).alias("a"), F.slice(order, 2, F.size(order)).alias("b"))
-    hit = F.filter(pairs, lambda p: p["a"]["h"] == p["b"]["h"])
-    at = F.flatten(F.transform(hit, lambda p: F.array(p["a"]["i"], p["b"]["i"])))
-    covered = F.size(F.array_distinct(F.flatten(F.transform(
-        F.array_distinct(at), lambda i: F.array(*[i + k for k in range(n)])))))
-    return (F.when(last < 1, F.lit(0))
-            .when(F.size(F.array_distinct(plain)) == last + 1, F.lit(0))
-            .otherwise(covered).cast("long"))
+    twice = F.array_distinct(F.array_compact(F.zip_with(
+        F.slice(order, 1, count - 1), F.slice(order, 2, count), lambda a, b: F.when(a == b, a))))
+
+    def covered(at: Column) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*[i + k for k in range(n)])))))
+
+    def looked_up(some: Column) -> Column:
+        return F.filter(F.transform(hashes, lambda h, i: F.when(F.array_contains(some, h), i)), lambda i: i.isNotNull())
+
+    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    pairs = F.arrays_zip(F.slice(placed, 1, count - 1).alias("a"), F.slice(placed, 2, count).alias("b"))
+    neighbours = F.array_distinct(F.flatten(F.transform(
+        F.filter(pairs, lambda p: p["a"]["h"] == p["b"]["h"]), lambda p: F.array(p["a"]["i"], p["b"]["i"]))))
+    # ``twice`` is bound once, as the one element of an array.
+    found = F.get(F.transform(F.array(twice), lambda some: F.when(
+        F.size(some) <= FEW, covered(looked_up(some))).otherwise(covered(neighbours))), 0)
+    return F.when(F.size(F.array_distinct(hashes)) == count, F.lit(0)).otherwise(found).cast("long")
+
+
+# Statistics of every text (returned), and those that only a rule asks for: they
+# stay inside the cascade, so a text that left earlier never pays for them.
+ALWAYS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+LAZY = {
+    "n_upper": r"length(regexp_replace({text}, '[^\\p{{Lu}}]+', ''))",
+    "n_letters": r"length(regexp_replace({text}, '[^\\p{{L}}]+', ''))",
+    "n_lines": r"size(split({text}, '\\n', -1))",
+}
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text", prefix: str = "_qr_") -> DataFrame:
-    """``docs`` plus the per-text statistics, named with ``prefix``."""
+    """``docs`` plus the statistics of every text, named with ``prefix``."""
     p = prefix
     w, t = F.col(p + "words"), F.col(text_col)
-    df = docs.withColumn(p + "words", words_of(t))
+    df = docs.withColumn(p + "words", words_of(t)).withColumn(p + "hashes", window_hashes(w))
     return df.withColumns({
         p + "n_words": F.size(w).cast("long"),
         p + "word_chars": F.length(F.array_join(w, "")).cast("long"),
         p + "n_symbols": n_symbols(t),
         p + "n_dup_lines": n_dup_lines(t),
-        p + "n_repeat_words": n_repeat_words(w),
-        p + "n_upper": F.length(F.regexp_replace(F.array_join(w, ""), r"[^\p{Lu}]+", "")).cast("long"),
-        p + "n_letters": F.length(F.regexp_replace(F.array_join(w, ""), r"[^\p{L}]+", "")).cast("long"),
-        p + "n_lines": F.size(F.split(F.coalesce(t, F.lit("")), "\n")).cast("long"),
-    }).drop(p + "words")
+        p + "n_repeat_words": n_repeat_words(F.col(p + "hashes")),
+    }).drop(p + "words", p + "hashes")
+
+
+def lazy(name: str, text_col: str) -> str:
+    return LAZY[name].format(text=f"coalesce(`{text_col}`, '')")
 
 
 @dataclass(frozen=True)
@@ -114,7 +141,7 @@ def cascade_order(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "tex
     spark = docs.sparkSession
     sample = spark.createDataFrame(docs.select(F.col(text_col).alias("text")).limit(sample_rows).collect(),
                                    "text string")
-    stats = with_statistics(sample, "text", "")
+    stats = with_statistics(sample, "text", "").withColumns({n: F.expr(lazy(n, "text")) for n in LAZY})
     shares = stats.agg(*[F.avg(F.expr(r.rejects).cast("double")).alias(r.name) for r in rules]).first()
     cost: dict[str, float] = {}
     for need in {n for r in rules for n in r.needs}:
@@ -135,13 +162,13 @@ def apply_cascade(docs: DataFrame, text_col: str = "text", order: list[Rule] | N
     the input with clashing names are replaced by the results; repeated rows
     are judged alike; an empty table gives an empty result."""
     order = list(order if order is not None else (*base, *method))
-    out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    out = list(ALWAYS)
     stats = with_statistics(docs, text_col, "_qr_")
 
     def sql(rule: Rule) -> Column:
         text = rule.rejects
         for n in sorted(rule.needs, key=len, reverse=True):
-            text = _rename(text, n)
+            text = _rename(text, n, lazy(n, text_col) if n in LAZY else f"_qr_{n}")
         return F.expr(text)
 
     verdict = F.lit(None).cast("string")
@@ -156,7 +183,5 @@ def apply_cascade(docs: DataFrame, text_col: str = "text", order: list[Rule] | N
         verdict.alias("rejected_by")).withColumn("kept", F.col("rejected_by").isNull())
 
 
-def _rename(sql: str, name: str) -> str:
-    import re
-
-    return re.sub(rf"(?<!\w){name}(?!\w)", f"_qr_{name}", sql)
+def _rename(sql: str, name: str, to: str) -> str:
+    return re.sub(rf"(?<!\w){name}(?!\w)", lambda _: to, sql)

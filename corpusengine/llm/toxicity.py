@@ -2,8 +2,8 @@
 isotonic regression.
 
 Labelled rows fall into folds by crc32(doc_id) mod ``FOLDS``. Fold 0 is held
-out. Folds 1 and 2 give the lexicon (words and word beginnings whose share of
-toxic texts is significantly higher) and the calibration, folds 3 and 4 the
+out. Folds 1 and 2 give the lexicon (words and word beginnings that surely
+mark toxic texts) and the calibration, folds 3 and 4 the
 trees, so the trees see lexicon densities as they are on unseen texts. At most
 ``max_labels`` labelled rows are used to fit (a documented bound); every row is
 scored, over its whole text.
@@ -112,23 +112,23 @@ def with_features(docs: DataFrame, lexicon: list[str], id_col: str, text_col: st
         run, f"doc_id {kind}, features array<double>")
 
 
-def learn_lexicon(labelled: DataFrame, max_lexicon: int = 400, min_texts: int = 3, least_z: float = 3.0) -> list[str]:
-    """Words, and beginnings written ``abcd*``, over-represented in toxic texts:
-    log-odds of their text shares, in units of its standard error."""
+def learn_lexicon(labelled: DataFrame, max_lexicon: int = 400, min_texts: int = 3, least_share: float = 0.5) -> list[str]:
+    """Words, and beginnings written ``abcd*``, that mark toxic texts: the share
+    of toxic ones among the texts that hold them is surely (95 % Wilson bound)
+    at least ``least_share``. Those that mark most texts come first. Exact
+    copies of a text count once."""
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     stems = F.array_distinct(F.flatten(F.array(words, *[
         F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
         for n in STEMS])))
-    totals = labelled.agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("n")).first()
-    if not totals["p"] or totals["p"] == totals["n"]:
-        return []
-    pos, neg = float(totals["p"]), float(totals["n"] - totals["p"])
-    counts = labelled.select("toxic", F.explode(stems).alias("w")).filter(F.length("w") > 2).groupBy("w").agg(
-        F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
-    odds = F.log((F.col("a") + 0.5) / (pos - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (neg - F.col("b") + 0.5))
-    z = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    best = counts.filter(F.col("a") >= min_texts).withColumn("z", z).filter(F.col("z") >= least_z)
-    return [r["w"] for r in best.orderBy(F.desc("z"), "w").limit(max_lexicon).collect()]
+    once = labelled.select("toxic", "text").dropDuplicates()
+    counts = once.select("toxic", F.explode(stems).alias("w")).filter(F.length("w") > 2).groupBy("w").agg(
+        F.sum("toxic").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("n"))
+    share, zz = F.col("a") / F.col("n"), 1.96 ** 2
+    bound = (share + zz / (2 * F.col("n")) - F.sqrt(zz * (share * (1 - share) + zz / (4 * F.col("n"))) / F.col("n"))) / (
+        1 + zz / F.col("n"))
+    best = counts.filter(F.col("a") >= min_texts).withColumn("bound", bound).filter(F.col("bound") >= least_share)
+    return [r["w"] for r in best.orderBy(F.desc(F.col("a") * F.col("bound")), "w").limit(max_lexicon).collect()]
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

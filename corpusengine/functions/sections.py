@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import LINE_BREAK, WS_CLASS, strip_ws, without_marks
+from .text import LINE_BREAK, WS_CLASS, let, strip_ws, without_marks
 
 _START_MARK = "\u0002"
 _END_MARK = "\u0003"
@@ -34,7 +34,8 @@ PAGE_NUMBER_LINE = rf"^{_WS}*\p{{Nd}}{{1,3}}{_WS}*$"
 
 def section_candidates(text: Column, start_re: str, end_re: str) -> Column:
     """array<string>: raw (unstripped) candidate sections in text order."""
-    t = F.replace(without_marks(text), F.lit("\u00a0"), F.lit(" "))
+    # Bound once: the text may be a large expression.
+    t = F.replace(let(text, without_marks), F.lit("\u00a0"), F.lit(" "))
     marked = F.regexp_replace(t, start_re, _START_MARK + "$0")
     marked = F.regexp_replace(marked, end_re, _END_MARK + "$0")
     blocks = F.split(marked, _END_MARK)

@@ -141,7 +141,7 @@ def html_to_text(html: Column) -> Column:
     joined by a newline, NBSP becomes a space, runs of spaces/tabs become one
     space, 2+ newlines become exactly two, and the result is stripped.
     """
-    t = F.regexp_replace(without_marks(html), _DROP_PATTERN, _TAG_MARK)
+    t = F.regexp_replace(let(html, without_marks), _DROP_PATTERN, _TAG_MARK)
     t = F.regexp_replace(t, _TAG_MARK + "+", "\n")
 
     def decode(x: Column) -> Column:

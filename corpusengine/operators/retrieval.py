@@ -167,17 +167,20 @@ def _score_fn(bc, metric: str, k: int, id_col: str, vec_col: str,
             starts = np.asarray(vec.offsets)[:-1][rows] - np.asarray(vec.offsets)[0]
             V = flat[(starts[:, None] + np.arange(dim)[None, :])]
             ids = ids_arr.to_numpy(zero_copy_only=False)[rows]
-            allowed = None
+            allowed, cf = None, None
             if qf is not None:
                 cf = np.asarray(rb.column(rb.schema.get_field_index(filter_col)).to_pandas())[rows]
-                allowed = cf[:, None] == qf[None, :]
-            if qcells is None:
-                parts = [(np.arange(len(rows)), np.arange(nq))]
-            else:
-                # Only rows and questions that share a cell are multiplied.
+            # Only rows and questions that share a cell (or, without cells, the
+            # filter value) are multiplied.
+            if qcells is not None:
                 cells = np.asarray(rb.column(rb.schema.get_field_index(cell_col)).to_pandas())[rows].astype(np.int64)
                 parts = [(np.nonzero(cells == c)[0], np.nonzero(qcells[c])[0])
                          for c in np.unique(cells) if c < qcells.shape[0]]
+                allowed = None if cf is None else cf[:, None] == qf[None, :]
+            elif cf is not None:
+                parts = [(np.nonzero(cf == v)[0], np.nonzero(qf == v)[0]) for v in pd.unique(cf)]
+            else:
+                parts = [(np.arange(len(rows)), np.arange(nq))]
             for own, asked in parts:
                 if not len(own) or not len(asked):
                     continue

@@ -186,8 +186,9 @@ def manifest_rows(status: DataFrame, embedding_model: str | None = None) -> Data
 def corpus_chunks(parsed: DataFrame, cfg: IngestConfig = IngestConfig(), chunker: str = "recursive") -> DataFrame:
     """Chunk rows of the successful filings (documents of a batch with a
     section) with deterministic ids sha1('{cik}__{accession}__{i}') and the
-    chunk metadata. The chunks are cut where the document was parsed."""
-    ok = parsed.where(F.col("section").isNotNull()).select(
+    chunk metadata. The chunks are cut where the document was parsed; a null
+    section has none (a filter on it would parse the document twice)."""
+    ok = parsed.select(
         "cik", "company", "form", "filingDate", "accessionNumber", "url", "primary", "section",
         fiscal_year(F.col("filingDate")).alias("fiscalYear"),
     )

@@ -123,7 +123,7 @@ BASE_RULES = (
     Rule("repeats", "100 * n_repeat_words > 50 * n_words", ("n_words", "n_repeat_words")),
 )
 METHOD_RULES = (
-    Rule("symbols", "10 * n_symbols > 2 * word_chars", ("n_symbols", "word_chars")),
+    Rule("symbols", "10 * n_symbols > 3 * n_words", ("n_symbols", "n_words")),
     Rule("capitals", "n_letters >= 50 AND 10 * n_upper > 6 * n_letters", ("n_upper", "n_letters")),
     Rule("long_words", "word_chars > 40 * n_words", ("word_chars", "n_words")),
     Rule("short_words", "2 * word_chars < 3 * n_words", ("word_chars", "n_words")),

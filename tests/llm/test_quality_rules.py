@@ -25,7 +25,7 @@ def brute(text):
     n, chars, symbols = len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or ""))
     upper = sum(c.isupper() for c in letters)
     failed = n < 50 or 100 * len(hit) > 50 * n
-    junk = (10 * symbols > 2 * chars or (len(letters) >= 50 and 10 * upper > 6 * len(letters)) or chars > 40 * n
+    junk = (10 * symbols > 3 * n or (len(letters) >= 50 and 10 * upper > 6 * len(letters)) or chars > 40 * n
             or 2 * chars < 3 * n or (len(lines) >= 4 and 10 * dup > 5 * len(lines)))
     return n, chars, symbols, dup, len(hit), failed, not failed and not junk
 

@@ -34,11 +34,12 @@ def _url_sql(cik: str, acc: str, primary: str) -> str:
 # --- filings made from documents (provided-filings path, I4) ----------------
 
 def doc_batch(spark, d):
-    fl = dv.doc_filings(spark, d)
-    filings = fl.select(
-        F.col("doc_id").alias("input_pos"), "cik", "accessionNumber", "primaryDocument", "filingDate", "form", "company"
-    )
-    return filings, fl.select("accessionNumber", "html")
+    # The list needs the ids alone; only the pages read the texts.
+    ids = read_table(spark, d, "documents", "doc_id")
+    meta = dv.doc_filing_meta(F.col("doc_id"))
+    filings = ids.select(F.col("doc_id").alias("input_pos"), *[meta[c].alias(c) for c in (
+        "cik", "accessionNumber", "primaryDocument", "filingDate", "form", "company")])
+    return filings, dv.doc_filings(spark, d).select("accessionNumber", "html")
 
 
 def doc_ingest(spark, d, chunker="fixed"):

@@ -13,6 +13,7 @@ TABLES = (
 
 # Tables whose rows carry CPU-heavy payloads (long texts, vectors).
 HEAVY_TABLES = frozenset({"documents", "pages", "embeddings"})
+HEAVY_COLUMNS = frozenset({"text", "html", "embedding"})
 
 
 def table_path(base_dir: str, name: str) -> str:
@@ -41,9 +42,9 @@ def spread_partitions(df: DataFrame) -> DataFrame:
 def read_table(spark: SparkSession, base_dir: str, name: str, *columns: str,
                spread: bool | None = None) -> DataFrame:
     """Parquet scan of one table; naming columns keeps ReadSchema narrow.
-    Heavy tables are spread over the cores when under-split."""
+    Small under-split scans of heavy columns are spread over the cores."""
     df = spark.read.parquet(table_path(base_dir, name))
     df = df.select(*columns) if columns else df
     if spread is None:
-        spread = name in HEAVY_TABLES
+        spread = name in HEAVY_TABLES and (not columns or not HEAVY_COLUMNS.isdisjoint(columns))
     return spread_partitions(df) if spread else df

@@ -72,9 +72,10 @@ def test_only_the_chosen_document_counts(spark):
 def test_small_scans_are_spread_and_large_ones_are_not(spark, monkeypatch):
     from corpusengine.sources import tables
 
-    assert "Exchange RoundRobin" in plan_of(read_table(spark, SF01, "documents", "doc_id"))
-    monkeypatch.setattr(tables, "MAX_SPREAD_BYTES", 10)
+    assert "Exchange RoundRobin" in plan_of(read_table(spark, SF01, "documents", "doc_id", "text"))
     assert "Exchange" not in plan_of(read_table(spark, SF01, "documents", "doc_id"))
+    monkeypatch.setattr(tables, "MAX_SPREAD_BYTES", 10)
+    assert "Exchange" not in plan_of(read_table(spark, SF01, "documents", "doc_id", "text"))
 
 
 def test_history_ordered_limit(spark):

@@ -263,7 +263,9 @@ def _fixed_by_dominance(count: list[int], capacity: int) -> list[tuple[tuple[int
                 if not beside:
                     fix((a,), count[a] if a > room else 1)
                 elif pair > room or (triple > room and beside >= _best_pair(count, a, room)):
-                    fix((a, beside), 1 if a == beside else min(count[a], count[beside]))
+                    # Equal pieces pair up among themselves: the condition only gets
+                    # easier as pairs of them go.
+                    fix((a, beside), count[a] // 2 if a == beside else min(count[a], count[beside]))
                 else:
                     break
                 changed = True
@@ -319,7 +321,10 @@ def pack_lengths(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int,
                 open_[capacity - each * s].append([(s,) * each, n // each])
             if n % each:
                 open_[capacity - n % each * s].append([(s,) * (n % each), 1])
-    return patterns + [(tuple(p), t) for group in open_ for p, t in group]
+    merged: dict[tuple[int, ...], int] = {}
+    for pattern, times in patterns + [(p, t) for group in open_ for p, t in group]:
+        merged[pattern] = merged.get(pattern, 0) + times
+    return list(merged.items())
 
 
 def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -366,7 +371,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str
     inside = Window.partitionBy("length", "_bucket").orderBy("_uid")
     ranked = (short.withColumn("_rank", F.row_number().over(inside) - 1).join(first, ["length", "_bucket"])
               .withColumn("_rank", F.col("_rank") + F.col("first")).drop("first"))
-    # Slot rows are bounded by the solver's patterns, not by the corpus.
+    # Slot rows are bounded by the distinct patterns, which depend on the
+    # lengths that occur and not on how often they do.
     placed = ranked.join(F.broadcast(table.withColumnsRenamed({"length": "_len"})),
                          (F.col("length") == F.col("_len")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
     nth = F.col("_rank") - F.col("lo")

@@ -102,6 +102,13 @@ def test_large_instance_is_near_the_bound():
     assert n <= 1.002 * bound + 1
 
 
+def test_equal_lengths_make_one_pattern():
+    assert packing.pack_lengths({900: 2_000_000}, 2048) == [((900, 900), 1_000_000)]
+    assert sorted(packing.pack_lengths({900: 2_000_001}, 2048)) == [((900,), 1), ((900, 900), 1_000_000)]
+    mid = packing.pack_lengths({a: 100_001 for a in range(683, 1024)}, 2048)
+    assert len(mid) <= 2 * 341 and sum(t for _, t in mid) == -(-341 * 100_001 // 2)
+
+
 def check(rows, texts, tokenizer, capacity):
     expected = Counter()
     for i, t in texts:

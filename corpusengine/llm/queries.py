@@ -85,6 +85,7 @@ def op6_quality_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_kn.judge(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
     return judged.select("doc_id", "lang", judged["_chars"].alias("n_symbols"), judged["_lp"].alias("log10_prob"),
                          judged["_ppl"].alias("perplexity"), judged["_limit"].alias("threshold"),
+                         judged["_rep"].alias("repeated"), judged["_rep_limit"].alias("repeated_threshold"),
                          judged["_keep"].alias("kept"))
 
 

@@ -268,16 +268,17 @@ def cell_count(n_rows: int, rows_per_cell: int = 4096, least: int = 16, most: in
 
 
 def ivf_cells(corpus: DataFrame, vec_col: str, nlist: int | None = None, seed: int = 7, max_iter: int = 5,
-              sample_rows: int = 50_000):
+              sample_rows: int = 50_000, rows_per_center: int = 64):
     """Fit KMeans and return (model, corpus + 'cell').
 
-    The centroids are fitted on a sample of about ``sample_rows`` rows (the
-    documented bound); every row gets a cell."""
+    The centroids are fitted on a sample of about ``sample_rows`` rows, or
+    ``rows_per_center`` for each cell if that is more; every row gets a cell."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     n = corpus.count()
     nlist = cell_count(n) if nlist is None else nlist
+    sample_rows = max(sample_rows, rows_per_center * nlist)
     feats = corpus.withColumn("_features", array_to_vector(F.col(vec_col)))
     some = feats.select("_features")
     some = some.sample(fraction=sample_rows / n, seed=seed) if n > sample_rows else some
@@ -303,6 +304,37 @@ def probe_cells(questions: DataFrame, model, qvec_col: str, nprobe: int) -> Data
     return questions.withColumn("cells", nearest(F.col(qvec_col)))
 
 
+def choose_nprobe(cells: DataFrame, questions: DataFrame, model, k: int, target: float = 0.9, metric: str = "cosine",
+                  id_col: str = "id", vec_col: str = "embedding", qid_col: str = "qid", qvec_col: str = "qvec",
+                  cell_col: str = "cell", max_questions: int = 1000) -> tuple[int, float]:
+    """(nprobe, recall): the fewest probed cells that find ``target`` of the exact
+    neighbours, and the share they find.
+
+    Measured against ``knn`` on at most ``max_questions`` questions (smallest
+    hashes of the ids first); where that is a sample, its recall must exceed the
+    target by two standard errors. A neighbour is found from the place of its
+    cell in the question's order of cells on, so one exact pass tells the recall
+    of every nprobe."""
+    nlist = len(model.clusterCenters())
+    total = questions.count()
+    some = questions if total <= max_questions else questions.orderBy(F.xxhash64(qid_col), qid_col).limit(max_questions)
+    exact = knn(cells, some, k, metric, id_col, vec_col, qid_col, qvec_col)
+    at = exact.select(qid_col, id_col).join(cells.select(id_col, cell_col), id_col)
+    order = probe_cells(some, model, qvec_col, nlist).select(qid_col, "cells")
+    places = at.join(order, qid_col).select(qid_col, F.array_position("cells", F.col(cell_col)).alias("place"))
+    pdf = places.groupBy(qid_col, "place").count().toPandas()  # at most k rows per question
+    if not len(pdf):
+        return nlist, 1.0
+    n = pdf.groupby(qid_col)["count"].sum()
+    for nprobe in range(1, nlist + 1):
+        found = pdf[pdf["place"] <= nprobe].groupby(qid_col)["count"].sum().reindex(n.index, fill_value=0)
+        recall = float(found.sum() / n.sum())
+        error = float((found / n).std(ddof=0)) / math.sqrt(len(n)) if total > max_questions else 0.0
+        if recall - 2 * error >= target:
+            return nprobe, recall
+    return nlist, 1.0
+
+
 def recall_at_k(approx: DataFrame, exact: DataFrame, qid_col: str = "qid", id_col: str = "id") -> DataFrame:
     """One row: share of exact top-k ids that the approximate result found."""
     hit = exact.join(approx.select(qid_col, id_col), [qid_col, id_col], "left_semi").count()

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF01
@@ -75,6 +76,27 @@ def test_ivf_recall_monotone(spark):
     assert recalls[-1] == 1.0
 
 
+@pytest.mark.parametrize("nlist", [16, 48])
+def test_chosen_nprobe_has_recall(spark, nlist):
+    e, _, _ = _load(spark)
+    qs = e.where(F.col("vec_id") % 10 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    kw = dict(id_col="vec_id", vec_col="embedding")
+    model, cells = rt.ivf_cells(e, "embedding", nlist=nlist)
+    nprobe, told = rt.choose_nprobe(cells, qs, model, 5, id_col="vec_id")
+    approx = rt.knn(cells, rt.probe_cells(qs, model, "qvec", nprobe), 5, cell_col="cell", q_cells_col="cells", **kw)
+    recall = rt.recall_at_k(approx, rt.knn(e, qs, 5, **kw), id_col="vec_id").first()[0]
+    assert recall >= 0.9 and recall == pytest.approx(told) and nprobe <= nlist
+
+
+def test_query_has_recall(spark):
+    from corpusengine.plans import q_retrieval as q
+
+    e = q.embeddings(spark, SF01)
+    qs = e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    exact = rt.knn(e, qs, q.RAG.retrieval_k, id_col="vec_id", vec_col="embedding")
+    assert rt.recall_at_k(q.q_knn_approx(spark, SF01), exact, id_col="vec_id").first()[0] >= 0.9
+
+
 def test_dual_merge_cap_and_labels(spark):
     main = spark.createDataFrame([(0, r, 10 + r) for r in (1, 2, 3)], "qid long, rank long, id long")
     up = spark.createDataFrame([(0, r, 20 + r) for r in (1, 2, 3, 4)], "qid long, rank long, id long")

@@ -2,7 +2,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from support import SF01
 from corpusengine.functions.chunking import chunk_fixed, chunk_id, chunk_recursive, recursive_spans
 from corpusengine.sources.tables import read_table
 

@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF001
+from support import SF001
 from corpusengine.sources.tables import TABLES
 
 

@@ -126,7 +126,7 @@ def test_ingest_duplicate_in_batch(spark):
 
 
 def test_recursive_chunk_counts_match_corpus(spark):
-    from conftest import SF001
+    from support import SF001
     from corpusengine.plans import q_ingest as qi
     from corpusengine.plans.registry import CFG
 

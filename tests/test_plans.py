@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from support import SF01
 from corpusengine.operators import retrieval as rt
 from corpusengine.plans import ingest as ing
 from corpusengine.plans import q_filings as qf
@@ -106,7 +106,7 @@ def test_hot_key_operators_aggregate_before_shuffle(spark):
 
 
 def test_no_query_plans_a_cross_product(spark):
-    from conftest import SF001
+    from support import SF001
     from corpusengine.plans.catalog import QUERIES
 
     for name, fn in sorted(QUERIES.items()):

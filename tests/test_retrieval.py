@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from support import SF01
 from corpusengine.config import RagConfig, RetrievalLimits
 from corpusengine.operators import context as cx
 from corpusengine.operators import retrieval as rt

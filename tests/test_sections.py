@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import one_col
+from support import one_col
 from corpusengine.functions.sections import extract_section
 
 L = "x" * 50

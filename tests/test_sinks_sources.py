@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from support import SF01
 from corpusengine.functions.chunking import chunk_fixed, chunk_id
 from corpusengine.sinks import corpus as sc
 from corpusengine.sinks import files as sf

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import one_col
+from support import one_col
 from corpusengine.functions.filings import cik10, company_or_default, fiscal_year, parse_filing_date
 from corpusengine.functions.text import html_to_text, safe_name, strip_ws
 

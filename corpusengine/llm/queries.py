@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hmm_lm, oracles, packing, quality_kn, quality_rules, secrets, simhash, token_counts, toxicity, url_filter
+from . import centroids, codes, decontam, hmm_lm, jaccard, oracles, packing, quality_kn, quality_rules, secrets, simhash, token_counts, toxicity, url_filter
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,18 @@ def op7_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = hmm_lm.score_texts(read(spark, sf_dir, "documents", "doc_id", "text"), fold != 1)
     return scored.withColumn("held_out", F.coalesce(fold == 1, F.lit(False))).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@register("op11_centroids", centroids.centroids_sql())
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+@register("op12_jaccard_join")
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register("op13_vector_codes", codes.codes_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress_vectors(read(spark, sf_dir, "embeddings", "vec_id", "label", "embedding"))

@@ -16,7 +16,7 @@ def rows_of(df):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = queries.QUERIES[name](spark, SF)
     res = con.execute(queries.ORACLE[name])
@@ -27,13 +27,14 @@ def test_oracle(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name, columns", [
     ("op1_simhash", ["doc_id", "fingerprint", "component_id"]),
     ("op3_packing", ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]),
     ("op5_toxicity", ["doc_id", "held_out", "score", "predicted"]),
+    ("op12_jaccard_join", ["doc_id", "n_shingles", "component_id"]),
     ("op7_hmm_lm", ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]),
 ])
 def test_columns_of_the_others(spark, name, columns):

@@ -188,7 +188,7 @@ def compress_vectors(vectors: DataFrame, parts: int = 16, entries: int = 64, rou
     rows = scratch.write(narrow.mapInArrow(run, f"vec_id {kinds['id']}, label {kinds['label']}, code string, error bigint"),
                          "codes")
     total = rows.groupBy("label").agg(F.sum(F.col("error").cast("decimal(38,0)")).alias("s")).select(
-        F.col("label").alias("_label"), F.least("s", F.lit(MAX_LONG).cast("decimal(38,0)")).cast("long").alias("label_error"))
+        F.col("label").alias("_label"), F.when(F.col("s") > MAX_LONG, F.lit(MAX_LONG)).otherwise(F.col("s").cast("long")).alias("label_error"))
     named = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
     return rows.join(total, F.col("label").eqNullSafe(F.col("_label"))).select(
         "vec_id", "code", "error", "label_error", F.lit(named).alias("codebooks_sha256"))

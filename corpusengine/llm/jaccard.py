@@ -13,13 +13,13 @@ that several classes hold are looked at further:
    parts, each of which also gets the group's leader as a member.
 2. **Own group.** A class whose prefix overlap with the rest of its group
    reaches the bound is compared there, and the links make first components.
-3. **Matrix.** For every token and group the number of holders, their sizes and
-   components. A class and another group whose shared tokens reach the bound,
-   and which hold different components, are a candidate; no pair within a
-   component is looked at again.
-4. **Open.** The candidate group's token union bounds the whole overlap of each
-   query once more; only qualifying queries meet the members, and every link is
-   checked on the whole sets.
+3. **Matrix.** For every token and group the sizes and components of the
+   holders. Two groups whose shared tokens reach the bound, whose sizes fit and
+   which are not one component already are a candidate: the work is per group
+   and token, not per member.
+4. **Open.** The classes of one group query the other: its token union bounds
+   the whole overlap of each query, only qualifying queries meet the members,
+   and every link is checked on the whole sets.
 
 A comparison emits only the links that join components not yet joined there,
 so a family of m near copies gives at most m links a group. Whole sets travel
@@ -288,16 +288,12 @@ def class_links(docs: DataFrame, scratch: Scratch, words: int, percent: int) ->
     groups = scratch.write(chosen.join(split, "g").withColumn("p", F.pmod(F.xxhash64("k"), F.col("parts"))), "groups")
     cells = scratch.write(held.drop("lead").join(groups.select("k", "g", "p"), "k"), "cells")
 
-    def needed(n, lo) -> F.Column:
-        """Shared prefix tokens of a set of n and one of lo or more."""
-        low = F.greatest(lo, least(n))
-        return F.least(F.lit(1) + F.floor(n / 32), F.lit(1) + F.floor(low / 32))
-
     def least(n) -> F.Column:
         return F.ceil(n * F.lit(percent) / F.lit(100.0))
 
-    def fits(n, lo, hi) -> F.Column:
-        return (hi * 100 >= n * percent) & (lo * percent <= n * 100)
+    def needed(a, b) -> F.Column:
+        """Prefix tokens that linked sets of at least a and of at least b share."""
+        return F.lit(1) + F.floor(F.least(F.greatest(a, least(b)), F.greatest(b, least(a))) / 32)
 
     # Own group: tokens that another member holds as well.
     matrix = cells.groupBy("token", "g", "p").agg(F.count(F.lit(1)).alias("holders"), F.min("n").alias("lo"), F.max("n").alias("hi"))
@@ -317,25 +313,23 @@ def class_links(docs: DataFrame, scratch: Scratch, words: int, percent: int) ->
     left = told.join(apart, "token")
     matrix = left.groupBy("token", "g", "p").agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
-    query = left.select("token", "k", "n", "c", F.col("g").alias("own_g"), F.col("p").alias("own_p"))
-    later = (F.col("own_g") < F.col("g")) | ((F.col("own_g") == F.col("g")) & (F.col("own_p") < F.col("p")))
-    cand = (query.join(matrix, "token")
-            .filter(later & fits(F.col("n"), F.col("lo"), F.col("hi"))
-                    & ((F.col("c_lo") != F.col("c")) | (F.col("c_hi") != F.col("c"))))
-            .groupBy("k", "n", "c", "g", "p").agg(F.count(F.lit(1)).alias("shared"), F.min("lo").alias("lo"))
-            .filter(F.col("shared") >= needed(F.col("n"), F.col("lo"))).select("k", "n", "c", "g", "p"))
+    query = matrix.withColumnsRenamed({c: f"q_{c}" for c in matrix.columns if c != "token"})
+    later = (F.col("q_g") < F.col("g")) | ((F.col("q_g") == F.col("g")) & (F.col("q_p") < F.col("p")))
+    joined = (F.col("q_c_lo") == F.col("q_c_hi")) & (F.col("q_c_lo") == F.col("c_lo")) & (F.col("c_lo") == F.col("c_hi"))
+    fits = (F.col("hi") * 100 >= F.col("q_lo") * percent) & (F.col("lo") * percent <= F.col("q_hi") * 100)
+    cand = (query.join(matrix, "token").filter(later & fits & ~joined).groupBy("q_g", "q_p", "g", "p")
+            .agg(F.count(F.lit(1)).alias("shared"), F.min("q_lo").alias("q_lo"), F.min("lo").alias("lo"))
+            .filter(F.col("shared") >= needed(F.col("q_lo"), F.col("lo"))).select("q_g", "q_p", "g", "p"))
     cand = scratch.write(cand, "candidates")
 
     # Open the candidate groups.
-    opened = cand.groupBy("g", "p").agg(_parts(weight).alias("chunks"))
-    members = (groups.join(opened.select("g", "p"), ["g", "p"]).join(comps, "k", "left")
-               .select("k", F.coalesce("root", "k").alias("c"), "g", "p"))
-    members = scratch.write(members, "members")
-    sets = scratch.write(set_rows(docs, words, cand.select("k").union(members.select("k")).distinct()), "sets")
-    theirs = members.join(sets, "k").groupBy("g", "p").agg(_listed().alias("members"))
-    asked = (cand.join(opened, ["g", "p"]).withColumn("chunk", F.pmod(F.xxhash64("k"), F.col("chunks"))).join(sets, "k")
-             .groupBy("g", "p", "chunk").agg(_listed().alias("queries")))
-    second = scratch.write(group_links(asked.join(theirs, ["g", "p"]), percent), "links-across")
+    opened = cand.select("g", "p").union(cand.select(F.col("q_g").alias("g"), F.col("q_p").alias("p"))).distinct()
+    members = scratch.write(told.select("k", "c", "g", "p").distinct().join(opened, ["g", "p"]), "members")
+    sets = set_rows(docs, words, members.select("k"))
+    packed = scratch.write(members.join(sets, "k").groupBy("g", "p").agg(_listed().alias("members")), "opened")
+    asked = packed.withColumnsRenamed({"g": "q_g", "p": "q_p", "members": "queries"})
+    pairs = cand.join(packed, ["g", "p"]).join(asked, ["q_g", "q_p"])
+    second = scratch.write(group_links(pairs, percent), "links-across")
     return first.union(second)
 
 

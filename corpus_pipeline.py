@@ -15,8 +15,7 @@ from corpusengine.llm.common import Scratch, read
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under trusted text is too high go."""
-    judged = quality_kn.judge(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
-    return judged.filter("_keep").select(*docs.columns)
+    return quality_kn.keep_ordinary(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

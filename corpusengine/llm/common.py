@@ -50,6 +50,23 @@ class Scratch:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def sheltered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns renamed by place (in0, in1, ...), so that no name of
+    the caller's meets an internal one."""
+    return df.toDF(*[f"in{i}" for i in range(len(df.columns))])
+
+
+def place(df: DataFrame, column: str) -> str:
+    """The sheltered name of a column of ``df``."""
+    return f"in{df.columns.index(column)}"
+
+
+def restored(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like``, in order and under their names, of a table that
+    was made from the sheltered ``like``."""
+    return df.select(*[F.col(f"in{i}").alias(c) for i, c in enumerate(like.columns)])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else (null stays null).
 

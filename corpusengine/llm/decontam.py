@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, same_row_key
+from .common import Scratch, ascii_lower, same_row_key, place, restored, sheltered
 
 # What is not a word character (after lower-casing A-Z).
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -128,11 +128,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, min_share
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, min_share: int = 20,
-                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, all columns kept."""
-    bad = contamination(docs, items, window, min_share, id_col, text_col, keep_key=True)
+                      id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
+                      item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not contaminated. All columns are kept, with
+    their values, whatever their names."""
+    like, docs, id_col, text_col = docs, sheltered(docs), place(docs, id_col), place(docs, text_col)
+    bad = contamination(docs, items, window, min_share, id_col, text_col, item_id_col, item_text_col, keep_key=True)
     bad = bad.filter("contaminated").select(*[F.col(k).alias(f"_bad{k}") for k in KEY])
     keyed = docs.select("*", *[c.alias(f"_own{k}") for c, k in zip(
         same_row_key(F.col(id_col), F.col(text_col)), KEY)])
     on = reduce(lambda a, b: a & b, [keyed[f"_own{k}"].eqNullSafe(bad[f"_bad{k}"]) for k in KEY])
-    return keyed.join(bad, on, "left_anti").select(*docs.columns)
+    return restored(keyed.join(bad, on, "left_anti"), like)

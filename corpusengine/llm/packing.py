@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 # Strings a Python worker remembers, in each of two generations, and the longest.
-MEMO_STRINGS = 300_000
+MEMO_STRINGS = 60_000
 MEMO_LENGTH = 64
 # ASCII punctuation but the apostrophe, which may join what follows it.
 TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
@@ -50,7 +50,7 @@ LETTERS = "".join(c for c in map(chr, range(0x180)) if re.match(PLAIN, c))
 END_ID = 0
 # Texts encoded together, and about how many characters of them.
 GROUP = 2_000
-GROUP_CHARS = 8_000_000
+GROUP_CHARS = 2_000_000
 # Buckets that number the pieces of one length side by side.
 RANK_BUCKETS = 256
 

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, place, restored, sheltered
 
 MASK = "[SECRET]"
 
@@ -53,7 +53,8 @@ BASE_KINDS = (
 )
 METHOD_KINDS = (
     Kind("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, 0, r"-----BEGIN"),
-    Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 1, 0, r"eyJ"),
+    # Whole runs only, as for hex: a run is tried at its first character alone.
+    Kind("jwt", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{11,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 1, 0, r"eyJ", (r"^eyJ",)),
     # Long runs that mix letters and digits.
     Kind("mixed", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", 20, 0, r"[A-Za-z0-9+/_=-]{20}",
          (r"[0-9]", r"[A-Za-z]")),
@@ -156,10 +157,12 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """All rows and columns of ``docs``; every reported span of the text is
     replaced by ``mask`` (overlapping spans by one) and ``length_col``, if it
     exists, counts the new text. Rows without a span are untouched; only rows
-    with one are shuffled."""
+    with one are shuffled. Extra columns keep their values whatever their names."""
+    like, docs = docs, sheltered(docs)
+    id_col, text_col, owner_col = place(like, id_col), place(like, text_col), place(like, owner_col)
+    length_col = place(like, length_col) if length_col in like.columns else None
     scratch = Scratch(docs.sparkSession, "redact")
     kinds = (*base, *method)
-    columns = docs.columns
     rows = scratch.write(scan(docs, text_col, kinds), "documents")
     some = rows.filter(F.size("_found") > 0)
     found = scratch.write(spans(some, kinds, owner_col, id_col, min_owners), "spans")
@@ -175,8 +178,8 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             x["end"].alias("at"))).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], x["end"]).alias("at"))),
         lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
     new = joined.withColumn(text_col, F.when(F.size("_spans") > 0, pieces).otherwise(text))
-    if length_col in columns:
+    if length_col is not None:
         kind = dict(docs.dtypes)[length_col]
         new = new.withColumn(length_col, F.when(F.size("_spans") > 0, F.length(text_col).cast(kind))
                              .otherwise(F.col(length_col)))
-    return rows.filter(F.size("_found") == 0).select(*columns).unionByName(new.select(*columns))
+    return restored(rows.filter(F.size("_found") == 0), like).union(restored(new, like))

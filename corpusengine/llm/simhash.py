@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Scratch
+from .common import Scratch, place, restored, sheltered
 
 HASH_SEED = 42
 # Shingle hashes expanded to bits at a time (64 bytes each).
@@ -236,9 +236,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs``, one per near-duplicate group, all columns kept.
 
     The row with the smallest id stays (rows without an id only when no row of
-    the group has one); of several rows with that id and fingerprint, one."""
+    the group has one); of several rows with that id and fingerprint, one. Extra
+    columns keep their values whatever their names."""
     scratch = Scratch(docs.sparkSession, "simhash-drop")
-    columns = docs.columns
+    like, docs, id_col, text_col = docs, sheltered(docs), place(docs, id_col), place(docs, text_col)
     kept = scratch.write(with_fingerprint(docs, text_col, "_simhash_fp", shingle), "documents")
     rows = kept.select(F.col(id_col).alias("doc_id"), F.col("_simhash_fp").alias("fp"))
     comps = scratch.write(fingerprint_components(rows, scratch, max_bits, segments), "components")
@@ -250,4 +251,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     hit = kept.join(keys, (F.col("_simhash_fp") == F.col("_simhash_key"))
                     & F.col(id_col).eqNullSafe(F.col("_simhash_id")))
     once = Window.partitionBy("_simhash_fp", id_col).orderBy("_simhash_fp")
-    return hit.withColumn("_simhash_n", F.row_number().over(once)).filter("_simhash_n = 1").select(*columns)
+    return restored(hit.withColumn("_simhash_n", F.row_number().over(once)).filter("_simhash_n = 1"), like)

@@ -18,6 +18,7 @@ tokens of the whole encoding. The work is map-only: nothing is shuffled.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,6 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RULES = ("start", "end", "share")
+# A longer run of white space is cut there: the pattern's look-ahead tracks back
+# over the whole run, and gives up on a million characters.
+LONGEST_RUN = 500_000
 LINE_FEED = 10
 
 
@@ -48,7 +52,15 @@ class SpanEncoder:
 
     def ends(self, text: str) -> np.ndarray:
         """End byte of every token, ascending."""
-        return np.cumsum(self.lengths[self.encoding.encode_to_numpy(text)])
+        return np.cumsum(np.concatenate([self.lengths[self.encoding.encode_to_numpy(t)] for t in _cut(text)]))
+
+
+def _cut(text: str) -> list[str]:
+    """The text, cut within runs of white space longer than ``LONGEST_RUN``."""
+    if len(text) <= LONGEST_RUN:
+        return [text]
+    ends = [m.end() for m in re.finditer(rf"\s{{{LONGEST_RUN}}}", text)]
+    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])]
 
 
 def sections(fields: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +106,9 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, fields: tuple[s
     (double; whole numbers but for ``share``), n_crossing.
 
     Null fields are empty. Every document has at least one section per field,
-    so empty texts are listed with what their line feeds cost. Repeated rows
+    so empty texts are listed with what their line feeds cost. Very long texts
+    are encoded whole, but no token crosses every 500,000th character of a run of
+    white space. Repeated rows
     stay repeated; an empty table gives an empty result. Only the named columns
     are read."""
     if rule not in RULES:

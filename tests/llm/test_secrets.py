@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import time
+
 import pytest
 
 from corpusengine.llm import secrets
@@ -113,3 +115,13 @@ def test_empty_table_and_long_text(spark, empty_docs):
 def test_no_python_in_the_plan(docs):
     for df in (secrets.find_secrets(docs), secrets.redact_secrets(docs)):
         assert "Python" not in df._jdf.queryExecution().toString()
+
+
+def test_time_grows_with_the_text(spark):
+    """Five million characters of what each pattern begins with."""
+    n = 5_000_000
+    texts = [x * (n // len(x)) for x in ("eyJ", "-----BEGIN ", "token", "AKIA", "password=", "a", " ", "deadbeef", "eyJabcdefgh.")]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, source string").repartition(4)
+    begin = time.monotonic()
+    assert secrets.find_secrets(df).count() == len(texts)
+    assert time.monotonic() - begin < 240

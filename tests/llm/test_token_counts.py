@@ -75,3 +75,13 @@ def test_empty_table_and_bad_rule(empty_docs):
     assert token_counts.count_tokens(empty_docs, RANKS, public_tokenizers.PATTERN).count() == 0
     with pytest.raises(ValueError):
         token_counts.count_tokens(empty_docs, RANKS, public_tokenizers.PATTERN, rule="both")
+
+
+@pytest.mark.parametrize("unit", ["a", " ", "\n", " \n", "eyJ", "."])
+def test_very_long_runs(unit):
+    import public_tokenizers
+
+    encoder = token_counts.SpanEncoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    text = "x " + unit * (5_000_000 // len(unit)) + " y"
+    ends = encoder.ends(text)
+    assert ends[-1] == len(text) and (ends[1:] > ends[:-1]).all()

@@ -67,11 +67,14 @@ def _candidates(text: Column, kind: Kind, order: int) -> Column:
     hits = F.regexp_extract_all(text, rx, F.lit(0))
     values = F.regexp_extract_all(text, rx, F.lit(kind.group)) if kind.group else hits
     gaps = F.split(text, kind.regex, -1)
+    # Zipped first, so that every array is made once and not per match; the gap
+    # behind the last match has no hit.
+    pairs = F.zip_with(hits, values, lambda h, v: F.struct(h.alias("h"), v.alias("v")))
+    zipped = F.zip_with(pairs, gaps, lambda x, g: F.struct(x["h"].alias("h"), x["v"].alias("v"), g.alias("g")))
     made = F.transform(
-        F.sequence(F.lit(1), F.size(hits)),
-        lambda i: F.struct(F.lit(order).alias("k"), F.lit(kind.name).alias("kind"), i.alias("i"),
-                           F.length(F.element_at(gaps, i)).alias("gap"),
-                           F.length(F.element_at(hits, i)).alias("len"), F.element_at(values, i).alias("value")))
+        F.filter(zipped, lambda x: x["h"].isNotNull()),
+        lambda x, i: F.struct(F.lit(order).alias("k"), F.lit(kind.name).alias("kind"), (i + 1).alias("i"),
+                              F.length(x["g"]).alias("gap"), F.length(x["h"]).alias("len"), x["v"].alias("value")))
     none = F.array().cast("array<struct<k:int,kind:string,i:int,gap:int,len:int,value:string>>")
     some = text.rlike(kind.regex) if kind.hint is None else text.rlike(kind.hint) & text.rlike(kind.regex)
     return F.when(some, made).otherwise(none)

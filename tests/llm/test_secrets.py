@@ -118,10 +118,10 @@ def test_no_python_in_the_plan(docs):
 
 
 def test_time_grows_with_the_text(spark):
-    """Five million characters of what each pattern begins with."""
-    n = 5_000_000
+    """Two million characters of what each pattern begins with."""
+    n = 2_000_000
     texts = [x * (n // len(x)) for x in ("eyJ", "-----BEGIN ", "token", "AKIA", "password=", "a", " ", "deadbeef", "eyJabcdefgh.")]
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, source string").repartition(4)
     begin = time.monotonic()
     assert secrets.find_secrets(df).count() == len(texts)
-    assert time.monotonic() - begin < 240
+    assert time.monotonic() - begin < 120

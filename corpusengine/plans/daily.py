@@ -7,10 +7,11 @@ day's run opens the files of its day alone):
     filings/YYYYMMDD/<accessionNumber>/<document or index.json>
 State under ``state_dir`` (shared storage):
     manifest/ (JSON lines)   artifacts/, records/, skips/ (Parquet)
-    corpus/   (committed deltas, partitioned by fiscalYear; see sinks.corpus)
+    corpus/   (partitioned by fiscalYear and day; see sinks.corpus)
+    counts/   (one row per day: chunks written; the totals are its sum)
 
 The whole day is one plan: index rows -> first matching submission -> seen
-check -> main document -> ingest -> corpus delta, artifacts, manifest. Nothing
+check -> main document -> ingest -> corpus, artifacts, manifest. Nothing
 is looped per filing on the driver; only one-row summaries are collected.
 """
 
@@ -44,7 +45,7 @@ def _paths(landing_dir: str, state_dir: str, d: dt.date) -> dict[str, str]:
         "daily": os.path.join(landing_dir, "daily-index"),
         "subs": os.path.join(landing_dir, "submissions", day),
         "html": os.path.join(landing_dir, "filings", day),
-        **{n: os.path.join(state_dir, n) for n in ("manifest", "corpus", "artifacts", "records", "skips")},
+        **{n: os.path.join(state_dir, n) for n in ("manifest", "corpus", "counts", "artifacts", "records", "skips")},
     }
 
 
@@ -117,6 +118,7 @@ def run_daily(
     counts = prepared.groupBy().agg(
         F.sum(F.when(F.col("status") == "provided", 1).otherwise(0)).alias("prepared"),
         F.sum(F.when(F.col("status") == "skip", 1).otherwise(0)).alias("missed"),
+        F.count(F.when(F.col("reason") == "already_seen", 1)).alias("seen"),
     ).first()
     if not counts["prepared"]:
         sf.append_run(missed, p["skips"], d.isoformat())
@@ -133,13 +135,17 @@ def run_daily(
         chunks = embed(chunks, "chunk")
     chunks = chunks.withColumn("version", F.lit(int(dt.datetime.now().timestamp() * 1000)))
     sf.write_artifacts(sf.artifact_frame(parsed.where(F.col("section").isNotNull())), p["artifacts"])
-    sc.upsert_corpus(chunks, p["corpus"], key="chunk_id", order_col="version", partition_by=[CORPUS_PARTITION])
+    # A later run of the day finds the earlier one's filings seen, so its rows are
+    # a load of their own; a run that died before the manifest is replaced.
+    load = f"{d.isoformat()}-{counts['seen']:09d}"
+    sc.upsert_corpus(chunks, p["corpus"], load, key="chunk_id", order_col="version", partition_by=[CORPUS_PARTITION])
     sf.append_run(ing.records(status), p["records"], d.isoformat())
     sf.append_run(missed.unionByName(ing.skips(status)), p["skips"], d.isoformat())
     sf.append_manifest(ing.manifest_rows(status, embedding_model), p["manifest"])
     summ = ing.summary(status).first().asDict()
-    corpus = sc.read_corpus(spark, p["corpus"], CORPUS_KEY)
-    total = 0 if corpus is None else corpus.count()
+    # The sum of the loads' counts: the corpus itself is not read.
+    sc.write_load(ing.summary(status).select(F.col("total_chunks").cast("long")), p["counts"], load)
+    total = sc.read_loads(spark, p["counts"]).agg(F.sum("total_chunks")).first()[0] or 0
     return {"date": d.isoformat(), "found": found, "prepared": counts["prepared"], "missed": counts["missed"],
             "processed": summ["processed"], "skipped": summ["skipped"], "total_chunks": summ["total_chunks"],
             "total_vectors": total, "status": "ingested"}

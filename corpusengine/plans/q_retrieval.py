@@ -374,7 +374,7 @@ def q_ask_corpus(spark, d):
     vector = model_embed(F.col("chunk"), hash_counts(HASH_DIM))
     rows = chunks.withColumn("embedding", vector).withColumn("version", F.lit(1).cast("long"))
     store = scratch_path(spark, "corpus")
-    sc.upsert_corpus(rows, store, partition_by=["fiscalYear"])
+    sc.upsert_corpus(rows, store, "1", partition_by=["fiscalYear"])
     corpus = sc.read_corpus(spark, store, ["cik", "accessionNumber"])
 
     bench = read_table(spark, d, "benchmark", "item_id", "text")

@@ -1,16 +1,13 @@
 """Corpus table writes: idempotent upsert by id.
 
-Plain Parquet has no MERGE. A stored corpus is a list of committed deltas:
+A stored corpus is one plain Parquet table, partitioned by the caller's columns
+and by ``load``, the label of the batch that wrote the rows (a day's date):
 
-    corpus/delta-000000/<partition>=<value>/part-...   one folder per batch
-    corpus/_commits/<n>/                                one marker per batch
+    corpus/fiscalYear=2024/load=2024-12-23/part-...
 
-An upsert writes only its own rows and then commits them, so a day costs a day,
-not the year it falls into. Readers take the committed deltas since the last
-base and keep, per replace key, the rows of the latest delta that has it.
-``compact`` writes that view as a new base. Nothing that is being read is ever
-overwritten or deleted, an uncommitted folder is never read, and a batch that
-is sent again gives the same view.
+A batch overwrites only its own partitions (dynamic partition overwrite), so a
+day costs a day and a batch that is sent again replaces itself. Readers take one
+scan and keep, per replace key, the rows of the greatest label that has it.
 """
 
 from __future__ import annotations
@@ -21,8 +18,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-COMMITS = "_commits"
-DELTA = "_delta"
+LOAD = "load"
 # Rows of one file (the batch size of A11 only counts batches).
 ROWS_PER_FILE = 1_000_000
 
@@ -74,74 +70,45 @@ def _has_data(spark: SparkSession, path: str) -> bool:
     leaves only its marker)."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
-    return any(not f.getPath().getName().startswith("_") for f in found)
-
-
-def _commits(spark: SparkSession, corpus_dir: str) -> list[tuple[int, str]]:
-    """(number, kind) of every commit, ascending; kinds: delta, base, empty."""
-    base = os.path.join(corpus_dir, COMMITS)
-    if not path_exists(spark, base):
-        return []
-    rows = spark.read.text(os.path.join(base, "*")).collect()  # one short line per commit since ever
-    return sorted((int(n), kind) for n, kind in (r[0].split(" ") for r in rows))
-
-
-def _write_delta(df: DataFrame, corpus_dir: str, partition_by: list[str] | None, base: bool) -> int:
-    """Write ``df`` as the next delta and commit it. A number is taken by its
-    folder, so a writer that died leaves a gap, never a mix."""
-    spark = df.sparkSession
-    done = _commits(spark, corpus_dir)
-    n = done[-1][0] + 1 if done else 0
-    while path_exists(spark, os.path.join(corpus_dir, f"delta-{n:06d}")):
-        n += 1
-    w = df.write.mode("errorifexists").option("maxRecordsPerFile", ROWS_PER_FILE)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    path = os.path.join(corpus_dir, f"delta-{n:06d}")
-    w.parquet(path)
-    kind = ("base" if base else "delta") if _has_data(spark, path) else "empty"
-    line = spark.createDataFrame([(f"{n} {kind}",)], "value string").coalesce(1)
-    line.write.mode("errorifexists").text(os.path.join(corpus_dir, COMMITS, f"{n:06d}"))
-    return n
-
-
-def upsert_corpus(incoming: DataFrame, corpus_dir: str, key: str = "chunk_id", order_col: str = "version",
-                  partition_by: list[str] | None = None) -> int:
-    """Commit the last-wins rows of ``incoming`` as the next delta (planned and
-    run once); returns its number."""
-    return _write_delta(dedupe_last(incoming, key, order_col).select(*incoming.columns), corpus_dir, partition_by, False)
+    return any(not f.getPath().getName().startswith(("_", ".")) for f in found)
 
 
-def read_corpus(spark: SparkSession, corpus_dir: str, replace_by: list[str] | None = None, key: str = "chunk_id",
-                where=None) -> DataFrame | None:
-    """Current view of a stored corpus, or None if nothing was committed.
+def write_load(df: DataFrame, path: str, load: str, partition_by: list[str] | None = None) -> None:
+    """Write ``df`` as the rows of one load: its partitions replace those of an
+    earlier run of the same load, all others are left alone."""
+    (df.withColumn(LOAD, F.lit(load)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(*(partition_by or []), LOAD).parquet(path))
+
 
-    ``replace_by`` (default: the key): the columns whose latest delta counts; a
-    re-sent filing with fewer chunks leaves no stale tail. ``where`` restricts
-    both sides to partitions before the view is made."""
-    done = _commits(spark, corpus_dir)
-    if not done:
+def read_loads(spark: SparkSession, path: str, where=None) -> DataFrame | None:
+    """All rows of all loads in one scan, ``load`` as a string; None if there are
+    none. ``where`` may restrict partitions."""
+    if not path_exists(spark, path) or not _has_data(spark, path):
         return None
-    bases = [n for n, kind in done if kind == "base"]
-    live = [n for n, kind in done if kind != "empty" and (not bases or n >= bases[-1])]
-    if not live:
+    rows = spark.read.option("mergeSchema", True).parquet(path)
+    rows = rows if where is None else rows.where(where)
+    return rows.withColumn(LOAD, F.col(LOAD).cast("string"))
+
+
+def upsert_corpus(incoming: DataFrame, corpus_dir: str, load: str, key: str = "chunk_id", order_col: str = "version",
+                  partition_by: list[str] | None = None) -> None:
+    """Store the last-wins rows of ``incoming`` as ``load``. Labels are compared
+    as text, the greater is the later (ISO dates are)."""
+    write_load(dedupe_last(incoming, key, order_col).select(*incoming.columns), corpus_dir, load, partition_by)
+
+
+def read_corpus(spark: SparkSession, corpus_dir: str, replace_by: list[str] | None = None, key: str = "chunk_id",
+                where=None) -> DataFrame | None:
+    """Current view of a stored corpus, or None if nothing was stored.
+
+    ``replace_by`` (default: the key): the columns whose latest load counts; a
+    re-sent filing with fewer chunks leaves no stale tail. The latest load of a
+    key is a grouped max (combined before its shuffle). ``where`` restricts both
+    sides to partitions before the view is made."""
+    rows = read_loads(spark, corpus_dir, where)
+    if rows is None:
         return None
     keys = replace_by or [key]
-    rows = None
-    for n in live:
-        part = spark.read.parquet(os.path.join(corpus_dir, f"delta-{n:06d}")).withColumn(DELTA, F.lit(n))
-        part = part if where is None else part.where(where)
-        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    if len(live) == 1:
-        return rows.drop(DELTA)
-    latest = rows.groupBy(*keys).agg(F.max(DELTA).alias(DELTA))
-    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"l.{k}")) for k in (*keys, DELTA)]
-    joined = rows.alias("r").join(latest.alias("l"), on, "left_semi")
-    return joined.drop(DELTA)
-
-
-def compact(spark: SparkSession, corpus_dir: str, replace_by: list[str] | None = None, key: str = "chunk_id",
-            partition_by: list[str] | None = None) -> int | None:
-    """Write the current view as a new base; readers start from it."""
-    view = read_corpus(spark, corpus_dir, replace_by, key)
-    return None if view is None else _write_delta(view, corpus_dir, partition_by, True)
+    latest = rows.groupBy(*keys).agg(F.max(LOAD).alias(LOAD))
+    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"l.{k}")) for k in (*keys, LOAD)]
+    return rows.alias("r").join(latest.alias("l"), on, "left_semi").drop(LOAD)

@@ -47,7 +47,7 @@ def test_daily_run_end_to_end(spark, tmp_path):
     assert s1["prepared"] == 2 and s1["missed"] == 1
     assert s1["processed"] == 1 and s1["skipped"] == 1
     corpus = read_corpus(spark, os.path.join(state, "corpus"), CORPUS_KEY)
-    assert corpus.count() == s1["total_chunks"] > 0
+    assert corpus.count() == s1["total_chunks"] == s1["total_vectors"] > 0
     assert {r.accessionNumber for r in corpus.collect()} == {"0000000042-24-000001"}
     seen = read_seen_accessions(spark, os.path.join(state, "manifest"))
     assert [r[0] for r in seen.collect()] == ["0000000042-24-000001"]
@@ -99,8 +99,8 @@ def test_stored_dates_read_one_partition(spark, tmp_path):
     from corpusengine.sinks import corpus as sc
 
     rows = spark.createDataFrame([("a", 2023, 1), ("b", 2024, 1)], "chunk_id string, fiscalYear int, version long")
-    sc.upsert_corpus(rows, str(tmp_path / "c"), partition_by=["fiscalYear"])
-    sc.upsert_corpus(rows, str(tmp_path / "c"), partition_by=["fiscalYear"])
+    sc.upsert_corpus(rows, str(tmp_path / "c"), "1", partition_by=["fiscalYear"])
+    sc.upsert_corpus(rows, str(tmp_path / "c"), "2", partition_by=["fiscalYear"])
     view = sc.read_corpus(spark, str(tmp_path / "c"), where=F.col("fiscalYear") == 2024)
     plan = view._jdf.queryExecution().executedPlan().toString()
     assert plan.count("PartitionFilters: [isnotnull(fiscalYear") >= 2

@@ -39,16 +39,15 @@ def test_new_columns_are_kept(spark):
 def test_stored_corpus(spark, tmp_path):
     base = str(tmp_path / "corpus")
     assert src.open_corpus(spark, base) is None
-    sc.upsert_corpus(_chunks(spark, [("a0", 1, 0, "x", 1), ("a1", 1, 1, "x", 1), ("b0", 2, 0, "x", 1)]), base)
-    sc.upsert_corpus(_chunks(spark, [("a1", 1, 1, "y", 2)]).withColumn("embedding", F.lit(0.5)), base)
+    sc.upsert_corpus(_chunks(spark, [("a0", 1, 0, "x", 1), ("a1", 1, 1, "x", 1), ("b0", 2, 0, "x", 1)]), base, "2024-01-01")
+    for _ in range(2):  # a load that is sent again replaces itself
+        sc.upsert_corpus(_chunks(spark, [("a1", 1, 1, "y", 2)]).withColumn("embedding", F.lit(0.5)), base, "2024-01-02")
     assert {r.chunk_id: r.text for r in src.open_corpus(spark, base).collect()} == {"a0": "x", "a1": "y", "b0": "x"}
     by_doc = src.open_corpus(spark, base, ["doc"])
     assert {r.chunk_id: r.embedding for r in by_doc.collect()} == {"a1": 0.5, "b0": None}
-    # An uncommitted folder (a writer that died) is never read, nor reused.
-    _chunks(spark, [("z", 9, 0, "z", 9)]).write.parquet(os.path.join(base, "delta-000002"))
-    assert "z" not in {r.chunk_id for r in src.open_corpus(spark, base).collect()}
-    assert sc.compact(spark, base, ["doc"]) == 3
-    assert {r.chunk_id for r in src.open_corpus(spark, base).collect()} == {"a1", "b0"}
+    assert "load" not in by_doc.columns
+    # One scan a side, however many loads there are.
+    assert by_doc._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 2
     assert sc.batch_count(0, 10) == 0 and sc.batch_count(10001, 10000) == 2
 
 
@@ -173,13 +172,14 @@ def test_bad_index_name_does_not_stop_the_stream(spark, tmp_path):
     assert {(r.file_date, r.error) for r in out} == {(None, "error:bad index name master.x.idx"), ("2024-01-03", None)}
 
 
-def test_deltas_write_only_their_rows(spark, tmp_path):
+def test_loads_write_only_their_partitions(spark, tmp_path):
     base = str(tmp_path / "pcorpus")
     rows = "chunk_id string, year int, text string, version long"
     first = spark.createDataFrame([("a", 2021, "x", 1), ("b", 2022, "x", 1), ("c", 2023, "x", 1)], rows)
-    sc.upsert_corpus(first, base, partition_by=["year"])
-    sc.upsert_corpus(spark.createDataFrame([("b", 2022, "y", 2), ("d", 2022, "z", 2)], rows), base, partition_by=["year"])
-    assert [f for f in os.listdir(os.path.join(base, "delta-000001")) if f.startswith("year")] == ["year=2022"]
+    sc.upsert_corpus(first, base, "1", partition_by=["year"])
+    sc.upsert_corpus(spark.createDataFrame([("b", 2022, "y", 2), ("d", 2022, "z", 2)], rows), base, "2", partition_by=["year"])
+    assert [sorted(os.listdir(os.path.join(base, f"year={y}"))) for y in (2021, 2022, 2023)] == [
+        ["load=1"], ["load=1", "load=2"], ["load=1"]]
     cur = sc.read_corpus(spark, base)
     assert {r.chunk_id: r.text for r in cur.collect()} == {"a": "x", "b": "y", "c": "x", "d": "z"}
     assert sorted(cur.columns) == ["chunk_id", "text", "version", "year"]

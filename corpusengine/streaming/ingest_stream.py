@@ -95,3 +95,45 @@ def index_stream(
     )
     q.awaitTermination()
     return spark.read.parquet(sink_dir)
+
+
+def fresh_filings(
+    spark: SparkSession,
+    landing_dir: str,
+    schema: StructType | str,
+    sink_dir: str,
+    checkpoint_dir: str,
+    event_col: str = "filed_at",
+    key: str = "accessionNumber",
+    delay: str = "7 days",
+    max_files_per_trigger: int | None = None,
+) -> DataFrame:
+    """T5: one availableNow pass over landed filing rows that accepts a filing
+    once, as long as it comes no later than ``delay`` behind the newest event time
+    seen so far; returns the accepted rows of all passes.
+
+    The keys seen are held as event-time state and dropped when the watermark has
+    passed them, so the state follows the delay and not the history, and a restart
+    goes on from the checkpoint. ``late_filings`` lists what came too late. Rows
+    without a key are one key; rows without an event time are never late."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    rows = reader.parquet(landing_dir).withWatermark(event_col, delay).dropDuplicatesWithinWatermark([key])
+    q = (
+        rows.writeStream.format("parquet")
+        .option("path", sink_dir)
+        .option("checkpointLocation", checkpoint_dir)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    return spark.read.schema(schema).parquet(sink_dir)
+
+
+def late_filings(landed: DataFrame, accepted: DataFrame, key: str = "accessionNumber") -> DataFrame:
+    """(key, reason) of the landed filings of which no row was accepted."""
+    missed = landed.select(key).distinct().alias("l").join(
+        accepted.select(key).alias("a"), F.col(f"l.{key}").eqNullSafe(F.col(f"a.{key}")), "left_anti")
+    return missed.select(key, F.lit("late").alias("reason"))

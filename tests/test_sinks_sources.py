@@ -183,3 +183,27 @@ def test_loads_write_only_their_partitions(spark, tmp_path):
     cur = sc.read_corpus(spark, base)
     assert {r.chunk_id: r.text for r in cur.collect()} == {"a": "x", "b": "y", "c": "x", "d": "z"}
     assert sorted(cur.columns) == ["chunk_id", "text", "version", "year"]
+
+
+def test_late_filings_within_the_watermark_are_accepted_once(spark, tmp_path):
+    from corpusengine.streaming.ingest_stream import fresh_filings, late_filings
+
+    schema = "accessionNumber string, filed_at timestamp"
+    landing, sink, check = (str(tmp_path / x) for x in ("landing", "sink", "check"))
+
+    def land(*rows):
+        df = spark.createDataFrame(rows, "accessionNumber string, day string")
+        df.selectExpr("accessionNumber", "to_timestamp(day) AS filed_at").coalesce(1).write.mode("append").parquet(landing)
+
+    def run():
+        return sorted(r.accessionNumber for r in fresh_filings(spark, landing, schema, sink, check).collect())
+
+    land(("a", "2024-01-01"), ("b", "2024-01-10"), ("b", "2024-01-10"))
+    assert run() == ["a", "b"]
+    # c comes late but within seven days of b, d does not; b is seen again.
+    land(("c", "2024-01-05"), ("d", "2023-12-20"), ("b", "2024-01-10"))
+    assert run() == ["a", "b", "c"]
+    assert run() == ["a", "b", "c"]  # nothing new landed: a restart adds nothing
+    landed = spark.read.schema(schema).parquet(landing)
+    late = late_filings(landed, spark.read.schema(schema).parquet(sink)).collect()
+    assert [(r.accessionNumber, r.reason) for r in late] == [("d", "late")]

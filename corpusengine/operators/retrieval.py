@@ -54,12 +54,15 @@ def _check_metric(metric: str) -> None:
         raise ValueError(f"metric must be one of {METRICS}")
 
 
-def _block_count(questions: DataFrame, limits: RetrievalLimits, dim_hint: int | None) -> tuple[int, int]:
-    """Number of question rows and of broadcast blocks needed."""
-    n = questions.count()
+def _block_count(questions: DataFrame, limits: RetrievalLimits, qvec_col: str, q_cells_col: str | None = None) -> tuple[int, int]:
+    """Number of question rows and of broadcast blocks needed. The width of a
+    row is measured: its vector, and one byte per cell up to the last one probed."""
+    cells = F.max(F.array_max(q_cells_col)) if q_cells_col else F.lit(-1)
+    r = questions.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec_col)).alias("dim"), cells.alias("cell")).first()
+    n = r["n"]
     if n == 0:
         return 0, 0
-    per_row = 8 * (dim_hint or 1024) + 64
+    per_row = 8 * max(r["dim"] or 0, 1) + (r["cell"] if r["cell"] is not None else -1) + 1 + 64
     rows_per_block = max(1, min(limits.max_broadcast_questions, limits.max_broadcast_bytes // per_row))
     return n, max(1, math.ceil(n / rows_per_block))
 
@@ -213,7 +216,6 @@ def knn(
     cell_col: str | None = None,
     q_cells_col: str | None = None,
     limits: RetrievalLimits = RetrievalLimits(),
-    dim_hint: int | None = None,
 ) -> DataFrame:
     """Top-k corpus rows per question: (qid, rank, id, score).
 
@@ -233,7 +235,7 @@ def knn(
     qid_type, id_type = q.schema[qid_col].dataType, scan.schema[id_col].dataType
     schema = T.StructType([T.StructField("qid", qid_type), T.StructField("id", id_type),
                            T.StructField("score", T.DoubleType())])
-    n, nblocks = _block_count(q, limits, dim_hint)
+    n, nblocks = _block_count(q, limits, qvec_col, q_cells_col)
     if n == 0:
         empty = spark.createDataFrame([], schema)
         return empty.select(F.col("qid").alias(qid_col), F.lit(0).cast("long").alias("rank"),

@@ -204,3 +204,13 @@ def test_ivf_on_disk_prunes_cells(spark, tmp_path):
 
     assert re.search(r"PartitionFilters: \[[^\]]*cell#\d+ IN \(", plan) or re.search(
         r"PartitionFilters: \[[^\]]*cell#\d+ = ", plan)
+
+
+def test_blocks_count_vectors_and_probed_cells(spark):
+    rows = [(i, [0.5] * 32, [i % 5, 999]) for i in range(100)]
+    qs = spark.createDataFrame(rows, "qid int, qvec array<double>, cells array<int>")
+    limits = RetrievalLimits(max_broadcast_questions=1000, max_broadcast_bytes=10_000)
+    # 8 x 32 + 64 bytes a question; with cells, 1000 more.
+    assert rt._block_count(qs, limits, "qvec") == (100, 4)
+    assert rt._block_count(qs, limits, "qvec", "cells") == (100, 15)
+    assert rt._block_count(qs.limit(0), limits, "qvec", "cells") == (0, 0)

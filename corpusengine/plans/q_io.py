@@ -16,7 +16,7 @@ from ..sinks import corpus as sc
 from ..sinks import files as sf
 from ..sources import files as src
 from ..sources.tables import read_table
-from ..streaming.ingest_stream import chunk_stream
+from ..streaming.ingest_stream import chunk_stream, first_success
 from . import derived as dv
 from .q_filings import PAGE_ITEMS_SQL, SUB_FLAT_SQL, SUB_NAMES_SQL, page_items, submission_names
 from .registry import CFG, register
@@ -335,6 +335,32 @@ def q_stream_late_seen(spark, d):
     return out.select("doc_id", F.col("chunk_ix").cast("long"), "chunk_id")
 
 
+@register(
+    "stream_first_success",
+    """WITH e AS (SELECT *, event_id % 2 AS pass FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL AND ts IS NOT NULL),
+        w AS (SELECT user_id, min(pass) AS pass FROM e WHERE event_type <> 'error' GROUP BY user_id),
+        f AS (SELECT e.user_id, min_by(e.event_id, (e.ts, CAST(e.event_id AS VARCHAR))) AS event_id
+              FROM e JOIN w ON w.user_id = e.user_id AND w.pass = e.pass WHERE e.event_type <> 'error' GROUP BY e.user_id)
+        SELECT f.user_id, f.event_id, CAST((SELECT count(*) FROM e JOIN w ON w.user_id = e.user_id
+          WHERE e.user_id = f.user_id AND e.pass <= w.pass AND (e.event_type = 'error' OR e.event_type IS NULL)) AS BIGINT) AS failures
+        FROM f""",
+)
+def q_stream_first_success(spark, d):
+    """Events as ingestion attempts of users, errors as failed ones; odd
+    events land after a first pass, and a third pass finds nothing new. The
+    earliest success of the first pass that has one is accepted."""
+    run = scratch_path(spark, "stream")
+    events = read_table(spark, d, "events", "event_id", "ts", "user_id", "event_type")
+    odd = F.col("event_id") % 2 == 1
+    for part in (events.where(~odd), events.where(odd), None):
+        if part is not None:
+            part.write.mode("append").parquet(f"{run}/landing")
+        out = first_success(spark, f"{run}/landing", events.schema, f"{run}/sink", f"{run}/checkpoint",
+                            ok="event_type <> 'error'", key="user_id", attempt="event_id", event_col="ts", delay="3650 days",
+                            keep_days=3650)
+    return out.select(F.col("key").cast("long").alias("user_id"), F.col("attempt").cast("long").alias("event_id"), "failures")
+
+
 # --- corpus statistics (A4, A7, A8, P9, U4) ------------------------------------
 
 @register(

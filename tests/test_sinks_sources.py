@@ -207,3 +207,36 @@ def test_late_filings_within_the_watermark_are_accepted_once(spark, tmp_path):
     landed = spark.read.schema(schema).parquet(landing)
     late = late_filings(landed, spark.read.schema(schema).parquet(sink)).collect()
     assert [(r.accessionNumber, r.reason) for r in late] == [("d", "late")]
+
+
+def test_first_success_across_passes(spark, tmp_path):
+    from corpusengine.streaming.ingest_stream import first_success
+
+    schema = "accessionNumber string, attempt string, filed_at timestamp, reason string, extra int"
+    landing, sink, check = (str(tmp_path / x) for x in ("landing", "sink", "check"))
+
+    def land(*rows):
+        df = spark.createDataFrame(rows, "accessionNumber string, attempt string, day string, reason string")
+        df.selectExpr("accessionNumber", "attempt", "to_timestamp(day) AS filed_at", "reason", "1 AS extra").coalesce(1).write.mode(
+            "append").parquet(landing)
+
+    def run():
+        out = first_success(spark, landing, schema, sink, check, ok="reason IS NULL", keep_days=30)
+        return sorted((r.key, r.attempt, str(r.filed_at)[:10], r.failures) for r in out.collect())
+
+    hot = [("hot", f"h{i:05}", "2024-01-02", None if i % 2 else "error") for i in range(3000)]
+    land(("a", "1", "2024-01-01", None), ("a", "0", "2024-01-02", None), ("b", "2", "2024-01-03", "error"),
+         (None, "3", "2024-01-03", None), ("x", None, "2024-01-03", None), ("y", "4", None, None), *hot)
+    first = [("a", "1", "2024-01-01", 0), ("hot", "h00001", "2024-01-02", 1500)]
+    assert run() == first
+    # b failed before and succeeds now; a and hot are known; old comes too late.
+    land(("b", "5", "2024-01-06", None), ("b", "6", "2024-01-05", None), ("a", "7", "2024-01-06", None),
+         ("old", "8", "2023-11-01", None), *hot)
+    second = sorted([*first, ("b", "6", "2024-01-05", 1)])
+    assert run() == second
+    assert run() == second  # a restart with nothing new adds nothing
+    # Beyond the time limit of the state a key is new again.
+    land(("c", "9", "2024-04-01", None))
+    assert run() == sorted([*second, ("c", "9", "2024-04-01", 0)])
+    land(("a", "10", "2024-04-02", None))
+    assert ("a", "10", "2024-04-02", 0) in run()

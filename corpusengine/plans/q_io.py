@@ -15,6 +15,7 @@ from ..session import scratch_path
 from ..sinks import corpus as sc
 from ..sinks import files as sf
 from ..sources import files as src
+from ..sources.landed import read_landed, write_landed
 from ..sources.tables import read_table
 from ..streaming.ingest_stream import chunk_stream, first_success
 from . import derived as dv
@@ -226,6 +227,25 @@ def q_daily_index_files(spark, d):
     return src.read_daily_index(spark, base, last)
 
 
+@register(
+    "landed_index",
+    f"""SELECT file_date, file_part, line_no, cik, company, form, date_filed, filename
+        FROM {sql_master_index_rows(dv.sql_index_files(), MASTER_INDEX_HEADER)}""",
+)
+def q_landed_index(spark, d):
+    """The index files of all order dates, landed by the committed writer
+    in the layout of the real ones, read and parsed again."""
+    base = scratch_path(spark, "landed-index")
+    day = F.col("file_date").cast("date")
+    files = dv.index_files(spark, d).select(
+        F.concat(F.date_format(day, "yyyy"), F.lit("/QTR"), F.quarter(day).cast("string"), F.lit("/master."),
+                 F.date_format(day, "yyyyMMdd"), F.lit(".idx/"), F.format_string("%09d.txt", "file_part")).alias("name"),
+        "text")
+    write_landed(files, base)
+    part = F.regexp_extract("name", r"([0-9]+)\.txt$", 1).cast("long")
+    return fo.parse_master_index(read_landed(spark, base).select("file_date", part.alias("file_part"), "text"))
+
+
 # --- JSON sources (S1, S2/S3, S4) ----------------------------------------------
 
 @register("company_list_json", "SELECT CAST(c_custkey AS VARCHAR) AS cik FROM customer")

@@ -125,4 +125,4 @@ register(
 
 
 # Topic modules register their queries on import.
-from . import q_chat, q_filings, q_ingest, q_io, q_retrieval, q_sections  # noqa: E402,F401
+from . import q_chat, q_daily, q_filings, q_ingest, q_io, q_retrieval, q_sections  # noqa: E402,F401

@@ -50,10 +50,11 @@ def _paths(landing_dir: str, state_dir: str, d: dt.date) -> dict[str, str]:
 
 
 def landed_html(spark: SparkSession, html_dir: str) -> DataFrame:
-    """(accessionNumber, primary, html) from <html_dir>/<accession>/<document>."""
+    """(accessionNumber, primary, html) from <accession>/<document> anywhere below
+    ``html_dir`` (the committed writer puts a load's folder in between)."""
     if not sc.path_exists(spark, html_dir):
         return spark.createDataFrame([], "accessionNumber string, primary string, html string")
-    raw = src.read_filing_html(spark, os.path.join(html_dir, "*", "*"))
+    raw = src.read_filing_html(spark, html_dir)
     out = raw.select(
         F.regexp_extract("file_path", r"/([^/]+)/[^/]+$", 1).alias("accessionNumber"),
         F.regexp_extract("file_path", r"/([^/]+)$", 1).alias("primary"),

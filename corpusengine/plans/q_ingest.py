@@ -273,7 +273,7 @@ def daily_status(spark, d):
     return both.select("input_pos.*", "cik", "accessionNumber", "reason", "chunks")
 
 
-def _daily_sql() -> str:
+def daily_sql() -> str:
     html = dv.sql_filing_html("doc.doc_id", "doc.text")
     pos = "{'d': file_date, 'p': file_part, 'l': line_no}"
     return f"""
@@ -302,7 +302,7 @@ def _daily_sql() -> str:
     """
 
 
-@register("daily_ingest", _daily_sql())
+@register("daily_ingest", daily_sql())
 def q_daily_ingest(spark, d):
     """T1 over every index day: match, seen check, ingest, first occurrence."""
     return daily_status(spark, d)

@@ -49,7 +49,8 @@ ARTIFACT_NAME_RE = r"^(\d{4}-\d{2}-\d{2})__(\d+)__(.+?)__(10-K(?:[/-]A)?)__([^/\
 
 
 def _whole_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(
+    """One row per file below ``path``, whatever folders (loads) hold it."""
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
         F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text")
     )
 
@@ -103,8 +104,8 @@ def read_filing_index(spark: SparkSession, path: str, key_re: str = r"([^/]+)/in
 # --- S5 ----------------------------------------------------------------------
 
 def read_filing_html(spark: SparkSession, path: str) -> DataFrame:
-    """(file_path, html): one row per landed main document."""
-    return spark.read.text(path, wholetext=True).select(
+    """(file_path, html): one row per landed document below ``path``."""
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("html")
     )
 

@@ -18,7 +18,7 @@ from ..sources.tables import read_table
 from . import derived as dv
 from .daily import CORPUS_KEY, run_daily
 from .q_filings import urgent_manifest
-from .q_ingest import daily_sql, order_html
+from .q_ingest import daily_sql
 from .registry import CFG, register
 
 BUSIEST_SQL = """(SELECT strftime(o_orderdate, '%Y-%m-%d') FROM orders WHERE day(o_orderdate) <> 13
@@ -39,8 +39,11 @@ def land_day(spark, d, day: dt.date, landing: str, state: str) -> None:
                              F.to_json(F.struct("name", "filings")).alias("text")),
                  os.path.join(landing, "submissions", tag))
     filed = dv.submission_rows(spark, d).where(parse_filing_date(F.col("filingDate")) == F.lit(day))
-    pages = order_html(spark, d).join(filed.select("accessionNumber", "primaryDocument"), "accessionNumber")
-    write_landed(pages.select(F.concat_ws("/", "accessionNumber", "primaryDocument").alias("name"), F.col("html").alias("text")),
+    # The day's filings first: only their documents become pages.
+    filed = filed.select("accessionNumber", "primaryDocument", F.floor(F.col("k") / 15).cast("long").alias("doc_id"))
+    pages = filed.join(read_table(spark, d, "documents", "doc_id", "text"), "doc_id")
+    write_landed(pages.select(F.concat_ws("/", "accessionNumber", "primaryDocument").alias("name"),
+                              dv.filing_html(F.col("doc_id"), F.col("text")).alias("text")),
                  os.path.join(landing, "filings", tag))
     urgent_manifest(spark, d).write.json(os.path.join(state, "manifest"))
 

@@ -9,9 +9,8 @@ follows the corpus: it needs the training count of every word.
    word numbers and the block's vocabulary), and are written once.
 2. *Baum-Welch.* Expected transition and emission counts are gathered per task
    over all training tokens, in segments of ``SEGMENT`` tokens, and summed over
-   the tasks as one vector per state. A bounded random sample of segments, drawn
-   alike from every block, seeds the states; every pass after that covers the
-   whole training text.
+   the tasks as one vector per state. The states start as noise around the class
+   counts of the whole training text, and every pass covers all of it.
 3. *Counts.* The training count of a word is a sum, combined in the tasks before
    the shuffle. Every block then asks for the counts of its vocabulary: words that
    hold a ``HOT`` th of all vocabulary rows or more (so there are at most ``HOT``)
@@ -208,7 +207,8 @@ def _training_part(row: dict) -> tuple[np.ndarray, np.ndarray]:
 
 def sample_segments(blocks: DataFrame, seed_tokens: int, n_all: int) -> tuple[np.ndarray, np.ndarray]:
     """Classes and lengths of a random sample of training segments, every segment
-    of every block with the same chance; at most ``seed_tokens`` tokens."""
+    of every block with the same chance; at most ``seed_tokens`` tokens. To look
+    at a corpus with: the model takes nothing from it."""
     share = min(1.0, seed_tokens / max(1, n_all))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -236,19 +236,12 @@ def sample_segments(blocks: DataFrame, seed_tokens: int, n_all: int) -> tuple[np
     return classes[np.repeat(some, size)], size[some]
 
 
-def seed_parameters(blocks: DataFrame, total: np.ndarray, states: int, seed_tokens: int, passes: int = 12) -> Parameters:
-    """Breaks the symmetry between the states: some passes over a bounded sample
-    (``sample_segments``), from noise."""
+def seed_parameters(total: np.ndarray, states: int) -> Parameters:
+    """Breaks the symmetry between the states: noise around ``total``, the training
+    tokens by class."""
     rng = np.random.default_rng(5)
-    p = Parameters.estimate(np.ones(states), np.ones((states, states)) + 30 * np.eye(states),
-                            (total[:, None] + 0.5) * rng.gamma(1.0, 1.0, (CLASSES, states)), total)
-    if not total.sum():
-        return p
-    classes, size = sample_segments(blocks, seed_tokens, int(total.sum()))
-    for _ in range(passes if len(size) else 0):
-        start, move, emit, _ = expected_counts(p, classes, size)
-        p = Parameters.estimate(start, move, emit, total)
-    return p
+    return Parameters.estimate(np.ones(states), np.ones((states, states)) + 30 * np.eye(states),
+                               (total[:, None] + 0.5) * rng.gamma(1.0, 1.0, (CLASSES, states)), total)
 
 
 def baum_welch_pass(blocks: DataFrame, p: Parameters, total: np.ndarray, salt: int = 16) -> Parameters:
@@ -262,8 +255,8 @@ def baum_welch_pass(blocks: DataFrame, p: Parameters, total: np.ndarray, salt: i
         for b in batches:
             for row in b.to_pylist():
                 classes, size = _training_part(row)
-                for at in range(0, len(size), 4000):
-                    part = size[at:at + 4000]
+                for at in range(0, len(size), 2000):
+                    part = size[at:at + 2000]
                     off = int(size[:at].sum())
                     s, m, e, _ = expected_counts(own, classes[off:off + int(part.sum())], part)
                     start, move, emit = start + s, move + m, emit + e
@@ -331,7 +324,7 @@ def known_counts(words: DataFrame, totals: DataFrame, rows: int) -> DataFrame:
 
 
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", states: int = 8,
-                passes: int = 3, seed_tokens: int = 200_000) -> DataFrame:
+                passes: int = 6) -> DataFrame:
     """One row per input row: doc_id, n_tokens, n_known, train_tokens,
     base_score, score (log10 probability of the text under the model).
 
@@ -360,7 +353,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         rows += r["rows"]
     n_all, v_all = int(class_tokens.sum()), int(class_words.sum())
 
-    p = seed_parameters(blocks, class_tokens, states, seed_tokens)
+    p = seed_parameters(class_tokens, states)
     for _ in range(passes if n_all else 0):
         p = baum_welch_pass(blocks, p, class_tokens)
 

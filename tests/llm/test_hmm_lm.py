@@ -144,3 +144,31 @@ def test_empty_and_untrained(spark, empty_docs):
     one = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
     r = hmm_lm.score_texts(one, F.lit(False)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and r.score < 0
+
+
+def test_model_comes_from_all_training_text(spark):
+    """Whole scores, against passes over every training segment from the start on."""
+    rows = [(i, t) for i, t in corpus(60) if i is not None]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = hmm_lm.score_texts(df, toxicity.fold(F.col("doc_id")) != 1, states=2, passes=2).collect()
+    tokens = [(i, (t or "").encode().lower().split() + [b" "]) for i, t in rows]
+    classes = [np.array([hmm_lm.word_class(x) for x in w]) for _, w in tokens]
+    learnt = [k for k, (i, _) in enumerate(tokens) if zlib.crc32(str(i).encode()) % 5 != 1]
+    counts = Counter(x for k in learnt for x in tokens[k][1])
+    total, kinds = np.zeros(hmm_lm.CLASSES), np.zeros(hmm_lm.CLASSES)
+    for w, c in counts.items():
+        total[hmm_lm.word_class(w)] += c
+        kinds[hmm_lm.word_class(w)] += 1
+    p = hmm_lm.seed_parameters(total, 2)
+    lengths = np.array([len(c) for c in classes])
+    own, size = hmm_lm.segments(lengths, np.isin(np.arange(len(rows)), learnt), np.concatenate(classes))
+    for _ in range(2):
+        p = hmm_lm.Parameters.estimate(*hmm_lm.expected_counts(p, own, size)[:3], total)
+
+    def inside(w):
+        c, k = counts[w], hmm_lm.word_class(w)
+        return (c - hmm_lm.DISCOUNT) / total[k] if c else hmm_lm.DISCOUNT * kinds[k] / total[k] if total[k] else 1.0
+
+    full = hmm_lm.forward_log10(p, np.concatenate(classes), lengths)
+    expected = sorted((i, len(w), round(f + sum(math.log10(inside(x)) for x in w), 6)) for (i, w), f in zip(tokens, full))
+    assert sorted((r.doc_id, r.n_tokens, round(r.score, 6)) for r in got) == expected

@@ -15,6 +15,7 @@ Errors are per-row reasons, never exceptions that drop a whole company.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -50,7 +51,7 @@ class IngestBatch:
 
 def ingest_batch(
     filings: DataFrame,
-    raw_html: DataFrame,
+    raw_html: DataFrame | Callable[[DataFrame], DataFrame],
     seen: DataFrame,
     cfg: IngestConfig = IngestConfig(),
     companies: DataFrame | None = None,
@@ -64,7 +65,11 @@ def ingest_batch(
                '10-K'), company (nullable)
     raw_html : accessionNumber, html, and primary (the document's name) if
                several documents of a filing have landed; only the chosen main
-               document is then read
+               document is then read. Or a function that fetches: it is given
+               the wanted documents (accessionNumber, primary and more, one row
+               per filing) and returns these rows with html, one per landed
+               document; pages kept under another key need not be spread over
+               the filings first
     seen     : accessionNumber (manifest of earlier runs)
     companies: cik, name (look-up for missing company names)
     listings : accessionNumber, pos, name (filing directory items)
@@ -106,7 +111,9 @@ def ingest_batch(
     # Only documents of filings still to do are parsed. No hint: at run time a
     # small fetch list is broadcast and the documents stream past it.
     todo = acc.where(F.col("_seen").isNull()).select("accessionNumber", "_f", "primary", "url")
-    if "primary" in raw_html.columns:
+    if callable(raw_html):
+        found = raw_html(todo)
+    elif "primary" in raw_html.columns:
         html = raw_html.select("accessionNumber", "primary", "html")
         found = html.join(todo, ["accessionNumber", "primary"])
     else:
@@ -140,8 +147,8 @@ def ingest_batch(
     return IngestBatch(status.select(*STATUS_COLUMNS), parsed)
 
 
-def ingest_filings(filings: DataFrame, raw_html: DataFrame, seen: DataFrame, cfg: IngestConfig = IngestConfig(),
-                   companies: DataFrame | None = None, listings: DataFrame | None = None,
+def ingest_filings(filings: DataFrame, raw_html: DataFrame | Callable[[DataFrame], DataFrame], seen: DataFrame,
+                   cfg: IngestConfig = IngestConfig(), companies: DataFrame | None = None, listings: DataFrame | None = None,
                    chunker: str = "fixed") -> DataFrame:
     """The status table of ``ingest_batch``."""
     return ingest_batch(filings, raw_html, seen, cfg, companies, listings, chunker).status

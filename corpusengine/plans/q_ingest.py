@@ -179,16 +179,23 @@ def q_corpus_chunks(spark, d):
     return ch.select("cik", "accessionNumber", F.col("chunk_ix").cast("long"), "chunk_id", "chunk", "fiscalYear")
 
 
-def order_html(spark, d):
-    """Fetched main documents of the order-derived filings: the filing page of
-    document o_orderkey div 15 (absent when that document does not exist)."""
-    o = read_table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate")
-    docs = read_table(spark, d, "documents", "doc_id", "text")
-    acc = F.format_string("%010d-%02d-%06d", F.col("o_custkey"), F.year("o_orderdate") % 100, F.col("o_orderkey"))
-    link = o.select(acc.alias("accessionNumber"), F.floor(F.col("o_orderkey") / 15).cast("long").alias("doc_id"))
-    return link.join(docs, "doc_id", "inner").select(
-        "accessionNumber", dv.filing_html(F.col("doc_id"), F.col("text")).alias("html")
-    )
+def order_pages(spark, d):
+    """Fetches the main documents of order-derived filings: the filing page of
+    document o_orderkey div 15 (absent when that document does not exist).
+
+    The wanted filings find their document's id first. That list is written, so
+    its size is known: a short one is broadcast and no text is shuffled, a long
+    one meets every text once, not once per filing."""
+    def fetch(wanted):
+        o = read_table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+        docs = read_table(spark, d, "documents", "doc_id", "text")
+        acc = F.format_string("%010d-%02d-%06d", F.col("o_custkey"), F.year("o_orderdate") % 100, F.col("o_orderkey"))
+        link = o.select(acc.alias("accessionNumber"), F.floor(F.col("o_orderkey") / 15).cast("long").alias("_doc"))
+        links = materialize(wanted.join(link, "accessionNumber"), "fetch-list")
+        pages = links.join(docs, links["_doc"] == docs["doc_id"])
+        return pages.select(*wanted.columns, dv.filing_html(F.col("doc_id"), F.col("text")).alias("html"))
+
+    return fetch
 
 
 def history_status(spark, d, limit=None):
@@ -198,7 +205,7 @@ def history_status(spark, d, limit=None):
         ciks, flat_submissions(spark, d), submission_names(spark, d), n=CFG.top_n_per_cik, limit=limit
     )
     filings = materialize(filings, "filings")  # used for the fetch list and the status
-    st = ing.ingest_filings(filings, order_html(spark, d), urgent_manifest(spark, d), CFG)
+    st = ing.ingest_filings(filings, order_pages(spark, d), urgent_manifest(spark, d), CFG)
     return st.select("cik", "accessionNumber", "reason", "chunks").unionByName(
         none.select("cik", F.lit(None).cast("string").alias("accessionNumber"), "reason",
                     F.lit(None).cast("long").alias("chunks"))
@@ -265,7 +272,7 @@ def daily_status(spark, d):
         "form", "company",
     )
     # The seen filings are skips already.
-    st = ing.ingest_filings(provided, order_html(spark, d), provided.select("accessionNumber").limit(0), CFG)
+    st = ing.ingest_filings(provided, order_pages(spark, d), provided.select("accessionNumber").limit(0), CFG)
     missed = prepared.where(F.col("status") == "skip").select(
         "input_pos", "cik", "accessionNumber", "reason", F.lit(None).cast("long").alias("chunks")
     )

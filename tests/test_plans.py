@@ -112,3 +112,42 @@ def test_no_query_plans_a_cross_product(spark):
     for name, fn in sorted(QUERIES.items()):
         p = plan_of(fn(spark, SF001))
         assert "CartesianProduct" not in p and "NestedLoopJoin" not in p, name
+
+
+def test_pages_are_fetched_for_wanted_filings_alone(spark, tmp_path):
+    """Order pages: the list of wanted filings meets the texts, each text once,
+    and no page is made for an order that nobody asked for."""
+    import datetime as dt
+
+    from corpusengine.plans import q_ingest as qi
+
+    day = dt.datetime(2021, 5, 6)
+    orders = [(k, 7, day) for k in range(60)] + [(31, 7, day), (None, 7, day)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp").write.parquet(
+        f"{tmp_path}/orders.parquet")
+    docs = [(1, "alpha"), (2, "beta"), (2, "gamma"), (None, "delta"), (9, "epsilon")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = spark.createDataFrame([(f"{7:010d}-21-{k:06d}", k) for k in (15, 31, 59, 200)], "accessionNumber string, n int")
+    pages = qi.order_pages(spark, str(tmp_path))(wanted)
+    got = sorted((r.n, r.accessionNumber[-2:], "beta" in r.html, "alpha" in r.html) for r in pages.collect())
+    assert pages.columns == ["accessionNumber", "n", "html"]
+    assert got == [(15, "15", False, True)] + [(31, "31", False, False)] * 2 + [(31, "31", True, False)] * 2
+    # A short list is broadcast: no text is shuffled.
+    assert "Exchange hashpartitioning" not in pages._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_fetching_function_gives_the_same_status(spark):
+    page = "<html><body><p>Item 1A. Risk Factors</p><p>" + "We may fail. " * 400 + "</p><p>Item 1B. Other</p></body></html>"
+    filings = spark.createDataFrame(
+        [(i, "7", a, "d.htm", "2021-05-06", "10-K", "C") for i, a in enumerate(["a", "b", "a", "seen", "gone", None])],
+        "input_pos int, cik string, accessionNumber string, primaryDocument string, filingDate string, form string, company string")
+    raw = spark.createDataFrame([("a", page), ("b", "<p>nothing</p>"), ("seen", page)], "accessionNumber string, html string")
+    seen = spark.createDataFrame([("seen",)], "accessionNumber string")
+    asked = []
+
+    def fetch(wanted):
+        asked.extend(r.accessionNumber for r in wanted.collect())
+        return wanted.join(raw, "accessionNumber")
+
+    a, b = (sorted(map(str, ing.ingest_filings(filings, x, seen, CFG).collect())) for x in (raw, fetch))
+    assert a == b and len(a) == 6 and sorted(asked) == ["a", "b", "gone"]

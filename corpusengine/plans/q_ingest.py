@@ -192,6 +192,9 @@ def order_pages(spark, d):
         acc = F.format_string("%010d-%02d-%06d", F.col("o_custkey"), F.year("o_orderdate") % 100, F.col("o_orderkey"))
         link = o.select(acc.alias("accessionNumber"), F.floor(F.col("o_orderkey") / 15).cast("long").alias("_doc"))
         links = materialize(wanted.join(link, "accessionNumber"), "fetch-list")
+        # A number of its own: few texts are many seconds of parsing, so they are
+        # not put together into few tasks for being few bytes.
+        links = links.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_doc")
         pages = links.join(docs, links["_doc"] == docs["doc_id"])
         return pages.select(*wanted.columns, dv.filing_html(F.col("doc_id"), F.col("text")).alias("html"))
 

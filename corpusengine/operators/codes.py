@@ -45,6 +45,7 @@ MAX_CENTER_BYTES = 64 * 1024 * 1024  # of all cell centres; they are broadcast
 # Rounding of float64 sums of unit vectors, far above its true size.
 SLACK = 1e-9
 TABLE_CELLS = 1_000_000  # estimates computed together
+ROW_BYTES = 300  # of a shortlist's row in a task: twice the list is held, and sorted by copying
 
 
 @dataclass
@@ -359,7 +360,8 @@ def knn_codes(coded: DataFrame, questions: DataFrame, index: CodeIndex, k: int,
     qid_type, id_type = asked.schema["qid"].dataType, table.schema["id"].dataType
     kind = T.StructType([T.StructField("qid", qid_type), T.StructField("id", id_type), T.StructField("cell", T.IntegerType()),
                          T.StructField("est", T.DoubleType()), T.StructField("most", T.DoubleType())])
-    width = 8 * (index.dim + index.parts * index.books.shape[1]) + 16 * nprobe + 64  # of a question in a task
+    # Of a question in a task: its vector, its table and its shortlist.
+    width = 8 * (index.dim + index.parts * index.books.shape[1]) + 16 * nprobe + 64 + ROW_BYTES * shortlist
     per_block = max(1, min(limits.max_broadcast_questions, limits.max_broadcast_bytes // width))
     blocks = max(1, math.ceil(asked.count() / per_block))
     path = scratch_path(spark, "codes-shortlist")

@@ -34,6 +34,7 @@ from ..config import RetrievalLimits
 from ..session import scratch_path
 
 METRICS = ("cosine", "dot", "l2")
+SCORE_CELLS = 4_000_000  # scores (rows x questions) that a task computes together
 
 
 def vector_mean(df: DataFrame, key: str, vec_col: str) -> DataFrame:
@@ -187,11 +188,15 @@ def _score_fn(bc, metric: str, k: int, id_col: str, vec_col: str,
             for own, asked in parts:
                 if not len(own) or not len(asked):
                     continue
-                r, c, score = _scores(metric, V[own], Q[asked], k, None if allowed is None else allowed[np.ix_(own, asked)])
-                held.append(pd.DataFrame({"q": asked[c], "id": ids[own[r]], "score": score}))
-                buffered += len(r)
-            if buffered > 8 * k * nq + 4096:
-                prune()
+                step = max(1, SCORE_CELLS // len(asked))
+                for i in range(0, len(own), step):
+                    some = own[i:i + step]
+                    r, c, score = _scores(metric, V[some], Q[asked], k,
+                                          None if allowed is None else allowed[np.ix_(some, asked)])
+                    held.append(pd.DataFrame({"q": asked[c], "id": ids[some[r]], "score": score}))
+                    buffered += len(r)
+                    if buffered > 8 * k * nq + 4096:
+                        prune()
         prune()
         if held and len(held[0]):
             df = held[0]

@@ -107,3 +107,22 @@ def test_empty(spark):
     index, coded = built(spark, one)
     got = pq.knn_codes(coded, one.toDF("qid", "qvec"), index, 3, 1, 5, id_col="vec_id")
     assert answers(got) == [(7, 1, 7, 1.0)] and got.first()["proven"]
+
+
+def test_blocks_count_the_shortlists(spark, small, monkeypatch):
+    """A longer shortlist takes more of a task's memory, so fewer questions are asked at a time."""
+    from corpusengine.config import RetrievalLimits
+
+    e, index, coded = small
+    asked, calls, made = asked_of(e), [], pq._shortlist_fn
+    monkeypatch.setattr(pq, "_shortlist_fn", lambda *a: (calls.append(1), made(*a))[1])
+    width = 8 * (index.dim + index.parts * index.books.shape[1])
+    tight = RetrievalLimits(max_broadcast_bytes=5 * width)
+    found = {}
+    for size in (8, 400):
+        for limits in (tight, RetrievalLimits()):
+            calls.clear()
+            got = answers(pq.knn_codes(coded, asked, index, 4, 4, size, id_col="vec_id", limits=limits))
+            found[size, limits is tight] = len(calls), got
+        assert found[size, True][1] == found[size, False][1]
+    assert found[400, True][0] > found[8, True][0] > 1 == found[8, False][0]

@@ -214,3 +214,24 @@ def test_blocks_count_vectors_and_probed_cells(spark):
     assert rt._block_count(qs, limits, "qvec") == (100, 4)
     assert rt._block_count(qs, limits, "qvec", "cells") == (100, 15)
     assert rt._block_count(qs.limit(0), limits, "qvec", "cells") == (0, 0)
+
+
+def test_scores_of_a_task_are_computed_in_parts(monkeypatch):
+    """A batch's products with all questions are never held at once."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    v, q = rng.normal(size=(500, 8)).astype(np.float32), rng.normal(size=(20, 8))
+    sizes, scores = [], rt._scores
+    monkeypatch.setattr(rt, "SCORE_CELLS", 1_000, raising=False)
+    monkeypatch.setattr(rt, "_scores", lambda m, a, b, *x: (sizes.append(len(a) * len(b)), scores(m, a, b, *x))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64()), pa.array(v.tolist(), pa.list_(pa.float32()))],
+                                       names=["id", "v"])
+    block = SimpleNamespace(value={"ids": np.arange(20), "mat": q})
+    run = rt._score_fn(block, "dot", 3, "id", "v", None, None, None, None, pa.int64(), pa.int64())
+    out = pa.Table.from_batches(list(run([batch]))).to_pydict()
+    best = np.argsort(-(v.astype(np.float64) @ q.T), axis=0)[:3]
+    assert sorted(zip(out["qid"], out["id"])) == sorted((j, i) for j in range(20) for i in best[:, j].tolist())
+    assert max(sizes) <= 1_000 and sum(sizes) == 10_000

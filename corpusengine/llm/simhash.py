@@ -95,9 +95,12 @@ def _signed(x: int) -> int:
 def _shared(rows: DataFrame) -> DataFrame:
     """(s, fp) of the rows whose (s, key) is held by more than one row. Each
     fingerprint has a key at most once per start, so two rows mean two
-    fingerprints."""
+    fingerprints.
+
+    Never a broadcast: the rows are exploded from a scan whose size, which Spark
+    judges by, does not tell how many they are."""
     held = rows.groupBy("s", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return rows.join(held.select("s", "key"), ["s", "key"]).select("s", "fp").distinct()
+    return rows.join(held.select("s", "key").hint("merge"), ["s", "key"]).select("s", "fp").distinct()
 
 
 def hamming_links(fps: DataFrame, scratch: Scratch, max_bits: int = 2, segments: int = 5) -> DataFrame:
@@ -150,7 +153,7 @@ def hamming_links(fps: DataFrame, scratch: Scratch, max_bits: int = 2, segments:
     if max_bits == 1:
         # Members may be two bits apart: meet on the fingerprints themselves.
         own = alive2.select("fp").distinct()
-        links = (meet.join(own.select(F.col("fp").alias("key")), "key")
+        links = (meet.join(own.select(F.col("fp").alias("key")).hint("merge"), "key")
                  .select(F.least("fp", "key").alias("u"), F.greatest("fp", "key").alias("v"))
                  .filter("u < v").distinct())
     return links
@@ -248,7 +251,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     best = comps.groupBy("root").agg(F.min(F.struct(
         F.col("first_id").isNull().alias("no_id"), "first_id", "fp")).alias("b"))
     keys = best.select(F.col("b.first_id").alias("_simhash_id"), F.col("b.fp").alias("_simhash_key"))
-    hit = kept.join(keys, (F.col("_simhash_fp") == F.col("_simhash_key"))
+    hit = kept.join(keys.hint("merge"), (F.col("_simhash_fp") == F.col("_simhash_key"))
                     & F.col(id_col).eqNullSafe(F.col("_simhash_id")))
     once = Window.partitionBy("_simhash_fp", id_col).orderBy("_simhash_fp")
     return restored(hit.withColumn("_simhash_n", F.row_number().over(once)).filter("_simhash_n = 1"), like)

@@ -112,3 +112,13 @@ def test_drop_keeps_one_row_of_each_group(docs, docs_rows):
 def test_drop_without_any_id(spark):
     df = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (None, "x y z w q")], "doc_id bigint, text string")
     assert simhash.drop_near_duplicates(df).count() == 2
+
+
+def test_what_grows_with_the_corpus_is_not_broadcast(spark, docs):
+    """Spark takes an exploded scan for as small as its file and would broadcast it."""
+    rows = spark.range(500).select(F.col("id").alias("fp"), F.explode(F.array([F.lit(s) for s in range(5)])).alias("s"))
+    shared = simhash._shared(rows.withColumn("key", F.col("fp") % 300))
+    assert "Broadcast" not in shared._jdf.queryExecution().executedPlan().toString()
+    assert {(r.s, r.fp) for r in shared.collect()} == {(s, f) for s in range(5) for f in range(500) if f < 200 or f >= 300}
+    kept = simhash.drop_near_duplicates(docs)
+    assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()

@@ -191,3 +191,55 @@ def test_texts_are_scored_before_they_are_joined(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(made(30, 11))], "doc_id bigint, text string, lang string")
     kn.judge(df, spark.createDataFrame([(i, 1) for i in range(30)], "doc_id bigint, quality int"))
     assert len(plans) == 2 and not any("Join" in p for p in plans)
+
+
+def test_scores_come_from_the_sharded_tables(spark, monkeypatch):
+    """Every document is scored by joins with the count tables, in blocks, also
+    when the tables are small; the values are those of the array."""
+    rows = [(i, t, "en") for i, t in enumerate([*made(40, 12), *made(20, 13, True), "", None, "日"])] + [(3, "twice", "en")] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id bigint, quality int")
+    asked, logs, collect = [], kn.gram_logs, kn.collect_model
+
+    def spy(flat, tables):
+        asked.append((flat.count(), tables))
+        return logs(flat, tables)
+
+    def no_array(tables):
+        raise AssertionError("the tables are collected")
+
+    monkeypatch.setattr(kn, "gram_logs", spy)
+    monkeypatch.setattr(kn, "collect_model", no_array)
+    monkeypatch.setattr(kn, "BLOCK_TEXTS", 7)
+    got = kn.judge(df, labels).collect()
+    grams = {g for _, t, _ in rows for g in kn.grams(kn.symbols(t or "")).tolist()}
+    assert len(asked) == 1 and asked[0][0] == len(grams)
+    model = collect(asked[0][1])
+    assert len(got) == len(rows)
+    for r in got:
+        own = model.symbol_logs(r.text or "")
+        assert (r._lp, r._chars) == (pytest.approx(own.sum()), len(own))
+        assert r._ppl == pytest.approx(10 ** -kn.core_mean(own))
+
+
+def test_counts_of_long_texts_in_pieces(monkeypatch):
+    texts = [*made(5, 14), "", "a" * 99]
+    whole = [kn.text_counts(t) for t in texts]
+    monkeypatch.setattr(kn, "BLOCK", 10)
+    for t, (g, n) in zip(texts, whole, strict=True):
+        own = kn.text_counts(t)
+        assert own[0].tolist() == g.tolist() and own[1].tolist() == n.tolist() and n.sum() == len(t) + 1
+
+
+def test_blocks_are_never_broadcast(spark, trained, monkeypatch):
+    """The trigrams of all blocks are exploded from a scan that looks small."""
+    plans, write = [], Scratch.write
+
+    def spy(self, df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(self, df, name)
+
+    monkeypatch.setattr(Scratch, "write", spy)
+    out = kn.log_prob_by_joins(spark.createDataFrame([("he he",), ("on",)], "text string"), trained[0], "text")
+    assert "Broadcast" not in dict(plans)["text-scores"]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
